@@ -103,25 +103,34 @@ def match_isrc(prepared: DataFrame, index: DataFrame, cfg: MatchConfig) -> DataF
     return rows.select("_id", *fields, F.lit(METHOD_ISRC).alias("method"), conf.alias("confidence"))
 
 
-def score_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
-                     with_artist: bool, prune_threshold: float | None = None) -> DataFrame:
-    """All top-k candidates of each distinct probe, scored.
+def search_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
+                      with_artist: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Top-k candidates per distinct query of the prepared rows.
 
-    Returns probe columns + result fields + rank, score, eff (pass-2 score)."""
+    Returns (candidates, eligible source rows, query columns)."""
     fields = _fields(index)
     qcols = ["s_title", "s_first_artist"] if with_artist else ["s_title"]
     item_cols = fields + ["c_name", "c_artist"]
-    src = prepared.where((F.col("s_title") != "") | (F.col("s_first_artist") != "")) if with_artist \
-        else prepared.where(F.col("s_title") != "")
     if with_artist:
+        src = prepared.where((F.col("s_title") != "") | (F.col("s_first_artist") != ""))
         qkeys = F.array_distinct(F.concat(field_keys("t:", tokens("s_title")),
                                           field_keys("a:", tokens("s_first_artist"))))
         ckeys = "k_all"
     else:
+        src = prepared.where(F.col("s_title") != "")
         qkeys = field_keys("t:", tokens("s_title"))
         ckeys = "k_title"
     queries = src.select(*qcols).distinct().withColumn("q_keys", qkeys)
     cands = candidates(queries, qcols, "q_keys", index, ckeys, item_cols, cfg, cfg.max_candidates)
+    return cands, src, qcols
+
+
+def score_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
+                     with_artist: bool, prune_threshold: float | None = None) -> DataFrame:
+    """All top-k candidates of each distinct probe, scored.
+
+    Returns probe columns + result fields + rank, score, eff (pass-2 score)."""
+    cands, src, qcols = search_candidates(prepared, index, cfg, with_artist)
     probes = src.select(*_SRC).distinct()
     rows = _with_close(probes.join(cands, qcols), cfg)
     if prune_threshold is not None:
