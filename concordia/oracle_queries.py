@@ -190,3 +190,218 @@ def _():
 @oracle("q_match_thresholds")
 def _():
     return _waterfall(0.6)
+
+
+# ---------------------------------------------------------------- sync plan
+_EX = ("ex", _dedupe("v_existing"))
+_SPLIT = ("sp", """SELECT c.*, CASE WHEN coalesce(e.uri, '') <> '' THEN 'already_matched' ELSE 'needs_matching' END
+  AS state, CASE WHEN coalesce(e.uri, '') <> '' THEN e.uri ELSE '' END AS existing_uri
+  FROM v_cur c LEFT JOIN ex e ON c.fingerprint = e.fingerprint""")
+_CACHE = ("kc", "SELECT fingerprint, bool_or(matched) AS m, max(coalesce(uri, '')) AS u FROM v_cache GROUP BY fingerprint")
+_CSPLIT = ("cs", """SELECT s.* EXCLUDE (state), CASE WHEN k.fingerprint IS NULL THEN 'search' WHEN k.m THEN 'restored'
+  ELSE 'known_unmatched' END AS state,
+  CASE WHEN k.fingerprint IS NOT NULL AND k.m THEN k.u ELSE '' END AS cache_uri
+  FROM sp s LEFT JOIN kc k ON s.fingerprint = k.fingerprint WHERE s.state = 'needs_matching'""")
+_PLAN_VIEWS = ["v_cur", "v_prev", "v_existing", "v_cache", "v_target", "v_catalog"]
+
+
+@oracle("q_split_existing")
+def _():
+    return with_views(_PLAN_VIEWS, "SELECT position, fingerprint, state, existing_uri FROM sp", [_EX, _SPLIT])
+
+
+@oracle("q_cache_split")
+def _():
+    return with_views(_PLAN_VIEWS, "SELECT position, fingerprint, state, cache_uri FROM cs",
+                      [_EX, _SPLIT, _CACHE, _CSPLIT])
+
+
+@oracle("q_limit_pending")
+def _():
+    body = """SELECT position, fingerprint, CASE WHEN position <= (SELECT max(position) FROM
+      (SELECT position FROM cs WHERE state = 'search' ORDER BY position LIMIT 250)) THEN 'search' ELSE 'pending' END
+      AS state FROM cs WHERE state = 'search'"""
+    return with_views(_PLAN_VIEWS, body, [_EX, _SPLIT, _CACHE, _CSPLIT])
+
+
+def _plan_ctes() -> list[tuple[str, str]]:
+    ctes = [ratio_cte(), _EX, _SPLIT, _CACHE, _CSPLIT,
+            ("srch", "SELECT * FROM cs WHERE state = 'search'")]
+    ctes += waterfall_ctes("srch")
+    ctes += [
+        ("fs", """SELECT position, CASE WHEN state = 'already_matched' THEN 'already_matched' END AS state,
+                   existing_uri AS uri FROM sp WHERE state = 'already_matched'
+                 UNION ALL SELECT position, state, cache_uri FROM cs WHERE state <> 'search'
+                 UNION ALL SELECT _id, CASE WHEN method <> '' THEN 'newly_matched' ELSE 'unmatched' END, uri FROM wf"""),
+        ("wanted", "SELECT DISTINCT uri FROM fs WHERE state IN ('already_matched', 'restored', 'newly_matched') "
+                   "AND coalesce(uri, '') <> ''"),
+        ("ta", "SELECT uri FROM wanted WHERE uri NOT IN (SELECT uri FROM v_target)"),
+        ("tr", """SELECT DISTINCT e.uri FROM dd JOIN ex e ON dd.fingerprint = e.fingerprint
+                 WHERE dd.change_type = 'removed' AND e.uri <> '' AND e.uri NOT IN (SELECT uri FROM wanted)"""),
+    ]
+    return _DIFF + ctes
+
+
+@oracle("q_to_add")
+def _():
+    return with_views(_PLAN_VIEWS + ["v_source"], "SELECT uri FROM ta", _plan_ctes())
+
+
+@oracle("q_to_remove")
+def _():
+    return with_views(_PLAN_VIEWS + ["v_source"], "SELECT uri FROM tr", _plan_ctes())
+
+
+@oracle("q_change_batches")
+def _():
+    body = """SELECT 'add' AS op, uri, CAST((row_number() OVER (ORDER BY uri) - 1) // 100 AS BIGINT) AS batch_no FROM ta
+      UNION ALL SELECT 'remove', uri, CAST((row_number() OVER (ORDER BY uri) - 1) // 100 AS BIGINT) FROM tr"""
+    return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
+
+
+@oracle("q_sync_summary")
+def _():
+    body = """SELECT count(*) AS total, count(*) FILTER (WHERE state = 'already_matched') AS already_matched,
+      count(*) FILTER (WHERE state = 'restored') AS restored,
+      count(*) FILTER (WHERE state = 'newly_matched') AS newly_matched,
+      count(*) FILTER (WHERE state IN ('unmatched', 'known_unmatched')) AS unmatched,
+      count(*) FILTER (WHERE state = 'pending') AS pending FROM fs"""
+    return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
+
+
+# ---------------------------------------------------------------- enrichment
+_ENRICHED = ("en", """SELECT e.position, e.fingerprint, e.title, e.artist, e.uri, e.match_method, e.popularity,
+  k.platform, k.track_id, k.album, k.isrc, k.duration, CAST(0 AS INT) AS duration_ms, '' AS artist_genres,
+  CAST(0 AS BIGINT) AS playcount
+  FROM v_existing e JOIN v_keyed k ON e.position = k.position""")
+_E_VIEWS = ["v_existing", "v_keyed", "v_catalog"]
+
+
+@oracle("q_retry_upsert")
+def _():
+    ctes = [ratio_cte(), _ENRICHED, ("um", "SELECT * FROM en WHERE uri = ''")]
+    ctes += waterfall_ctes("um", duration=None, isrc=None)
+    ctes += [("nw", "SELECT u.position, u.fingerprint, w.uri, w.method AS match_method FROM um u "
+                    "JOIN wf w ON u.position = w._id WHERE w.method <> '' AND w.uri <> ''")]
+    body = """SELECT position, fingerprint, uri, match_method FROM en
+      WHERE fingerprint NOT IN (SELECT fingerprint FROM nw) UNION ALL SELECT * FROM nw"""
+    return with_views(_E_VIEWS, body, ctes)
+
+
+@oracle("q_apply_match")
+def _():
+    ctes = [ratio_cte()] + waterfall_ctes("v_source")
+    body = """SELECT s.position, CASE WHEN w.uri <> '' THEN w.uri ELSE '' END AS uri,
+      CASE WHEN w.uri <> '' THEN w.method ELSE '' END AS match_method,
+      CASE WHEN w.uri <> '' THEN w.confidence ELSE 0.0::DOUBLE END AS match_confidence,
+      CASE WHEN w.uri <> '' AND s.isrc = '' AND w.isrc <> '' THEN w.isrc ELSE s.isrc END AS isrc,
+      CASE WHEN w.uri <> '' THEN w.duration_ms ELSE 0 END AS duration_ms,
+      CASE WHEN w.uri <> '' THEN w.popularity ELSE 0 END AS popularity,
+      CASE WHEN w.uri <> '' THEN '2026-01-01T00:00:00' ELSE '' END AS first_synced,
+      CASE WHEN w.uri <> '' THEN '2026-01-01T00:00:00' ELSE '' END AS last_synced
+      FROM v_source s LEFT JOIN wf w ON s.position = w._id"""
+    return with_views(["v_source", "v_catalog"], body, ctes)
+
+
+@oracle("q_backfill_metadata")
+def _():
+    body = """SELECT e.position, e.uri,
+      CASE WHEN h THEN coalesce(c.duration_ms, 0) ELSE e.duration_ms END AS duration_ms,
+      CASE WHEN h THEN coalesce(c.explicit, false) ELSE false END AS explicit,
+      CASE WHEN h THEN coalesce(c.popularity, 0) ELSE e.popularity END AS popularity,
+      CASE WHEN h THEN coalesce(c.track_number, 0) ELSE 0 END AS track_number,
+      CASE WHEN h AND coalesce(c.release_date, '') <> '' THEN c.release_date ELSE '' END AS release_date,
+      CASE WHEN h AND coalesce(c.album_type, '') <> '' THEN c.album_type ELSE '' END AS album_type,
+      CASE WHEN h AND e.isrc = '' AND coalesce(c.isrc, '') <> '' THEN c.isrc ELSE e.isrc END AS isrc
+      FROM (SELECT e.*, c.catalog_id IS NOT NULL AS h, c.duration_ms AS c_duration_ms FROM
+              (SELECT *, uri <> '' AND (duration_ms = 0 OR isrc = '' OR popularity = 0) AS need FROM en) e
+            LEFT JOIN v_catalog c ON e.need AND c.catalog_id = split_part(e.uri, ':', -1)) e
+      LEFT JOIN v_catalog c ON e.h AND c.catalog_id = split_part(e.uri, ':', -1)"""
+    return with_views(_E_VIEWS, body, [_ENRICHED])
+
+
+@oracle("q_backfill_genres")
+def _():
+    body = """SELECT e.position, e.uri, CASE WHEN g.catalog_id IS NOT NULL THEN g.genre_text ELSE '' END
+      AS artist_genres FROM en e LEFT JOIN
+      (SELECT c.catalog_id, array_to_string(a.genres, ', ') AS genre_text FROM v_catalog c
+       JOIN v_artist a ON c.artist = a.artist_id) g
+      ON e.uri <> '' AND g.catalog_id = split_part(e.uri, ':', -1)"""
+    return with_views(_E_VIEWS + ["v_artist"], body, [_ENRICHED])
+
+
+@oracle("q_audio_features")
+def _():
+    from concordia.schema import AUDIO_FEATURES
+    dflt = {"key": "-1", "mode": "-1", "time_signature": "0"}
+    cols = []
+    for f in AUDIO_FEATURES:
+        d = dflt.get(f, "0.0::DOUBLE")
+        cols.append(f"CASE WHEN f.catalog_id IS NOT NULL THEN coalesce(f.{f}, {d}) ELSE {d} END AS {f}")
+    body = (f"SELECT e.position, e.uri, {', '.join(cols)}, e.uri <> '' AS audio_features_fetched "
+            f"FROM en e LEFT JOIN v_features f ON e.uri <> '' AND f.catalog_id = split_part(e.uri, ':', -1)")
+    return with_views(_E_VIEWS + ["v_features"], body, [_ENRICHED])
+
+
+_LISTEN = """SELECT e.position, CASE WHEN l.title IS NOT NULL THEN CAST(l.playcount AS BIGINT) ELSE 0 END AS playcount,
+      CASE WHEN l.title IS NOT NULL THEN CAST(l.listeners AS BIGINT) ELSE 0 END AS listeners,
+      CASE WHEN l.title IS NOT NULL THEN coalesce(array_to_string(l.tags[1:5], ', '), '') ELSE '' END AS tags
+      FROM en e LEFT JOIN v_listen l ON e.title <> '' AND e.artist <> ''
+        AND trim(split_part(e.artist, ',', 1)) <> ''
+        AND trim(split_part(e.artist, ',', 1)) = l.artist AND e.title = l.title"""
+
+
+@oracle("q_listen_stats")
+def _():
+    return with_views(_E_VIEWS + ["v_listen"], _LISTEN, [_ENRICHED])
+
+
+@oracle("q_listen_coverage")
+def _():
+    return with_views(_E_VIEWS + ["v_listen"], "SELECT count(*) AS total, count(*) FILTER (WHERE playcount > 0) "
+                                               "AS with_listen_stats FROM ls", [_ENRICHED, ("ls", _LISTEN)])
+
+
+@oracle("q_needs_enrichment")
+def _():
+    cond = "(uri <> '' AND (popularity = 0 OR artist_genres = '' OR playcount = 0))"
+    return with_views(_E_VIEWS, f"SELECT coalesce(bool_or({cond}), false) AS needs_enrichment, "
+                                f"count(*) FILTER (WHERE {cond}) AS n_needing FROM en", [_ENRICHED])
+
+
+# ---------------------------------------------------------------- reports
+@oracle("q_match_rate")
+def _():
+    return with_views(_E_VIEWS, """SELECT count(*) AS total, count(*) FILTER (WHERE uri <> '') AS matched,
+      CASE WHEN count(*) > 0 THEN 100.0::DOUBLE * CAST(count(*) FILTER (WHERE uri <> '') AS DOUBLE)
+        / CAST(count(*) AS DOUBLE) ELSE 0.0::DOUBLE END AS match_rate FROM en""", [_ENRICHED])
+
+
+_METHODS = """SELECT coalesce(nullif(match_method, ''), 'unknown') AS method, count(*) AS n FROM en
+  WHERE uri <> '' GROUP BY 1"""
+
+
+@oracle("q_method_breakdown")
+def _():
+    return with_views(_E_VIEWS, _METHODS, [_ENRICHED])
+
+
+@oracle("q_status")
+def _():
+    body = """SELECT 'source_tracks' AS metric, CAST(count(*) AS DOUBLE) AS value FROM v_source
+      UNION ALL SELECT 'enriched_tracks', CAST(count(*) AS DOUBLE) FROM en
+      UNION ALL SELECT 'matched_tracks', CAST(count(*) FILTER (WHERE uri <> '') AS DOUBLE) FROM en
+      UNION ALL SELECT 'match_rate', 100.0::DOUBLE * CAST(count(*) FILTER (WHERE uri <> '') AS DOUBLE)
+        / CAST(count(*) AS DOUBLE) FROM en
+      UNION ALL SELECT 'method:' || method, CAST(n AS DOUBLE) FROM mb
+      UNION ALL SELECT 'unmatched_tracks', CAST(count(*) FILTER (WHERE uri = '') AS DOUBLE) FROM en"""
+    return with_views(_E_VIEWS + ["v_source"], body, [_ENRICHED, ("mb", _METHODS)])
+
+
+@oracle("q_preview")
+def _():
+    body = """SELECT d.change_type, d.fingerprint, d.position, d.title, d.row_no, t.type_total FROM
+      (SELECT *, row_number() OVER (PARTITION BY change_type ORDER BY position) AS row_no FROM dd) d
+      JOIN (SELECT change_type, count(*) AS type_total FROM dd GROUP BY 1) t USING (change_type)
+      WHERE d.row_no <= 20"""
+    return with_views(["v_cur", "v_prev"], body, _DIFF)

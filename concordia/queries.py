@@ -178,3 +178,143 @@ def q_match_waterfall(spark, d):
 def q_match_thresholds(spark, d):
     r = match_waterfall(fx.source(spark, d), fx.catalog(spark, d), MatchConfig(pass3_threshold=0.6))
     return r.select("position", *_OUT, "matched")
+
+
+# ---------------------------------------------------------------- step 5: sync plan
+from concordia.operators import changes as C  # noqa: E402
+from concordia.operators import enrich as N  # noqa: E402
+from concordia.operators import report as R  # noqa: E402
+from concordia.plans.sync import plan_states, plan_sync  # noqa: E402
+
+RUN_TS = "2026-01-01T00:00:00"
+LIMIT_N = 250
+
+
+@query("q_split_existing")
+def q_split_existing(spark, d):
+    s = C.split_existing(fx.current(spark, d), fx.existing(spark, d))
+    return s.select("position", "fingerprint", "state", "existing_uri")
+
+
+def _needs(spark, d):
+    s = C.split_existing(fx.current(spark, d), fx.existing(spark, d))
+    return s.where(F.col("state") == C.NEEDS).drop("state")
+
+
+@query("q_cache_split")
+def q_cache_split(spark, d):
+    cs = C.cache_split(_needs(spark, d), fx.cache(spark, d))
+    return cs.select("position", "fingerprint", "state", "cache_uri")
+
+
+@query("q_limit_pending")
+def q_limit_pending(spark, d):
+    cs = C.cache_split(_needs(spark, d), fx.cache(spark, d))
+    search = cs.where(F.col("state") == C.SEARCH).drop("state")
+    return C.limit_pending(search, LIMIT_N).select("position", "fingerprint", "state")
+
+
+def _plan(spark, d):
+    return plan_sync(fx.sync_inputs(spark, d), run_ts=RUN_TS)
+
+
+@query("q_to_add")
+def q_to_add(spark, d):
+    return _plan(spark, d)["to_add"]
+
+
+@query("q_to_remove")
+def q_to_remove(spark, d):
+    return _plan(spark, d)["to_remove"]
+
+
+@query("q_change_batches")
+def q_change_batches(spark, d):
+    return _plan(spark, d)["batches"]
+
+
+@query("q_sync_summary")
+def q_sync_summary(spark, d):
+    return _plan(spark, d)["summary"]
+
+
+@query("q_retry_upsert")
+def q_retry_upsert(spark, d):
+    ex = fx.enriched(spark, d)
+    um = ex.where(F.col("uri") == "").select("position", "fingerprint", "title", "artist", "album",
+                                              "track_id", "url", "platform")
+    res = match_waterfall(um, fx.catalog(spark, d), MatchConfig(), id_col="position")
+    newly = N.apply_match(N.with_track_defaults(um), res.where("matched"), "position", RUN_TS)
+    newly = newly.where(F.col("uri") != "")
+    out = C.retry_upsert(ex, N.with_track_defaults(newly).select(*ex.columns), "fingerprint")
+    return out.select("position", "fingerprint", "uri", "match_method")
+
+
+# ---------------------------------------------------------------- step 6: enrichment
+@query("q_apply_match")
+def q_apply_match(spark, d):
+    tracks = N.with_track_defaults(fx.keyed(spark, d))
+    res = match_waterfall(fx.source(spark, d), fx.catalog(spark, d), MatchConfig(), id_col="position")
+    a = N.apply_match(tracks, res, "position", RUN_TS)
+    return a.select("position", "uri", "match_method", "match_confidence", "isrc", "duration_ms",
+                    "popularity", "first_synced", "last_synced")
+
+
+@query("q_backfill_metadata")
+def q_backfill_metadata(spark, d):
+    b = N.backfill_metadata(fx.enriched(spark, d), fx.catalog(spark, d))
+    return b.select("position", "uri", "duration_ms", "explicit", "popularity", "track_number",
+                    "release_date", "album_type", "isrc")
+
+
+@query("q_backfill_genres")
+def q_backfill_genres(spark, d):
+    b = N.backfill_genres(fx.enriched(spark, d), fx.catalog(spark, d), fx.artists(spark, d), "artist")
+    return b.select("position", "uri", "artist_genres")
+
+
+@query("q_audio_features")
+def q_audio_features(spark, d):
+    from concordia.schema import AUDIO_FEATURES
+    b = N.audio_features(fx.enriched(spark, d), fx.features(spark, d))
+    return b.select("position", "uri", *AUDIO_FEATURES, "audio_features_fetched")
+
+
+@query("q_listen_stats")
+def q_listen_stats(spark, d):
+    b = N.listen_stats(fx.enriched(spark, d), fx.listen_stats(spark, d))
+    return b.select("position", "playcount", "listeners", "tags")
+
+
+@query("q_needs_enrichment")
+def q_needs_enrichment(spark, d):
+    return N.needs_enrichment(fx.enriched(spark, d))
+
+
+# ---------------------------------------------------------------- step 8: reports
+@query("q_match_rate")
+def q_match_rate(spark, d):
+    return R.match_rate(fx.enriched(spark, d))
+
+
+@query("q_method_breakdown")
+def q_method_breakdown(spark, d):
+    return R.method_breakdown(fx.enriched(spark, d))
+
+
+@query("q_status")
+def q_status(spark, d):
+    e = fx.enriched(spark, d)
+    return R.status(fx.source(spark, d), e, e.where(F.col("uri") == ""))
+
+
+@query("q_preview")
+def q_preview(spark, d):
+    p = R.preview(_diff(spark, d), 20)
+    return p.select("change_type", "fingerprint", "position", "title", "row_no", "type_total")
+
+
+@query("q_listen_coverage")
+def q_listen_coverage(spark, d):
+    b = N.listen_stats(fx.enriched(spark, d), fx.listen_stats(spark, d))
+    return b.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("playcount") > 0).alias("with_listen_stats"))

@@ -36,14 +36,6 @@ AUDIO_FEATURES = [
 INT_FEATURES = {"key", "mode", "time_signature"}
 FEATURE_DEFAULTS = {f: (-1 if f in ("key", "mode") else 0) for f in AUDIO_FEATURES}
 
-# Internal (typed) track table: snake_case names of the export columns.
-# Export name -> internal name where they differ.
-EXPORT_TO_INTERNAL = {
-    "trackId": "track_id", "addedDate": "added_date", "addedBy": "added_by",
-    "spotify_uri": "uri", "spotify_url": "url_catalog",
-    "spotify_duration_ms": "duration_ms",
-}
-
 _S, _D, _I, _L, _B = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType(), T.BooleanType()
 
 # Typed columns (export names) and their Spark type; all others are strings.
@@ -112,3 +104,31 @@ MATCH_RESULT = T.StructType([
     T.StructField("popularity", _I), T.StructField("album_type", _S),
     T.StructField("track_number", _I),
 ])
+
+
+# Internal typed track table (snake_case, neutral names).  Export edge maps
+# these to ENRICHED_COLUMNS; ``isrc_enriched`` is a copy of ``isrc``.
+TRACK_COLUMNS: list[tuple[str, T.DataType]] = [
+    ("title", _S), ("artist", _S), ("album", _S), ("isrc", _S), ("platform", _S), ("track_id", _S),
+    ("duration", _D), ("added_date", _S), ("added_by", _S), ("url", _S),
+    ("uri", _S), ("catalog_url", _S), ("duration_ms", _I), ("explicit", _B), ("release_date", _S),
+    ("danceability", _D), ("energy", _D), ("valence", _D), ("tempo", _D), ("key", _I), ("mode", _I),
+    ("loudness", _D), ("speechiness", _D), ("acousticness", _D), ("instrumentalness", _D),
+    ("liveness", _D), ("time_signature", _I), ("audio_features_fetched", _B),
+    ("popularity", _I), ("artist_genres", _S), ("album_type", _S), ("track_number", _I),
+    ("playcount", _L), ("listeners", _L), ("tags", _S),
+    ("match_method", _S), ("match_confidence", _D), ("first_synced", _S), ("last_synced", _S),
+]
+TRACK_TYPES = dict(TRACK_COLUMNS)
+TRACK_DEFAULTS = {c: ("" if t == _S else False if t == _B else 0.0 if t == _D else 0) for c, t in TRACK_COLUMNS}
+TRACK_DEFAULTS["key"] = -1
+TRACK_DEFAULTS["mode"] = -1
+
+# internal name -> export name (others keep their name)
+INTERNAL_TO_EXPORT = {
+    "track_id": "trackId", "added_date": "addedDate", "added_by": "addedBy",
+    "uri": "spotify_uri", "catalog_url": "spotify_url", "duration_ms": "spotify_duration_ms",
+    "release_date": "album_release_date", "playcount": "lastfm_playcount",
+    "listeners": "lastfm_listeners", "tags": "lastfm_tags",
+}
+EXPORT_TO_INTERNAL = {v: k for k, v in INTERNAL_TO_EXPORT.items()}

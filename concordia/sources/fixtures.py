@@ -170,3 +170,20 @@ def listen_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.sum(F.when(first, F.col("playcount"))).alias("playcount"),
                   F.sum(F.when(first, F.col("listeners"))).alias("listeners"),
                   F.array_sort(F.collect_set("_tag")).alias("tags")))
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched (typed, 39-column) table as a previous run left it."""
+    from concordia.operators.enrich import with_track_defaults
+    ex = existing(spark, sf_dir)
+    kd = keyed(spark, sf_dir).select("position", "platform", "track_id", "album", "isrc", "duration")
+    return with_track_defaults(ex.join(kd, "position"))
+
+
+def sync_inputs(spark: SparkSession, sf_dir: str):
+    from concordia.plans.sync import SyncInputs
+    return SyncInputs(current=current(spark, sf_dir), catalog=catalog(spark, sf_dir),
+                      previous=previous(spark, sf_dir), existing=existing(spark, sf_dir),
+                      cache=cache(spark, sf_dir), target=target(spark, sf_dir),
+                      artists=artists(spark, sf_dir), features=features(spark, sf_dir),
+                      listen=listen_stats(spark, sf_dir), artist_id_col="artist")
