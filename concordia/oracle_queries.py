@@ -405,3 +405,86 @@ def _():
       JOIN (SELECT change_type, count(*) AS type_total FROM dd GROUP BY 1) t USING (change_type)
       WHERE d.row_no <= 20"""
     return with_views(["v_cur", "v_prev"], body, _DIFF)
+
+
+# ---------------------------------------------------------------- I/O round trips
+@oracle("q_csv_roundtrip")
+def _():
+    from concordia.schema import AUDIO_FEATURES
+    fdef = {"key": "-1", "mode": "-1", "time_signature": "0"}
+    feats = []
+    for f in AUDIO_FEATURES:
+        d = fdef.get(f, "0.0::DOUBLE")
+        feats.append(f"CASE WHEN e.uri <> '' AND f.catalog_id IS NOT NULL THEN coalesce(f.{f}, {d}) "
+                     f"ELSE {d} END AS {f}")
+    full = f"""SELECT e.*, g.genre_text, l.title AS l_title, l.playcount AS l_playcount, l.listeners AS l_listeners,
+        l.tags AS l_tags, {', '.join(feats)}
+      FROM en e
+      LEFT JOIN (SELECT c.catalog_id, array_to_string(a.genres, ', ') AS genre_text FROM v_catalog c
+                 JOIN v_artist a ON c.artist = a.artist_id) g
+        ON e.uri <> '' AND g.catalog_id = split_part(e.uri, ':', -1)
+      LEFT JOIN v_features f ON e.uri <> '' AND f.catalog_id = split_part(e.uri, ':', -1)
+      LEFT JOIN v_listen l ON e.title <> '' AND e.artist <> '' AND trim(split_part(e.artist, ',', 1)) <> ''
+        AND trim(split_part(e.artist, ',', 1)) = l.artist AND e.title = l.title"""
+    fetched = "x.uri <> ''"
+    body = f"""SELECT x.title, x.artist, x.track_id, x.duration, x.isrc, x.uri, false AS explicit,
+      CASE WHEN {fetched} THEN CAST(printf('%.4f', x.danceability) AS DOUBLE) ELSE 0.0::DOUBLE END AS danceability,
+      CASE WHEN {fetched} THEN CAST(printf('%.1f', x.tempo) AS DOUBLE) ELSE 0.0::DOUBLE END AS tempo,
+      CASE WHEN {fetched} THEN CAST(printf('%.2f', x.loudness) AS DOUBLE) ELSE 0.0::DOUBLE END AS loudness,
+      CASE WHEN {fetched} AND x.key >= 0 THEN x.key ELSE -1 END AS key,
+      CASE WHEN {fetched} AND x.mode >= 0 THEN x.mode ELSE -1 END AS mode,
+      CASE WHEN {fetched} THEN x.time_signature ELSE 0 END AS time_signature,
+      {fetched} AS audio_features_fetched, x.popularity,
+      CASE WHEN x.genre_text IS NOT NULL THEN x.genre_text ELSE '' END AS artist_genres,
+      CASE WHEN x.l_title IS NOT NULL THEN CAST(x.l_playcount AS BIGINT) ELSE 0 END AS playcount,
+      CASE WHEN x.l_title IS NOT NULL THEN CAST(x.l_listeners AS BIGINT) ELSE 0 END AS listeners,
+      CASE WHEN x.l_title IS NOT NULL THEN coalesce(array_to_string(x.l_tags[1:5], ', '), '') ELSE '' END AS tags,
+      x.match_method FROM full_t x"""
+    return with_views(_E_VIEWS + ["v_artist", "v_features", "v_listen"], body, [_ENRICHED, ("full_t", full)])
+
+
+@oracle("q_snapshot_roundtrip")
+def _():
+    return with_views(["v_cur"], "SELECT position, platform, track_id, title, artist, album, duration, "
+                                 "CASE WHEN track_id <> '' THEN platform || ':' || track_id "
+                                 "ELSE lower(platform || ':' || title || ':' || artist) END AS fingerprint, "
+                                 "'2026-01-02T00-00-00' AS snapshot_ts FROM v_cur")
+
+
+@oracle("q_snapshot_history")
+def _():
+    return with_views(["v_cur", "v_prev"], """SELECT count(DISTINCT ts) AS snapshots, max(ts) AS latest FROM
+      (SELECT '2026-01-01T00-00-00' AS ts FROM v_prev UNION ALL SELECT '2026-01-02T00-00-00' FROM v_cur)""")
+
+
+@oracle("q_payload_flatten")
+def _():
+    body = f"""SELECT s.position, 'ytmusic' AS platform, s.track_id, s.title, s.artist, s.album, s.isrc,
+      {parse_duration_sql('dp.duration_seconds', 'dp.duration_text')} AS duration,
+      CASE WHEN s.track_id <> '' THEN 'https://music.youtube.com/watch?v=' || s.track_id ELSE '' END AS url
+      FROM v_source s JOIN dp ON s.position = dp.position WHERE s.position % 13 <> 0"""
+    return with_views(["v_source"], body, [("dp", DURATION_PAYLOAD)])
+
+
+@oracle("q_listen_payload")
+def _():
+    return with_views(["v_listen"], """SELECT artist, title, CAST(playcount AS BIGINT) AS playcount,
+      CAST(listeners AS BIGINT) AS listeners, array_to_string(tags, ', ') AS tags FROM v_listen
+      WHERE NOT contains(title, 'rod') AND playcount % 7 <> 0""")
+
+
+@oracle("q_cache_roundtrip")
+def _():
+    return with_views(["v_cache"], "SELECT fingerprint, bool_or(matched) AS matched, max(uri) AS uri "
+                                   "FROM v_cache GROUP BY fingerprint")
+
+
+# ---------------------------------------------------------------- streaming (batch SQL equivalents)
+@oracle("q_stream_incremental")
+def _():
+    return ORACLE["q_dedupe_last_wins"]()
+
+
+@oracle("q_stream_split")
+def _():
+    return ORACLE["q_split_existing"]()

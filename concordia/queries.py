@@ -318,3 +318,121 @@ def q_preview(spark, d):
 def q_listen_coverage(spark, d):
     b = N.listen_stats(fx.enriched(spark, d), fx.listen_stats(spark, d))
     return b.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("playcount") > 0).alias("with_listen_stats"))
+
+
+# ---------------------------------------------------------------- step 7: I/O
+from concordia.session import scratch_path  # noqa: E402
+from concordia.sources import cache as K  # noqa: E402
+from concordia.sources import csvio  # noqa: E402
+from concordia.sources import payloads as P  # noqa: E402
+from concordia.sources import snapshot as S  # noqa: E402
+
+ROUNDTRIP_COLS = ["title", "artist", "track_id", "duration", "isrc", "uri", "explicit", "danceability", "tempo",
+                  "loudness", "key", "mode", "time_signature", "audio_features_fetched", "popularity",
+                  "artist_genres", "playcount", "listeners", "tags", "match_method"]
+
+
+@query("q_csv_roundtrip")
+def q_csv_roundtrip(spark, d):
+    """Enriched table -> 40-column export -> read back typed."""
+    t = fx.enriched(spark, d)
+    t = N.backfill_genres(t, fx.catalog(spark, d), fx.artists(spark, d), "artist")
+    t = N.audio_features(t, fx.features(spark, d))
+    t = N.listen_stats(t, fx.listen_stats(spark, d))
+    path = scratch_path(spark, "enriched-csv")
+    csvio.write_enriched(t, path)
+    return csvio.read_enriched(spark, path).select(*ROUNDTRIP_COLS)
+
+
+SNAP_TS = ("2026-01-01T00-00-00", "2026-01-02T00-00-00")
+
+
+@query("q_snapshot_roundtrip")
+def q_snapshot_roundtrip(spark, d):
+    base = scratch_path(spark, "snapshots")
+    S.save_snapshot(fx.previous(spark, d), base, SNAP_TS[0])
+    S.save_snapshot(fx.current(spark, d), base, SNAP_TS[1])
+    latest = S.load_latest_snapshot(spark, base)
+    return latest.select("position", "platform", "track_id", "title", "artist", "album", "duration",
+                         "fingerprint", "snapshot_ts")
+
+
+@query("q_snapshot_history")
+def q_snapshot_history(spark, d):
+    base = scratch_path(spark, "snapshots")
+    S.save_snapshot(fx.previous(spark, d), base, SNAP_TS[0])
+    S.save_snapshot(fx.current(spark, d), base, SNAP_TS[1])
+    return S.snapshot_history(spark, base)
+
+
+@query("q_payload_flatten")
+def q_payload_flatten(spark, d):
+    src = fx.source(spark, d)
+    pl = src.join(duration_payload(src), "position")
+    pages = P.build_playlist_pages(pl, "pl-main", 100, null_item=(F.col("position") % 13 == 0))
+    path = scratch_path(spark, "playlist-pages")
+    pages.write.json(path)
+    flat = P.flatten_playlist(P.read_playlist_pages(spark, path))
+    return flat.select("position", "platform", "track_id", "title", "artist", "album", "isrc", "duration", "url")
+
+
+def listen_payload_rows(stats: DataFrame) -> DataFrame:
+    """Listen statistics as service payloads: 'rod' titles come back as an
+    error, every 7th play count is malformed, each tag list carries a
+    nameless tag."""
+    track = F.struct(
+        F.when(F.col("playcount") % 7 == 0, F.lit("n/a")).otherwise(F.col("playcount").cast("string"))
+         .alias("playcount"),
+        F.col("listeners").cast("string").alias("listeners"),
+        F.struct(F.concat(F.transform("tags", lambda t: F.struct(t.alias("name"))),
+                          F.array(F.struct(F.lit("").alias("name")))).alias("tag")).alias("toptags"))
+    err = F.col("title").contains("rod")
+    return stats.select(
+        F.col("artist").alias("lookup_artist"), F.col("title").alias("lookup_title"),
+        F.when(err, F.lit(6).cast("long")).alias("error"),
+        F.when(err, F.lit("Track not found")).alias("message"),
+        F.when(~err, track).alias("track"))
+
+
+@query("q_listen_payload")
+def q_listen_payload(spark, d):
+    path = scratch_path(spark, "listen-payloads")
+    listen_payload_rows(fx.listen_stats(spark, d)).write.json(path)
+    parsed = P.parse_listen_payloads(P.read_listen_payloads(spark, path))
+    return parsed.select("artist", "title", "playcount", "listeners",
+                         F.array_join("tags", ", ").alias("tags"))
+
+
+@query("q_cache_roundtrip")
+def q_cache_roundtrip(spark, d):
+    base = scratch_path(spark, "match-results")
+    c = fx.cache(spark, d)
+    K.write_match_results(c.where("matched"), base, "run-1")
+    K.write_match_results(c.where(~F.col("matched")), base, "run-2")
+    return K.read_match_cache(spark, base).select("fingerprint", "matched", F.coalesce("uri", F.lit("")).alias("uri"))
+
+
+# ---------------------------------------------------------------- step 9: streaming
+from concordia.streaming import incremental as T9  # noqa: E402
+
+
+def _stream(spark, d):
+    cur = fx.current(spark, d)
+    landing = scratch_path(spark, "landing")
+    T9.land_files(cur, landing, 4)
+    state = scratch_path(spark, "stream-state")
+    n = T9.run_incremental(spark, landing, cur.schema, state, scratch_path(spark, "stream-ckpt"),
+                           existing=fx.existing(spark, d))
+    return state, n
+
+
+@query("q_stream_incremental")
+def q_stream_incremental(spark, d):
+    state, _ = _stream(spark, d)
+    return T9.read_state(spark, state).select("fingerprint", "position", "title")
+
+
+@query("q_stream_split")
+def q_stream_split(spark, d):
+    state, _ = _stream(spark, d)
+    return T9.read_split(spark, state).select("position", "fingerprint", "state", "existing_uri")
