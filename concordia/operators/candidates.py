@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.config import MatchConfig
+from concordia.session import cut_lineage
 
 PAIR_SEP = "|"
 
@@ -50,20 +51,32 @@ def _pairs(arr: F.Column) -> F.Column:
                               lambda b: F.concat(F.element_at(arr, i + 1), F.lit(PAIR_SEP), b))))
 
 
-def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchConfig) -> DataFrame:
-    """(block, item cols..., c_keys) for single keys and, for hot keys, key pairs."""
+def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchConfig
+             ) -> tuple[DataFrame, DataFrame, bool]:
+    """(postings, block frequencies, has_pairs).
+
+    Postings are (block, item cols..., c_keys) for single keys and, when some
+    key is hot, for hot key pairs.  The frequency table is written to the
+    shared folder: it is read by both the query side and the salting step.
+    """
     base = index.select(*item_cols, F.col(keys_col).alias("c_keys"))
     single = base.select(F.explode("c_keys").alias("block"), *item_cols, "c_keys")
-    freq = single.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    freq = cut_lineage(single.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "key-freq")
     # Bounded: at most (#postings / hot_block_rows) keys can exceed the limit.
     hot = freq.where(F.col("n") > cfg.hot_block_rows).select(F.col("block").alias("hot_key"))
+    if not hot.take(1):
+        return single, freq, False
     hot_rows = single.join(F.broadcast(hot), single.block == hot.hot_key, "left_semi")
+    # collect_set per catalogue row is bounded by that row's own key count.
     per_item = (hot_rows.groupBy("catalog_id")
                 .agg(F.any_value(F.struct(*item_cols, "c_keys")).alias("it"),
                      F.array_sort(F.collect_set("block")).alias("hk"))
                 .where(F.size("hk") >= 2))
     pair = per_item.select(F.explode(_pairs(F.col("hk"))).alias("block"), "it.*")
-    return single.unionByName(pair.select("block", *item_cols, "c_keys")), freq
+    pair = pair.select("block", *item_cols, "c_keys")
+    pair_freq = pair.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    post = cut_lineage(single.unionByName(pair), "postings")
+    return post, cut_lineage(freq.unionByName(pair_freq), "block-freq"), True
 
 
 def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index: DataFrame,
@@ -73,15 +86,16 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     ``queries``: distinct rows of ``qkey_cols`` plus the query key array.
     ``index``: catalogue rows with ``item_cols`` (must include catalog_id,
     uri, popularity) and their key array.
-    Returns qkey_cols + item_cols + ``rank`` (1..k).
+    Returns qkey_cols + item_cols + ``rank`` (1..k), written to the shared
+    folder (it feeds both similarity branches and the scoring join).
     """
-    post, freq = postings(index, c_keys_col, item_cols, cfg)
+    post, freq, _ = postings(index, c_keys_col, item_cols, cfg)
     q = queries.select(*qkey_cols, F.col(q_keys_col).alias("q_keys")).where(F.size("q_keys") > 0)
 
     # Rarest keys of each query (a key absent from the catalogue => no candidate).
     qk = q.select(*qkey_cols, "q_keys", F.explode("q_keys").alias("block"))
-    qk = qk.join(freq, "block", "left").select(*qkey_cols, "q_keys", "block",
-                                                 F.coalesce("n", F.lit(0)).alias("n"))
+    qk = qk.join(freq, "block", "left").select(
+        *qkey_cols, "q_keys", "block", F.coalesce("n", F.lit(0)).alias("n"))
     # collect_list is bounded by the number of keys of one query.
     ranked = (qk.groupBy(*qkey_cols)
                 .agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("ks"),
@@ -91,8 +105,9 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     use_pair = (k1["n"] > cfg.hot_block_rows) & (F.size("ks") >= 2)
     block = F.when(use_pair, F.concat_ws(PAIR_SEP, F.array_sort(F.array(k1["block"], k2["block"]))))\
              .otherwise(k1["block"])
-    qb = ranked.select(*qkey_cols, "q_keys", block.alias("block"),
-                       (F.size("ks") == F.when(use_pair, F.lit(2)).otherwise(F.lit(1))).alias("exact"))
+    qb = cut_lineage(ranked.select(*qkey_cols, "q_keys", block.alias("block"),
+                                   (F.size("ks") == F.when(use_pair, F.lit(2)).otherwise(F.lit(1))).alias("exact")),
+                     "query-blocks")
 
     w_block = Window.partitionBy("block").orderBy(*_rank_order())
     w_query = Window.partitionBy(*qkey_cols).orderBy(*_rank_order())
@@ -106,10 +121,9 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
 
     # (4) general blocks: salted join + residual + per-query top-k.
     qg = qb.where(~F.col("exact"))
-    pfreq = post.groupBy("block").agg(F.count(F.lit(1)).alias("pn"))
     # Bounded: at most (#postings / rows_per_task) blocks are split.
-    split = (pfreq.where(F.col("pn") > cfg.rows_per_task)
-                  .select("block", F.ceil(F.col("pn") / F.lit(cfg.rows_per_task)).cast("int").alias("nb")))
+    split = (freq.where(F.col("n") > cfg.rows_per_task)
+                 .select("block", F.ceil(F.col("n") / F.lit(cfg.rows_per_task)).cast("int").alias("nb")))
     qg = (qg.join(F.broadcast(split), "block", "left")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)))
             .drop("nb"))
@@ -122,4 +136,4 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
               .withColumn("rank", F.row_number().over(w_query))
               .where(F.col("rank") <= k))
     general = hits.select(*qkey_cols, *item_cols, "rank")
-    return exact.unionByName(general)
+    return cut_lineage(exact.unionByName(general), "candidates")

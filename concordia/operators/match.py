@@ -135,7 +135,8 @@ def score_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
     rows = _with_close(probes.join(cands, qcols), cfg)
     if prune_threshold is not None:
         rows = _bound_filter(rows, cfg, with_artist, prune_threshold)
-    rows = _score(rows, cfg)
+    # written once: both similarity branches and the scoring join read it
+    rows = _score(cut_lineage(rows, "probe-candidates"), cfg)
     eff = F.least(F.col("score") + F.when(F.col("dur_close"), F.lit(cfg.pass2_bonus)).otherwise(F.lit(0.0)),
                   F.lit(1.0))
     return rows.withColumn("eff", eff)

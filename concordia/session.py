@@ -82,3 +82,18 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def warm_python_workers(spark: SparkSession) -> None:
+    """Start the Python workers once (a fixed per-session cost) by running
+    each Arrow helper over a tiny frame with one partition per task slot."""
+    from pyspark.sql import functions as F
+
+    from concordia.functions.fmt import fixed
+    from concordia.functions.similarity import ratio_udf
+    from concordia.functions.text import clean_text_udf
+    n = max(int(spark.sparkContext.defaultParallelism), 1)
+    df = spark.range(0, n * 4, 1, n).select(
+        "id", F.concat(F.lit("a&amp;"), F.col("id").cast("string")).alias("s"))
+    df.select(clean_text_udf("s"), ratio_udf("s", "s"), fixed(F.col("id"), 2)) \
+      .write.format("noop").mode("overwrite").save()
