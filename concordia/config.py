@@ -59,8 +59,8 @@ class MatchConfig:
     # Scale knobs: a block key whose posting list exceeds ``hot_block_rows``
     # is refined to a key pair; postings of big blocks are salted so that no
     # task handles more than ~``rows_per_task`` of them.
-    hot_block_rows: int = 200_000
-    rows_per_task: int = 50_000
+    hot_block_rows: int = 1_000_000
+    rows_per_task: int = 250_000
     # Drop candidates whose best possible score is below the pass threshold
     # before any Python runs (lossless: ratio <= 2*min(la,lb)/(la+lb)).
     prune_by_length_bound: bool = True
