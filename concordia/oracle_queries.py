@@ -269,6 +269,20 @@ def _():
     return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
 
 
+@oracle("q_sync_enriched")
+def _():
+    body = """SELECT s.position, s.fingerprint, e.uri, e.match_method, '' AS last_synced
+        FROM sp s JOIN ex e ON s.fingerprint = e.fingerprint WHERE s.state = 'already_matched'
+      UNION ALL SELECT position, fingerprint, cache_uri, 'cached', '2026-01-01T00:00:00' FROM cs
+        WHERE state = 'restored'
+      UNION ALL SELECT c.position, c.fingerprint, w.uri, w.method, '2026-01-01T00:00:00' FROM srch c
+        JOIN wf w ON c.position = w._id WHERE w.method <> ''
+      UNION ALL SELECT position, fingerprint, '', '', '' FROM cs WHERE state = 'known_unmatched'
+      UNION ALL SELECT c.position, c.fingerprint, '', '', '' FROM srch c JOIN wf w ON c.position = w._id
+        WHERE w.method = ''"""
+    return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
+
+
 # ---------------------------------------------------------------- enrichment
 _ENRICHED = ("en", """SELECT e.position, e.fingerprint, e.title, e.artist, e.uri, e.match_method, e.popularity,
   k.platform, k.track_id, k.album, k.isrc, k.duration, CAST(0 AS INT) AS duration_ms, '' AS artist_genres,
@@ -281,9 +295,9 @@ _E_VIEWS = ["v_existing", "v_keyed", "v_catalog"]
 def _():
     ctes = [ratio_cte(), _ENRICHED, ("um", "SELECT * FROM en WHERE uri = ''")]
     ctes += waterfall_ctes("um", duration=None, isrc=None)
-    ctes += [("nw", "SELECT u.position, u.fingerprint, w.uri, w.method AS match_method FROM um u "
+    ctes += [("nw", "SELECT u.fingerprint, w.uri, w.method AS match_method FROM um u "
                     "JOIN wf w ON u.position = w._id WHERE w.method <> '' AND w.uri <> ''")]
-    body = """SELECT position, fingerprint, uri, match_method FROM en
+    body = """SELECT fingerprint, uri, match_method FROM en
       WHERE fingerprint NOT IN (SELECT fingerprint FROM nw) UNION ALL SELECT * FROM nw"""
     return with_views(_E_VIEWS, body, ctes)
 
@@ -488,3 +502,30 @@ def _():
 @oracle("q_stream_split")
 def _():
     return ORACLE["q_split_existing"]()
+
+
+# ---------------------------------------------------------------- composite jobs
+@oracle("q_import_csv")
+def _():
+    return with_views(["v_keyed"], "SELECT title, artist, album, isrc, platform, track_id, duration, fingerprint "
+                                   "FROM v_keyed")
+
+
+@oracle("q_diff_job")
+def _():
+    fp = ("CASE WHEN track_id <> '' THEN platform || ':' || track_id "
+          "ELSE lower(platform || ':' || title || ':' || artist) END")
+    ctes = [("cf", f"SELECT position, {fp} AS fingerprint FROM v_cur"),
+            ("pf", f"SELECT position, {fp} AS fingerprint FROM v_prev"),
+            ("dc", _dedupe("cf")), ("dp", _dedupe("pf")),
+            ("dd", """SELECT CASE WHEN c.fingerprint IS NOT NULL AND p.fingerprint IS NOT NULL THEN 'unchanged'
+               WHEN c.fingerprint IS NOT NULL THEN 'added' ELSE 'removed' END AS change_type
+               FROM dc c FULL OUTER JOIN dp p ON c.fingerprint = p.fingerprint""")]
+    body = """SELECT added, removed, unchanged, (added > 0 OR removed > 0) AS has_changes,
+  concat_ws(', ', CASE WHEN added > 0 THEN '+' || CAST(added AS STRING) || ' added' END,
+    CASE WHEN removed > 0 THEN '-' || CAST(removed AS STRING) || ' removed' END,
+    CAST(unchanged AS STRING) || ' unchanged') AS summary
+  FROM (SELECT count(*) FILTER (WHERE change_type = 'added') AS added,
+    count(*) FILTER (WHERE change_type = 'removed') AS removed,
+    count(*) FILTER (WHERE change_type = 'unchanged') AS unchanged FROM dd)"""
+    return with_views(["v_cur", "v_prev"], body, ctes)

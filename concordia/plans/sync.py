@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from concordia.config import MatchConfig
 from concordia.operators import changes as C
 from concordia.operators import enrich as N
+from concordia.operators.keys import dedupe_last_wins
 from concordia.operators.diff import REMOVED, diff_counts, diff_snapshots
 from concordia.operators.match import match_waterfall
 from concordia.operators.report import sync_summary
@@ -96,9 +97,36 @@ def plan_sync(inp: SyncInputs, cfg: MatchConfig | None = None, limit: int | None
         out["to_remove"] = wanted.limit(0)
     out["batches"] = C.change_batches(out["to_add"], out["to_remove"])
     out["summary"] = sync_summary(final_states)
+    out["enriched"] = enriched_union(inp, final_states, res, run_ts)
+    out["unmatched"] = final_states.where(F.col("state").isin("unmatched", "known_unmatched"))
     return SyncPlan(out)
 
 
+def enriched_union(inp: SyncInputs, states: DataFrame, matches: DataFrame, run_ts: str) -> DataFrame:
+    """Enriched table of this run: already-resolved rows keep their enriched
+    values, cache hits and new matches are applied to the current row,
+    unresolved rows pass through; pending rows wait for a later run."""
+    track_cols = [c for c, _ in N.TRACK_COLUMNS]
+    keep = ["position", "fingerprint"]
+    cur = N.with_track_defaults(states)
+    parts = []
+    if inp.existing is not None:
+        ex = N.with_track_defaults(dedupe_last_wins(inp.existing, "fingerprint", "position")).drop("position")
+        already = states.where(F.col("state") == C.ALREADY).select("position", "fingerprint")
+        parts.append(already.join(ex, "fingerprint").select(*keep, *track_cols))
+    restored = cur.where(F.col("state") == C.RESTORED)
+    cached = restored.select("position", F.col("cache_uri").alias("uri"), F.lit("cached").alias("method"),
+                             F.lit(0.0).alias("confidence"))
+    parts.append(N.apply_match(restored, cached, "position", run_ts).select(*keep, *track_cols))
+    newly = cur.where(F.col("state") == "newly_matched")
+    parts.append(N.apply_match(newly, matches, "position", run_ts).select(*keep, *track_cols))
+    parts.append(cur.where(F.col("state").isin("unmatched", "known_unmatched")).select(*keep, *track_cols))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def apply(plan: SyncPlan, base_path: str, names: list[str] | None = None) -> dict[str, str]:
     """Write the selected outputs as Parquet under ``base_path`` (new dirs)."""
     written = {}

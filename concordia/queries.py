@@ -238,16 +238,24 @@ def q_sync_summary(spark, d):
     return _plan(spark, d)["summary"]
 
 
+@query("q_sync_enriched")
+def q_sync_enriched(spark, d):
+    """The run's enriched table: already resolved + cache hits + new matches + unresolved."""
+    e = _plan(spark, d)["enriched"]
+    return e.select("position", "fingerprint", "uri", "match_method", "last_synced")
+
+
 @query("q_retry_upsert")
 def q_retry_upsert(spark, d):
+    """Unmatched export (6 columns) -> resolve again -> upsert into enriched."""
+    from concordia.plans.jobs import retry_unmatched
+    from concordia.session import scratch_path
+    from concordia.sources import csvio
     ex = fx.enriched(spark, d)
-    um = ex.where(F.col("uri") == "").select("position", "fingerprint", "title", "artist", "album",
-                                              "track_id", "url", "platform")
-    res = match_waterfall(um, fx.catalog(spark, d), MatchConfig(), id_col="position")
-    newly = N.apply_match(N.with_track_defaults(um), res.where("matched"), "position", RUN_TS)
-    newly = newly.where(F.col("uri") != "")
-    out = C.retry_upsert(ex, N.with_track_defaults(newly).select(*ex.columns), "fingerprint")
-    return out.select("position", "fingerprint", "uri", "match_method")
+    path = scratch_path(spark, "unmatched-csv")
+    csvio.write_unmatched(ex.where(F.col("uri") == ""), path)
+    plan = retry_unmatched(spark, path, ex, fx.catalog(spark, d), MatchConfig(), RUN_TS)
+    return plan["enriched"].select("fingerprint", "uri", "match_method")
 
 
 # ---------------------------------------------------------------- step 6: enrichment
@@ -436,3 +444,41 @@ def q_stream_incremental(spark, d):
 def q_stream_split(spark, d):
     state, _ = _stream(spark, d)
     return T9.read_split(spark, state).select("position", "fingerprint", "state", "existing_uri")
+
+
+# ---------------------------------------------------------------- composite jobs
+from concordia.plans import jobs as J  # noqa: E402
+
+SOURCE_EXPORT = {"title": "title", "artist": "artist", "album": "album", "isrc": "isrc", "platform": "platform",
+                 "trackId": "track_id"}
+
+
+@query("q_import_csv")
+def q_import_csv(spark, d):
+    """List export -> import job (snapshot + enriched file) -> enriched file read back."""
+    src = fx.source(spark, d)
+    csv_path = scratch_path(spark, "source-csv")
+    export = src.select(*[F.col(v).alias(k) for k, v in SOURCE_EXPORT.items()],
+                        F.when(F.col("duration") != 0, F.col("duration").cast("string")).otherwise(F.lit(""))
+                        .alias("duration"))
+    csvio.write_csv(export, csv_path)
+    plan = J.import_csv(spark, csv_path)
+    snaps, enriched = scratch_path(spark, "import-snapshots"), scratch_path(spark, "import-enriched")
+    J.write_import(plan, snaps, enriched, SNAP_TS[0])
+    back = N.with_track_defaults(csvio.read_enriched(spark, enriched))
+    from concordia.operators.keys import fingerprint
+    return back.select("title", "artist", "album", "isrc", "platform", "track_id", "duration",
+                       fingerprint().alias("fingerprint"))
+
+
+@query("q_diff_job")
+def q_diff_job(spark, d):
+    """Snapshot the previous state, flatten the current playlist pages, diff."""
+    snaps = scratch_path(spark, "diff-snapshots")
+    S.save_snapshot(fx.previous(spark, d), snaps, SNAP_TS[0])
+    cur = fx.current(spark, d)
+    pl = cur.join(duration_payload(cur), "position")
+    pages_path = scratch_path(spark, "diff-pages")
+    P.build_playlist_pages(pl, "pl-main", 100).write.json(pages_path)
+    current = J.snapshot_from_pages(spark, pages_path)
+    return J.diff_job(current, spark, snaps)["summary"]
