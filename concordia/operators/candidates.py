@@ -80,7 +80,8 @@ def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchCo
 
 
 def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index: DataFrame,
-               c_keys_col: str, item_cols: list[str], cfg: MatchConfig, k: int) -> DataFrame:
+               c_keys_col: str, item_cols: list[str], cfg: MatchConfig, k: int,
+               built: tuple[DataFrame, DataFrame, bool] | None = None) -> DataFrame:
     """Top-k candidates per distinct query.
 
     ``queries``: distinct rows of ``qkey_cols`` plus the query key array.
@@ -88,8 +89,9 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     uri, popularity) and their key array.
     Returns qkey_cols + item_cols + ``rank`` (1..k), written to the shared
     folder (it feeds both similarity branches and the scoring join).
+    ``built``: postings already built for this index (shared by passes).
     """
-    post, freq, _ = postings(index, c_keys_col, item_cols, cfg)
+    post, freq, _ = built or postings(index, c_keys_col, item_cols, cfg)
     q = queries.select(*qkey_cols, F.col(q_keys_col).alias("q_keys")).where(F.size("q_keys") > 0)
 
     # Rarest keys of each query (a key absent from the catalogue => no candidate).
@@ -105,9 +107,9 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     use_pair = (k1["n"] > cfg.hot_block_rows) & (F.size("ks") >= 2)
     block = F.when(use_pair, F.concat_ws(PAIR_SEP, F.array_sort(F.array(k1["block"], k2["block"]))))\
              .otherwise(k1["block"])
-    qb = cut_lineage(ranked.select(*qkey_cols, "q_keys", block.alias("block"),
-                                   (F.size("ks") == F.when(use_pair, F.lit(2)).otherwise(F.lit(1))).alias("exact")),
-                     "query-blocks")
+    # one row per query; both branches below read it (the shuffle is reused)
+    qb = ranked.select(*qkey_cols, "q_keys", block.alias("block"),
+                       (F.size("ks") == F.when(use_pair, F.lit(2)).otherwise(F.lit(1))).alias("exact"))
 
     w_block = Window.partitionBy("block").orderBy(*_rank_order())
     w_query = Window.partitionBy(*qkey_cols).orderBy(*_rank_order())

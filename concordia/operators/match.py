@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from concordia.config import (METHOD_ISRC, METHOD_RELAXED, METHOD_TITLE_ARTIST, MatchConfig)
 from concordia.functions.similarity import pair_similarity, ratio_upper_bound
 from concordia.functions.text import blank, duration_close, first_artist, normalize_text, tokens
-from concordia.operators.candidates import candidates, field_keys
+from concordia.operators.candidates import candidates, field_keys, postings
 from concordia.session import cut_lineage
 
 # Catalogue columns carried into a match result (those present are kept).
@@ -51,7 +51,6 @@ def prepare_catalog(cat: DataFrame, name="name", artist="artist") -> DataFrame:
     nc = cat.select(*keep, normalize_text(name).alias("c_name"), normalize_text(artist).alias("c_artist"))
     return nc.select(
         "*",
-        field_keys("t:", tokens("c_name")).alias("k_title"),
         F.concat(field_keys("t:", tokens("c_name")), field_keys("a:", tokens("c_artist"))).alias("k_all"),
     )
 
@@ -103,8 +102,15 @@ def match_isrc(prepared: DataFrame, index: DataFrame, cfg: MatchConfig) -> DataF
     return rows.select("_id", *fields, F.lit(METHOD_ISRC).alias("method"), conf.alias("confidence"))
 
 
+def build_postings(index: DataFrame, cfg: MatchConfig):
+    """Postings over title and artist keys; they serve both fuzzy passes (a
+    title-only query holds only title keys, so containment in the full key
+    set is containment in the title keys)."""
+    return postings(index, "k_all", _fields(index) + ["c_name", "c_artist"], cfg)
+
+
 def search_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
-                      with_artist: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+                      with_artist: bool, built=None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Top-k candidates per distinct query of the prepared rows.
 
     Returns (candidates, eligible source rows, query columns)."""
@@ -119,18 +125,19 @@ def search_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
     else:
         src = prepared.where(F.col("s_title") != "")
         qkeys = field_keys("t:", tokens("s_title"))
-        ckeys = "k_title"
+        ckeys = "k_all"
     queries = src.select(*qcols).distinct().withColumn("q_keys", qkeys)
-    cands = candidates(queries, qcols, "q_keys", index, ckeys, item_cols, cfg, cfg.max_candidates)
+    cands = candidates(queries, qcols, "q_keys", index, ckeys, item_cols, cfg, cfg.max_candidates,
+                       built=built or build_postings(index, cfg))
     return cands, src, qcols
 
 
 def score_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
-                     with_artist: bool, prune_threshold: float | None = None) -> DataFrame:
+                     with_artist: bool, prune_threshold: float | None = None, built=None) -> DataFrame:
     """All top-k candidates of each distinct probe, scored.
 
     Returns probe columns + result fields + rank, score, eff (pass-2 score)."""
-    cands, src, qcols = search_candidates(prepared, index, cfg, with_artist)
+    cands, src, qcols = search_candidates(prepared, index, cfg, with_artist, built)
     probes = src.select(*_SRC).distinct()
     rows = _with_close(probes.join(cands, qcols), cfg)
     if prune_threshold is not None:
@@ -152,11 +159,12 @@ def _best(scored: DataFrame, fields: list[str], score_col: str, threshold: float
                 .withColumn("method", F.lit(method)))
 
 
-def match_fuzzy(prepared: DataFrame, index: DataFrame, cfg: MatchConfig, with_artist: bool) -> DataFrame:
+def match_fuzzy(prepared: DataFrame, index: DataFrame, cfg: MatchConfig, with_artist: bool,
+                built=None) -> DataFrame:
     """Pass 2 (``with_artist``) or pass 3 on the given rows: one row per matched _id."""
     fields = _fields(index)
     thr = cfg.pass2_threshold if with_artist else cfg.pass3_threshold
-    scored = score_candidates(prepared, index, cfg, with_artist, prune_threshold=thr)
+    scored = score_candidates(prepared, index, cfg, with_artist, prune_threshold=thr, built=built)
     best = _best(scored, fields, "eff" if with_artist else "score", thr,
                  METHOD_TITLE_ARTIST if with_artist else METHOD_RELAXED)
     best = cut_lineage(best, "pass-best")
@@ -189,13 +197,16 @@ def match_waterfall(src: DataFrame, catalog: DataFrame, cfg: MatchConfig | None
     fields = _fields(index)
     results = []
     rest = prepared
+    built = None
     for p in passes:
+        if p != "isrc" and built is None:
+            built = build_postings(index, cfg)
         if p == "isrc":
             hit = cut_lineage(match_isrc(rest, index, cfg), "pass-isrc")
         elif p == "title_artist":
-            hit = match_fuzzy(rest, index, cfg, with_artist=True)
+            hit = match_fuzzy(rest, index, cfg, with_artist=True, built=built)
         elif p == "relaxed":
-            hit = match_fuzzy(rest, index, cfg, with_artist=False)
+            hit = match_fuzzy(rest, index, cfg, with_artist=False, built=built)
         else:
             raise ValueError(p)
         results.append(hit)
