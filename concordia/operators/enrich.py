@@ -22,6 +22,12 @@ MATCH_FIELDS = {  # track column <- match result column
 }
 
 
+def lookup_by_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Bulk lookup: rows of ``table`` whose ``key`` is among ``ids`` (a semi
+    join on the distinct ids; absent ids simply give no row)."""
+    return table.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
 def with_track_defaults(df: DataFrame) -> DataFrame:
     """Add any missing track column with its sentinel and cast to its type."""
     out = []

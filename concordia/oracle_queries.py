@@ -529,3 +529,17 @@ def _():
     count(*) FILTER (WHERE change_type = 'removed') AS removed,
     count(*) FILTER (WHERE change_type = 'unchanged') AS unchanged FROM dd)"""
     return with_views(["v_cur", "v_prev"], body, ctes)
+
+
+@oracle("q_stream_matches")
+def _():
+    ctes = [ratio_cte(), _EX, _SPLIT, ("nm", "SELECT * FROM sp WHERE state = 'needs_matching'")]
+    ctes += waterfall_ctes("nm")
+    return with_views(_PLAN_VIEWS + ["v_source"],
+                      "SELECT _id AS position, uri, method, confidence, method <> '' AS matched FROM wf", ctes)
+
+
+@oracle("q_bulk_lookup")
+def _():
+    return with_views(["v_catalog", "v_existing"], """SELECT catalog_id, uri, duration_ms, popularity FROM v_catalog
+      WHERE catalog_id IN (SELECT split_part(uri, ':', -1) FROM v_existing WHERE uri <> '')""")

@@ -424,13 +424,14 @@ def q_cache_roundtrip(spark, d):
 from concordia.streaming import incremental as T9  # noqa: E402
 
 
-def _stream(spark, d):
+def _stream(spark, d, resolve=False):
     cur = fx.current(spark, d)
     landing = scratch_path(spark, "landing")
-    T9.land_files(cur, landing, 4)
+    T9.land_files(cur, landing, 2 if resolve else 4)
     state = scratch_path(spark, "stream-state")
     n = T9.run_incremental(spark, landing, cur.schema, state, scratch_path(spark, "stream-ckpt"),
-                           existing=fx.existing(spark, d))
+                           existing=fx.existing(spark, d),
+                           catalog=fx.catalog(spark, d) if resolve else None, cfg=MatchConfig())
     return state, n
 
 
@@ -440,6 +441,13 @@ def q_stream_incremental(spark, d):
     return T9.read_state(spark, state).select("fingerprint", "position", "title")
 
 
+@query("q_stream_matches")
+def q_stream_matches(spark, d):
+    """Arrivals resolved batch by batch (only rows not already resolved)."""
+    state, _ = _stream(spark, d, resolve=True)
+    return T9.read_matches(spark, state).select("position", *_OUT, "matched")
+
+
 @query("q_stream_split")
 def q_stream_split(spark, d):
     state, _ = _stream(spark, d)
@@ -482,3 +490,11 @@ def q_diff_job(spark, d):
     P.build_playlist_pages(pl, "pl-main", 100).write.json(pages_path)
     current = J.snapshot_from_pages(spark, pages_path)
     return J.diff_job(current, spark, snaps)["summary"]
+
+
+@query("q_bulk_lookup")
+def q_bulk_lookup(spark, d):
+    """Catalogue rows for the distinct ids of resolved rows (one semi join)."""
+    ids = fx.enriched(spark, d).where(F.col("uri") != "").select(X.uri_id("uri").alias("catalog_id"))
+    return N.lookup_by_ids(fx.catalog(spark, d), ids, "catalog_id").select(
+        "catalog_id", "uri", "duration_ms", "popularity")

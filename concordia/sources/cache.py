@@ -24,11 +24,15 @@ def write_match_results(results: DataFrame, base: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(base)
 
 
-def read_match_cache(spark: SparkSession, base: str | None) -> DataFrame:
-    """One row per fingerprint; absent table -> empty."""
+def read_match_cache(spark: SparkSession, base: str | None, run_ids: list[str] | None = None) -> DataFrame:
+    """One row per fingerprint; absent table -> empty.  ``run_ids`` limits
+    the read to the given runs (partition pruning), e.g. the run being
+    resumed; finished runs are simply not read again."""
     if base is None:
         return spark.createDataFrame([], MATCH_RESULT)
     df = spark.read.parquet(base)
+    if run_ids is not None:
+        df = df.where(F.col("run_id").isin(*run_ids))
     rest = [f.name for f in MATCH_RESULT.fields if f.name not in ("fingerprint", "matched")]
     best = df.groupBy("fingerprint").agg(
         F.max_by(F.struct(*rest), F.struct(F.col("matched"), F.col("run_id"), F.col("uri"))).alias("e"),

@@ -32,8 +32,14 @@ def land_files(df: DataFrame, path: str, n_files: int, by: str = "position") ->
 
 def run_incremental(spark: SparkSession, landing: str, schema: T.StructType, state_dir: str,
                     checkpoint: str, existing: DataFrame | None = None, key: str = "fingerprint",
-                    order: str = "position", files_per_batch: int = 1) -> int:
-    """Process every file not yet seen; returns the number of micro-batches run."""
+                    order: str = "position", files_per_batch: int = 1, catalog: DataFrame | None = None,
+                    cfg=None) -> int:
+    """Process every file not yet seen; returns the number of micro-batches run.
+
+    With ``catalog``, each batch's rows that are not already resolved in
+    ``existing`` are resolved (three-pass waterfall) and their results are
+    appended under ``matches/batch_id=<n>``: only new arrivals are searched.
+    """
     batches = []
     if existing is not None:
         ex = existing.select(key, "position", "uri")
@@ -41,10 +47,16 @@ def run_incremental(spark: SparkSession, landing: str, schema: T.StructType, sta
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         delta = dedupe_last_wins(batch, key, order)
         delta.write.mode("overwrite").parquet(f"{state_dir}/delta/batch_id={batch_id}")
+        todo = batch
         if existing is not None:
             sp = split_existing(batch, ex, key, order)
             sp.select(key, order, "state", "existing_uri").write.mode("overwrite") \
               .parquet(f"{state_dir}/split/batch_id={batch_id}")
+            todo = sp.where(F.col("state") == "needs_matching").drop("state", "existing_uri")
+        if catalog is not None:
+            from concordia.operators.match import match_waterfall
+            res = match_waterfall(todo, catalog, cfg, id_col=order)
+            res.write.mode("overwrite").parquet(f"{state_dir}/matches/batch_id={batch_id}")
         batches.append(batch_id)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -63,3 +75,7 @@ def read_state(spark: SparkSession, state_dir: str, key: str = "fingerprint", or
 
 def read_split(spark: SparkSession, state_dir: str) -> DataFrame:
     return spark.read.parquet(f"{state_dir}/split").drop("batch_id")
+
+
+def read_matches(spark: SparkSession, state_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{state_dir}/matches").drop("batch_id")
