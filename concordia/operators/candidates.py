@@ -92,6 +92,10 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     ``built``: postings already built for this index (shared by passes).
     """
     post, freq, _ = built or postings(index, c_keys_col, item_cols, cfg)
+    # Only identity + rank columns travel through the block join; the other
+    # catalogue columns are attached to the final top-k rows.
+    slim = ["catalog_id", "uri", "popularity"]
+    post = post.select("block", *slim, "c_keys")
     q = queries.select(*qkey_cols, F.col(q_keys_col).alias("q_keys")).where(F.size("q_keys") > 0)
 
     # Rarest keys of each query (a key absent from the catalogue => no candidate).
@@ -119,7 +123,7 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     top_block = (post.join(qe.select("block").distinct(), "block", "left_semi")
                      .withColumn("rank", F.row_number().over(w_block))
                      .where(F.col("rank") <= k))
-    exact = qe.select(*qkey_cols, "block").join(top_block, "block").select(*qkey_cols, *item_cols, "rank")
+    exact = qe.select(*qkey_cols, "block").join(top_block, "block").select(*qkey_cols, *slim, "rank")
 
     # (4) general blocks: salted join + residual + per-query top-k.
     qg = qb.where(~F.col("exact"))
@@ -134,8 +138,13 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
               .withColumn("salt", F.pmod(F.xxhash64("catalog_id"), F.coalesce("nb", F.lit(1)).cast("long")).cast("int"))
               .drop("nb"))
     hits = (qg.join(pg, ["block", "salt"])
-              .where(F.size(F.array_except("q_keys", "c_keys")) == 0)
+              .where(F.forall("q_keys", lambda key: F.array_contains("c_keys", key)))
               .withColumn("rank", F.row_number().over(w_query))
               .where(F.col("rank") <= k))
-    general = hits.select(*qkey_cols, *item_cols, "rank")
-    return cut_lineage(exact.unionByName(general), "candidates")
+    general = hits.select(*qkey_cols, *slim, "rank")
+    top = exact.unionByName(general)
+    rest = [c for c in item_cols if c not in slim]
+    if rest:
+        # k rows per query meet the catalogue once, by id
+        top = top.join(index.select("catalog_id", *rest), "catalog_id")
+    return cut_lineage(top.select(*qkey_cols, *item_cols, "rank"), "candidates")
