@@ -58,13 +58,9 @@ def clean_text_udf(s: pa.Array) -> pa.Array:
     need = pc.fill_null(pc.or_(pc.invert(pc.string_is_ascii(s)), pc.match_substring(s, "&")), False)
     if not pc.any(need).as_py():
         return s
-    idx = pc.indices_nonzero(need)
-    fixed = pa.array(_clean_py(pc.take(s, idx).to_pylist()), type=pa.string())
-    # scatter the fixed strings back in place
-    py = s.to_pylist()
-    for i, v in zip(idx.to_pylist(), fixed.to_pylist()):
-        py[i] = v
-    return pa.array(py, type=pa.string())
+    fixed = pa.array(_clean_py(pc.filter(s, need).to_pylist()), type=pa.string())
+    # vectorised scatter: only the strings that needed it went through Python
+    return pc.replace_with_mask(s, need, fixed)
 
 
 def blank(c: Column | str) -> Column:
