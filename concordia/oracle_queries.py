@@ -543,3 +543,19 @@ def _():
 def _():
     return with_views(["v_catalog", "v_existing"], """SELECT catalog_id, uri, duration_ms, popularity FROM v_catalog
       WHERE catalog_id IN (SELECT split_part(uri, ':', -1) FROM v_existing WHERE uri <> '')""")
+
+
+@oracle("q_catalog_payload")
+def _():
+    k = "CAST(substr(catalog_id, 2) AS BIGINT)"
+    return with_views(["v_catalog"], f"""SELECT catalog_id, uri, 'https://open.example/track/' || catalog_id AS url,
+      name, artist, isrc, duration_ms, explicit,
+      CASE WHEN {k} % 10 <> 0 THEN popularity ELSE 0 END AS popularity,
+      CASE WHEN {k} % 9 <> 0 THEN album_type ELSE '' END AS album_type, track_number,
+      CASE WHEN {k} % 9 <> 0 THEN release_date ELSE '' END AS release_date, artist AS artist_id FROM v_catalog""")
+
+
+@oracle("q_target_pages")
+def _():
+    return with_views(["v_catalog"], """SELECT uri, catalog_id, artist AS artist_id FROM v_catalog
+      WHERE popularity % 3 = 0 AND CAST(substr(catalog_id, 2) AS BIGINT) % 7 <> 0""")

@@ -498,3 +498,41 @@ def q_bulk_lookup(spark, d):
     ids = fx.enriched(spark, d).where(F.col("uri") != "").select(X.uri_id("uri").alias("catalog_id"))
     return N.lookup_by_ids(fx.catalog(spark, d), ids, "catalog_id").select(
         "catalog_id", "uri", "duration_ms", "popularity")
+
+
+def catalog_payload_rows(cat: DataFrame) -> DataFrame:
+    """Catalogue rows as nested service payloads (artist list, album and id
+    structs); every 9th track lacks its album, every 10th its popularity.
+    The link base is a placeholder address."""
+    k = F.substring(F.col("catalog_id"), 2, 20).cast("long")
+    return cat.select(
+        F.col("catalog_id").alias("id"), "uri", "name", "duration_ms", "explicit",
+        F.when(k % 10 != 0, F.col("popularity")).alias("popularity"), "track_number",
+        F.struct(F.col("isrc")).alias("external_ids"),
+        F.struct(F.concat(F.lit("https://open.example/track/"), F.col("catalog_id")).alias("spotify"))
+         .alias("external_urls"),
+        F.when(k % 9 != 0, F.struct(F.col("release_date"), F.col("album_type"))).alias("album"),
+        F.array(F.struct(F.col("artist").alias("name"), F.col("artist").alias("id"))).alias("artists"))
+
+
+@query("q_catalog_payload")
+def q_catalog_payload(spark, d):
+    """Nested catalogue tracks -> flat catalogue table."""
+    path = scratch_path(spark, "catalog-tracks")
+    catalog_payload_rows(fx.catalog(spark, d)).write.json(path)
+    return P.catalog_from_payload(P.read_catalog_tracks(spark, path))
+
+
+@query("q_target_pages")
+def q_target_pages(spark, d):
+    """Target list pages (at most 100 items each, every 7th track null) -> uris."""
+    tgt = catalog_payload_rows(fx.catalog(spark, d).where(F.col("popularity") % 3 == 0))
+    n = F.col("id").substr(2, 20).cast("long")
+    items = tgt.select(F.floor(n / 100).cast("long").alias("page"), (n % 100).alias("pos"),
+                       F.when(n % 7 != 0, F.struct(*tgt.columns)).alias("track"))
+    pages = (items.groupBy("page")
+                  .agg(F.array_sort(F.collect_list(F.struct("pos", "track"))).alias("l"))
+                  .select("page", F.transform("l", lambda e: F.struct(e["track"].alias("track"))).alias("items")))
+    path = scratch_path(spark, "target-pages")
+    pages.write.json(path)
+    return P.flatten_target(P.read_target_pages(spark, path)).select("uri", "catalog_id", "artist_id")

@@ -132,3 +132,19 @@ INTERNAL_TO_EXPORT = {
     "listeners": "lastfm_listeners", "tags": "lastfm_tags",
 }
 EXPORT_TO_INTERNAL = {v: k for k, v in INTERNAL_TO_EXPORT.items()}
+
+# Catalogue track payload (one JSON object per track).
+CATALOG_TRACK = T.StructType([
+    T.StructField("id", _S), T.StructField("uri", _S), T.StructField("name", _S),
+    T.StructField("duration_ms", _I), T.StructField("explicit", _B), T.StructField("popularity", _I),
+    T.StructField("track_number", _I),
+    T.StructField("external_ids", T.StructType([T.StructField("isrc", _S)])),
+    T.StructField("external_urls", T.StructType([T.StructField("spotify", _S)])),
+    T.StructField("album", T.StructType([T.StructField("release_date", _S), T.StructField("album_type", _S)])),
+    T.StructField("artists", T.ArrayType(ARTIST_REF)),
+])
+# Target list page: items whose track may be null.
+TARGET_PAGE = T.StructType([
+    T.StructField("page", _L),
+    T.StructField("items", T.ArrayType(T.StructType([T.StructField("track", CATALOG_TRACK)]))),
+])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions.text import DEFAULT_ITEM_URL_BASE, blank, item_url, join_list, parse_duration, tag_names
 from concordia.operators.keys import fingerprint
-from concordia.schema import LISTEN_PAYLOAD, PLAYLIST_PAGE
+from concordia.schema import CATALOG_TRACK, LISTEN_PAYLOAD, PLAYLIST_PAGE, TARGET_PAGE
 
 
 def read_playlist_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -73,3 +73,43 @@ def parse_listen_payloads(payloads: DataFrame) -> DataFrame:
         tag_names(F.col("track.toptags.tag")).alias("tags"),
     )
     return parsed.where(F.col("playcount").isNotNull() & F.col("listeners").isNotNull())
+
+
+def read_catalog_tracks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CATALOG_TRACK).json(path)
+
+
+def flatten_catalog_track(t: F.Column | str = "t") -> list[F.Column]:
+    """Flat match fields of a nested catalogue track: absent keys take their
+    defaults, artists are joined with ', ', the first artist's id is kept."""
+    x = F.col(t) if isinstance(t, str) else t
+    arts = F.filter(F.coalesce(x["artists"], F.array()), lambda a: a.isNotNull())
+    return [
+        blank(x["id"]).alias("catalog_id"), blank(x["uri"]).alias("uri"),
+        blank(x["external_urls"]["spotify"]).alias("url"), blank(x["name"]).alias("name"),
+        join_list(F.transform(arts, lambda a: F.coalesce(a["name"], F.lit("")))).alias("artist"),
+        blank(x["external_ids"]["isrc"]).alias("isrc"),
+        F.coalesce(x["duration_ms"], F.lit(0)).alias("duration_ms"),
+        F.coalesce(x["explicit"], F.lit(False)).alias("explicit"),
+        F.coalesce(x["popularity"], F.lit(0)).alias("popularity"),
+        blank(x["album"]["album_type"]).alias("album_type"),
+        F.coalesce(x["track_number"], F.lit(0)).alias("track_number"),
+        blank(x["album"]["release_date"]).alias("release_date"),
+        F.coalesce(F.element_at(arts, 1)["id"], F.lit("")).alias("artist_id"),
+    ]
+
+
+def catalog_from_payload(tracks: DataFrame) -> DataFrame:
+    """Nested catalogue tracks -> the flat catalogue table the resolver reads."""
+    return tracks.select(F.struct(*tracks.columns).alias("t")).select(*flatten_catalog_track("t"))
+
+
+def read_target_pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TARGET_PAGE).json(path)
+
+
+def flatten_target(pages: DataFrame) -> DataFrame:
+    """Target list pages -> one row per non-null track (uri + list position)."""
+    x = pages.select("page", F.posexplode_outer("items").alias("idx", "it"))
+    x = x.where(F.col("it").isNotNull() & F.col("it.track").isNotNull())
+    return x.select("page", "idx", *flatten_catalog_track(F.col("it.track")))
