@@ -559,3 +559,19 @@ def _():
 def _():
     return with_views(["v_catalog"], """SELECT uri, catalog_id, artist AS artist_id FROM v_catalog
       WHERE popularity % 3 = 0 AND CAST(substr(catalog_id, 2) AS BIGINT) % 7 <> 0""")
+
+
+
+@oracle("q_artist_payload")
+def _():
+    return with_views(["v_artist"], """SELECT artist_id, CASE WHEN CAST(split_part(artist_id, '#', -1) AS BIGINT) % 4 <> 0
+      THEN array_to_string(genres, ', ') ELSE '' END AS genre_text FROM v_artist""")
+
+
+@oracle("q_features_payload")
+def _():
+    from concordia.schema import AUDIO_FEATURES
+    cols = ", ".join(f if f != "tempo" else
+                     "CASE WHEN CAST(substr(catalog_id, 2) AS BIGINT) % 5 <> 0 THEN tempo END AS tempo"
+                     for f in AUDIO_FEATURES)
+    return with_views(["v_features"], f"SELECT catalog_id, {cols} FROM v_features")

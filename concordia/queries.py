@@ -536,3 +536,27 @@ def q_target_pages(spark, d):
     path = scratch_path(spark, "target-pages")
     pages.write.json(path)
     return P.flatten_target(P.read_target_pages(spark, path)).select("uri", "catalog_id", "artist_id")
+
+
+
+@query("q_artist_payload")
+def q_artist_payload(spark, d):
+    """Artist payloads (every 4th without a genre list) -> genre text per artist."""
+    a = fx.artists(spark, d)
+    n = F.substring_index("artist_id", "#", -1).cast("long")
+    path = scratch_path(spark, "artist-payloads")
+    a.select(F.col("artist_id").alias("id"), F.when(n % 4 != 0, F.col("genres")).alias("genres")).write.json(path)
+    r = P.read_artists(spark, path)
+    return r.select("artist_id", F.array_join("genres", ", ").alias("genre_text"))
+
+
+@query("q_features_payload")
+def q_features_payload(spark, d):
+    """Audio-feature payloads (tempo absent on every 5th) -> typed features."""
+    from concordia.schema import AUDIO_FEATURES
+    f = fx.features(spark, d)
+    n = F.substring(F.col("catalog_id"), 2, 20).cast("long")
+    path = scratch_path(spark, "feature-payloads")
+    f.select(F.col("catalog_id").alias("id"), *[c for c in AUDIO_FEATURES if c != "tempo"],
+             F.when(n % 5 != 0, F.col("tempo")).alias("tempo")).write.json(path)
+    return P.read_features(spark, path).select("catalog_id", *AUDIO_FEATURES)

@@ -148,3 +148,8 @@ TARGET_PAGE = T.StructType([
     T.StructField("page", _L),
     T.StructField("items", T.ArrayType(T.StructType([T.StructField("track", CATALOG_TRACK)]))),
 ])
+
+# Artist payload and audio-feature payload (each feature optional).
+ARTIST_PAYLOAD = T.StructType([T.StructField("id", _S), T.StructField("genres", T.ArrayType(_S))])
+FEATURES_PAYLOAD = T.StructType([T.StructField("id", _S)] + [
+    T.StructField(f, _I if f in ("key", "mode", "time_signature") else _D) for f in AUDIO_FEATURES])

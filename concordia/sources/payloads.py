@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from concordia.functions.text import DEFAULT_ITEM_URL_BASE, blank, item_url, join_list, parse_duration, tag_names
 from concordia.operators.keys import fingerprint
-from concordia.schema import CATALOG_TRACK, LISTEN_PAYLOAD, PLAYLIST_PAGE, TARGET_PAGE
+from concordia.schema import (ARTIST_PAYLOAD, CATALOG_TRACK, FEATURES_PAYLOAD, LISTEN_PAYLOAD, PLAYLIST_PAGE,
+                              TARGET_PAGE)
 
 
 def read_playlist_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -113,3 +114,17 @@ def flatten_target(pages: DataFrame) -> DataFrame:
     x = pages.select("page", F.posexplode_outer("items").alias("idx", "it"))
     x = x.where(F.col("it").isNotNull() & F.col("it.track").isNotNull())
     return x.select("page", "idx", *flatten_catalog_track(F.col("it.track")))
+
+
+def read_artists(spark: SparkSession, path: str) -> DataFrame:
+    """Artist payloads -> (artist_id, genres); null payloads and ids dropped."""
+    a = spark.read.schema(ARTIST_PAYLOAD).json(path)
+    return a.where(F.col("id").isNotNull()).select(
+        F.col("id").alias("artist_id"), F.coalesce("genres", F.array().cast("array<string>")).alias("genres"))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Audio-feature payloads -> catalog_id + features (absent stay NULL; the
+    enrichment step applies the defaults)."""
+    f = spark.read.schema(FEATURES_PAYLOAD).json(path)
+    return f.where(F.col("id").isNotNull()).withColumnRenamed("id", "catalog_id")
