@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.functions.text import blank
+from concordia.session import cut_lineage
 
 
 def fingerprint(platform="platform", track_id="track_id", title="title", artist="artist") -> Column:
@@ -41,22 +42,28 @@ def with_scan_position(df: DataFrame, out: str = "position") -> DataFrame:
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_no",
                       num_partitions: int | None = None) -> DataFrame:
     """Dense 1-based row number over a global order, without a
-    single-partition window.
+    single-partition window and without a second shuffle of the rows.
 
-    Range-partition on the order, number rows inside each partition, then add
-    the count of all earlier partitions (a table with one row per partition,
-    so its size is bounded by the partition count and it is broadcast).
+    Range-partition on the order and sort inside each partition; there,
+    ``monotonically_increasing_id`` counts rows consecutively (partition id
+    in the upper bits, row index in the lower 33).  Each partition's offset
+    is the count of all earlier partitions: a table with one row per
+    partition (bounded by the partition count), so it is broadcast.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    local = ranged.withColumn("_lrn", F.row_number().over(w))
+    local = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+               .withColumn("_lrn", (F.col("_mid") - F.shiftleft(F.col("_pid"), 33)) + 1))
+    # written once: the ids feed both the counts and the join, so they must
+    # not be recomputed (and a lost executor does not renumber anything)
+    local = cut_lineage(local, "row-numbers")
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = counts.select(
         "_pid",
-        (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offs = offs.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
+        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offs), "_pid")
                  .withColumn(out, F.col("_off") + F.col("_lrn"))
-                 .drop("_pid", "_lrn", "_off"))
+                 .drop("_pid", "_lrn", "_off", "_mid"))
