@@ -1,9 +1,10 @@
 """Enrichment: apply resolver results and fill lookups by joins.
 
-Each backfill is one left join against a landed lookup table.  The "needs"
-predicate goes into the join condition (and into a pre-filter of the key
-set), so rows that need nothing pass through untouched.  Duplicate keys fan
-out: every track sharing a catalogue id or (artist, title) gets the values.
+Each backfill is one left join against a landed lookup table, applied only
+to the rows whose "needs" predicate holds; the other rows are unioned back
+untouched (they never enter the shuffle, so there is no NULL-key partition).
+Duplicate keys fan out: every track sharing a catalogue id or (artist,
+title) gets the values.
 """
 
 from __future__ import annotations

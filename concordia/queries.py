@@ -184,7 +184,7 @@ def q_match_thresholds(spark, d):
 from concordia.operators import changes as C  # noqa: E402
 from concordia.operators import enrich as N  # noqa: E402
 from concordia.operators import report as R  # noqa: E402
-from concordia.plans.sync import plan_states, plan_sync  # noqa: E402
+from concordia.plans.sync import plan_sync  # noqa: E402
 
 RUN_TS = "2026-01-01T00:00:00"
 LIMIT_N = 250

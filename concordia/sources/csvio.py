@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import fmt
 from concordia.functions.text import blank, first_nonblank, parse_bool
-from concordia.schema import (ENRICHED_COLUMNS, EXPORT_TO_INTERNAL, INTERNAL_TO_EXPORT, TRACK_COLUMNS,
-                              TRACK_DEFAULTS, UNMATCHED_COLUMNS)
+from concordia.schema import ENRICHED_COLUMNS, INTERNAL_TO_EXPORT, TRACK_COLUMNS, TRACK_DEFAULTS, UNMATCHED_COLUMNS
 
 _FOUR = ["danceability", "energy", "valence", "speechiness", "acousticness", "instrumentalness", "liveness"]
 
@@ -127,5 +126,5 @@ def read_source_tracks(spark: SparkSession, path: str, mode: str = "strict") ->
     return typed_tracks(raw, mode, keep=("position",))
 
 
-__all__ = ["read_csv_strings", "typed_tracks", "read_enriched", "export_columns", "write_enriched",
-           "write_unmatched", "read_source_tracks", "EXPORT_TO_INTERNAL"]
+__all__ = ["read_csv_strings", "typed_tracks", "read_enriched", "export_columns", "write_csv", "write_enriched",
+           "write_unmatched", "read_source_tracks"]
