@@ -137,6 +137,45 @@ def apply(plan: SyncPlan, base_path: str, names: list[str] | None = None) -> dic
     return written
 
 
+@dataclass
+class SyncPaths:
+    """Where a sync run writes (all under shared storage; new dirs per run)."""
+    enriched_csv: str | None = None      # 40-column export
+    unmatched_csv: str | None = None     # 6-column export
+    snapshot_base: str | None = None     # partitioned by snapshot_ts
+    match_results: str | None = None     # resume table, partitioned by run_id
+
+
+def apply_outputs(plan: SyncPlan, inp: SyncInputs, paths: SyncPaths, run_id: str, snapshot_ts: str,
+                  dry_run: bool = False) -> dict[str, str]:
+    """Write a sync run's edge outputs; a dry run writes nothing."""
+    from concordia.sources import cache as K
+    from concordia.sources import csvio
+    from concordia.sources import snapshot as S
+    if dry_run:
+        return {}
+    done = {}
+    enriched = enrich_all(plan["enriched"], inp)
+    if paths.enriched_csv:
+        csvio.write_enriched(enriched, paths.enriched_csv)
+        done["enriched_csv"] = paths.enriched_csv
+    if paths.unmatched_csv:
+        um = plan["enriched"].where(F.col("uri") == "")
+        csvio.write_unmatched(um, paths.unmatched_csv)
+        done["unmatched_csv"] = paths.unmatched_csv
+    if paths.snapshot_base:
+        S.save_snapshot(inp.current, paths.snapshot_base, snapshot_ts)
+        done["snapshot"] = paths.snapshot_base
+    if paths.match_results:
+        m = plan["matches"].join(plan["states"].select("position", "fingerprint"), "position")
+        K.write_match_results(m.select("fingerprint", "matched", "uri", "method", "confidence", "isrc",
+                                       "explicit", F.col("release_date").alias("album_release_date"),
+                                       "duration_ms", "popularity", "album_type", "track_number"),
+                              paths.match_results, run_id)
+        done["match_results"] = paths.match_results
+    return done
+
+
 def enrich_all(tracks: DataFrame, inp: SyncInputs) -> DataFrame:
     """Metadata, genres, audio features and listen statistics, in that order."""
     t = N.backfill_metadata(tracks, inp.catalog)

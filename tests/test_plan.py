@@ -79,3 +79,25 @@ def test_sync_twice_is_idempotent(spark):
     second = plan_sync(inp)
     assert first["to_add"].count() > 0
     assert second["to_add"].count() == 0
+
+
+def test_apply_outputs_and_dry_run(spark, tmp_path):
+    import os
+
+    from concordia.plans.sync import SyncPaths, apply_outputs, plan_sync
+    from concordia.sources import cache as K
+    from concordia.sources import csvio
+    from concordia.sources import snapshot as S
+    inp = fx.sync_inputs(spark, SF001)
+    plan = plan_sync(inp, run_ts="TS")
+    paths = SyncPaths(*(str(tmp_path / n) for n in ("enriched", "unmatched", "snaps", "results")))
+    assert apply_outputs(plan, inp, paths, "run-1", "2026-01-01T00-00-00", dry_run=True) == {}
+    assert not any(os.path.exists(p) for p in vars(paths).values())
+    done = apply_outputs(plan, inp, paths, "run-1", "2026-01-01T00-00-00")
+    assert set(done) == {"enriched_csv", "unmatched_csv", "snapshot", "match_results"}
+    enriched = csvio.read_enriched(spark, paths.enriched_csv)
+    assert enriched.count() == plan["enriched"].count()
+    assert enriched.where("audio_features_fetched").count() == enriched.where(F.col("uri") != "").count()
+    assert S.load_latest_snapshot(spark, paths.snapshot_base).count() == inp.current.count()
+    cache = K.read_match_cache(spark, paths.match_results)
+    assert cache.count() == plan["matches"].join(plan["states"], "position").select("fingerprint").distinct().count()
