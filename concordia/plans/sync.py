@@ -9,7 +9,7 @@ simply not calling ``apply``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +38,35 @@ class SyncInputs:
     artist_id_col: str = "artist_id"
 
 
-@dataclass
 class SyncPlan:
-    outputs: dict[str, DataFrame] = field(default_factory=dict)
+    """Named outputs of a run, each built on first use and then reused.
+
+    Nothing is planned (let alone run) for an output nobody asks for, so a
+    summary-only request never builds change-set batches or the enriched
+    table."""
+
+    def __init__(self):
+        self._builders = {}
+        self._built: dict[str, DataFrame] = {}
+
+    def output(self, name: str):
+        def deco(fn):
+            self._builders[name] = fn
+            return fn
+        return deco
 
-    def __getitem__(self, k):
-        return self.outputs[k]
+    def __getitem__(self, k: str) -> DataFrame:
+        if k not in self._built:
+            self._built[k] = self._builders[k]()
+        return self._built[k]
+
+    @property
+    def names(self) -> list[str]:
+        return [k for k in self._builders if not k.startswith("_")]
+
+    @property
+    def outputs(self) -> dict[str, DataFrame]:
+        return {k: self[k] for k in self.names}
 
 
 def plan_states(inp: SyncInputs, limit: int | None = None) -> DataFrame:
@@ -68,38 +91,70 @@ def plan_states(inp: SyncInputs, limit: int | None = None) -> DataFrame:
 def plan_sync(inp: SyncInputs, cfg: MatchConfig | None = None, limit: int | None = None,
               run_ts: str = "1970-01-01T00:00:00", strict_parity: bool = False) -> SyncPlan:
     cfg = cfg or MatchConfig()
-    out: dict[str, DataFrame] = {}
-    diff = diff_snapshots(inp.current, inp.previous, "fingerprint", "position",
-                          cols=[c for c in inp.current.columns if c != "fingerprint"])
-    out["diff"] = diff
-    out["diff_summary"] = diff_counts(diff)
-    states = cut_lineage(plan_states(inp, limit), "sync-states")
-    to_search = states.where(F.col("state") == C.SEARCH)
-    res = match_waterfall(to_search, inp.catalog, cfg, id_col="position")
-    res = cut_lineage(res, "sync-matches")
-    out["matches"] = res
-    newly = res.where("matched").select("position", F.lit("newly_matched").alias("new_state"))
-    final_states = (states.join(newly, "position", "left")
-                          .withColumn("state", F.when(F.col("state") == C.SEARCH,
-                                                      F.coalesce("new_state", F.lit("unmatched")))
-                                      .otherwise(F.col("state"))).drop("new_state"))
-    out["states"] = final_states
-    wanted = (final_states.select(F.when(F.col("state") == C.ALREADY, F.col("existing_uri"))
-                                  .when(F.col("state") == C.RESTORED, F.col("cache_uri")).alias("uri"))
-              .unionByName(res.where("matched").select("uri")))
-    wanted = wanted.where(F.coalesce(F.col("uri"), F.lit("")) != "")
-    target = inp.target if inp.target is not None else wanted.limit(0)
-    out["to_add"] = C.to_add(wanted, target)
-    if inp.previous is not None and inp.existing is not None:
-        removed = diff.where(F.col("change_type") == REMOVED)
-        out["to_remove"] = C.to_remove(removed, inp.existing, wanted, strict_parity=strict_parity)
-    else:
-        out["to_remove"] = wanted.limit(0)
-    out["batches"] = C.change_batches(out["to_add"], out["to_remove"])
-    out["summary"] = sync_summary(final_states)
-    out["enriched"] = enriched_union(inp, final_states, res, run_ts)
-    out["unmatched"] = final_states.where(F.col("state").isin("unmatched", "known_unmatched"))
-    return SyncPlan(out)
+    plan = SyncPlan()
+
+    @plan.output("diff")
+    def _diff():
+        return diff_snapshots(inp.current, inp.previous, "fingerprint", "position",
+                              cols=[c for c in inp.current.columns if c != "fingerprint"])
+
+    @plan.output("diff_summary")
+    def _diff_summary():
+        return diff_counts(plan["diff"])
+
+    @plan.output("_states")
+    def _states():
+        return cut_lineage(plan_states(inp, limit), "sync-states")
+
+    @plan.output("matches")
+    def _matches():
+        to_search = plan["_states"].where(F.col("state") == C.SEARCH)
+        return cut_lineage(match_waterfall(to_search, inp.catalog, cfg, id_col="position"), "sync-matches")
+
+    @plan.output("states")
+    def _final_states():
+        newly = plan["matches"].where("matched").select("position", F.lit("newly_matched").alias("new_state"))
+        return (plan["_states"].join(newly, "position", "left")
+                .withColumn("state", F.when(F.col("state") == C.SEARCH, F.coalesce("new_state", F.lit("unmatched")))
+                            .otherwise(F.col("state"))).drop("new_state"))
+
+    @plan.output("_wanted")
+    def _wanted():
+        st = plan["states"]
+        w = (st.select(F.when(F.col("state") == C.ALREADY, F.col("existing_uri"))
+                       .when(F.col("state") == C.RESTORED, F.col("cache_uri")).alias("uri"))
+               .unionByName(plan["matches"].where("matched").select("uri")))
+        return w.where(F.coalesce(F.col("uri"), F.lit("")) != "")
+
+    @plan.output("to_add")
+    def _to_add():
+        target = inp.target if inp.target is not None else plan["_wanted"].limit(0)
+        return C.to_add(plan["_wanted"], target)
+
+    @plan.output("to_remove")
+    def _to_remove():
+        if inp.previous is None or inp.existing is None:
+            return plan["_wanted"].limit(0)
+        removed = plan["diff"].where(F.col("change_type") == REMOVED)
+        return C.to_remove(removed, inp.existing, plan["_wanted"], strict_parity=strict_parity)
+
+    @plan.output("batches")
+    def _batches():
+        return C.change_batches(plan["to_add"], plan["to_remove"])
+
+    @plan.output("summary")
+    def _summary():
+        return sync_summary(plan["states"])
+
+    @plan.output("enriched")
+    def _enriched():
+        return enriched_union(inp, plan["states"], plan["matches"], run_ts)
+
+    @plan.output("unmatched")
+    def _unmatched():
+        return plan["states"].where(F.col("state").isin("unmatched", "known_unmatched"))
+
+    return plan
 
 
 def enriched_union(inp: SyncInputs, states: DataFrame, matches: DataFrame, run_ts: str) -> DataFrame:
@@ -130,9 +185,9 @@ def enriched_union(inp: SyncInputs, states: DataFrame, matches: DataFrame, run_t
 def apply(plan: SyncPlan, base_path: str, names: list[str] | None = None) -> dict[str, str]:
     """Write the selected outputs as Parquet under ``base_path`` (new dirs)."""
     written = {}
-    for k in names or list(plan.outputs):
+    for k in names or plan.names:
         p = f"{base_path.rstrip('/')}/{k}"
-        plan.outputs[k].write.mode("errorifexists").parquet(p)
+        plan[k].write.mode("errorifexists").parquet(p)
         written[k] = p
     return written
 
