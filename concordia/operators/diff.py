@@ -23,8 +23,11 @@ def diff_snapshots(current: DataFrame, previous: DataFrame | None, key: str = "f
     if previous is None:
         return current.select(key, F.lit(ADDED).alias("change_type"), *cols)
     cur = dedupe_last_wins(current, key, order).select(key, F.lit(True).alias("_in_c"), *cols)
+    types = dict(current.dtypes)
+    # a stored state may lack some current columns (e.g. an older snapshot)
     prev = dedupe_last_wins(previous, key, order).select(
-        key, F.lit(True).alias("_in_p"), *[F.col(c).alias(f"_p_{c}") for c in cols])
+        key, F.lit(True).alias("_in_p"),
+        *[(F.col(c) if c in previous.columns else F.lit(None).cast(types[c])).alias(f"_p_{c}") for c in cols])
     j = cur.join(prev, key, "full_outer")
     in_c, in_p = F.col("_in_c").isNotNull(), F.col("_in_p").isNotNull()
     change = F.when(in_c & in_p, UNCHANGED).when(in_c, ADDED).otherwise(REMOVED)

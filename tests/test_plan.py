@@ -101,3 +101,11 @@ def test_apply_outputs_and_dry_run(spark, tmp_path):
     assert S.load_latest_snapshot(spark, paths.snapshot_base).count() == inp.current.count()
     cache = K.read_match_cache(spark, paths.match_results)
     assert cache.count() == plan["matches"].join(plan["states"], "position").select("fingerprint").distinct().count()
+
+
+def test_diff_against_snapshot_missing_columns(spark):
+    cur = spark.createDataFrame([("a", 1, "T", "IS1"), ("b", 2, "U", "")],
+                                "fingerprint string, position long, title string, isrc string")
+    prev = spark.createDataFrame([("a", 1, "T"), ("c", 3, "V")], "fingerprint string, position long, title string")
+    d = {r.fingerprint: (r.change_type, r.isrc) for r in diff_snapshots(cur, prev).collect()}
+    assert d == {"a": ("unchanged", "IS1"), "b": ("added", ""), "c": ("removed", None)}
