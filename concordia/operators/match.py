@@ -14,6 +14,7 @@ Python similarity helper sees each distinct string pair once.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +56,45 @@ def prepare_catalog(cat: DataFrame, name="name", artist="artist") -> DataFrame:
     )
 
 
+@dataclass
+class CatalogIndex:
+    """Everything the resolver derives from the catalogue alone: normalised
+    rows, first row per id, postings and key frequencies.  Build it once per
+    catalogue version (``build_catalog_index``) and reuse it for every run,
+    so a sync over a small list never re-reads the whole catalogue."""
+    index: DataFrame
+    first: DataFrame
+    postings: DataFrame
+    freq: DataFrame
+    has_pairs: bool
+
+    def built(self):
+        return self.postings, self.freq, self.has_pairs
+
+
+def build_catalog_index(catalog: DataFrame, cfg: MatchConfig | None = None,
+                        base: str | None = None) -> CatalogIndex:
+    """Normalise the catalogue and derive its search structures.  With
+    ``base`` (a path on shared storage) the parts are written there and read
+    back, so later runs can ``load_catalog_index(base)`` instead."""
+    cfg = cfg or MatchConfig()
+    index = cut_lineage(prepare_catalog(catalog), "catalog-index")
+    first = cut_lineage(first_by_isrc(index), "catalog-first")
+    post, freq, pairs = build_postings(index, cfg)
+    ci = CatalogIndex(index, first, post, freq, pairs)
+    if base is not None:
+        spark = catalog.sparkSession
+        for name in ("index", "first", "postings", "freq"):
+            getattr(ci, name).write.mode("errorifexists").parquet(f"{base}/{name}")
+        ci = load_catalog_index(spark, base, pairs)
+    return ci
+
+
+def load_catalog_index(spark, base: str, has_pairs: bool = True) -> CatalogIndex:
+    parts = {n: spark.read.parquet(f"{base}/{n}") for n in ("index", "first", "postings", "freq")}
+    return CatalogIndex(parts["index"], parts["first"], parts["postings"], parts["freq"], has_pairs)
+
+
 def _fields(index: DataFrame) -> list[str]:
     return [c for c in RESULT_FIELDS if c in index.columns]
 
@@ -88,12 +128,19 @@ def _bound_filter(rows: DataFrame, cfg: MatchConfig, bonus: bool, threshold: flo
     return rows.where(ub >= F.lit(threshold - 1e-9))
 
 
-def match_isrc(prepared: DataFrame, index: DataFrame, cfg: MatchConfig) -> DataFrame:
+def first_by_isrc(index: DataFrame) -> DataFrame:
+    """The catalogue row an exact-id search returns: rank 1 per id (a top-1
+    window, limited per map task before the shuffle)."""
+    w = Window.partitionBy("isrc").orderBy(F.col("popularity").desc(), F.col("uri").asc())
+    return (index.where(F.col("isrc") != "")
+                 .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r"))
+
+
+def match_isrc(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
+               first: DataFrame | None = None) -> DataFrame:
     """Pass 1: one row per matched source row: _id, result fields, method, confidence."""
     fields = _fields(index)
-    w = Window.partitionBy("isrc").orderBy(F.col("popularity").desc(), F.col("uri").asc())
-    first = (index.where(F.col("isrc") != "")
-                  .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r"))
+    first = first if first is not None else first_by_isrc(index)
     rows = (prepared.where(F.col("s_isrc") != "")
                     .join(first, prepared.s_isrc == first.isrc)
                     .where(F.col("uri") != ""))
@@ -181,7 +228,7 @@ def _unmatched(rows: DataFrame, fields: list[str], index: DataFrame) -> DataFram
     return rows.select(*out, F.lit("").alias("method"), F.lit(0.0).alias("confidence"))
 
 
-def match_waterfall(src: DataFrame, catalog: DataFrame, cfg: MatchConfig | None = None,
+def match_waterfall(src: DataFrame, catalog: DataFrame | CatalogIndex, cfg: MatchConfig | None = None,
                     id_col: str = "position", passes=("isrc", "title_artist", "relaxed"),
                     **src_cols) -> DataFrame:
     """Resolve every source row: the first pass that matches wins.
@@ -189,20 +236,22 @@ def match_waterfall(src: DataFrame, catalog: DataFrame, cfg: MatchConfig | None
     Returns one row per source row: ``id_col``, result fields, method ('' when
     unmatched), confidence, matched.  Each pass's per-probe winners are written
     to the shared checkpoint folder, so the residual of the next pass does not
-    re-run the earlier passes.
+    re-run the earlier passes.  ``catalog`` may be a raw catalogue table or a
+    prebuilt ``CatalogIndex`` (reused across runs).
     """
     cfg = cfg or MatchConfig()
     prepared = cut_lineage(prepare_source(src, id_col, **src_cols), "prepared")
-    index = cut_lineage(prepare_catalog(catalog), "catalog-index")
+    ci = catalog if isinstance(catalog, CatalogIndex) else None
+    index = ci.index if ci else cut_lineage(prepare_catalog(catalog), "catalog-index")
     fields = _fields(index)
     results = []
     rest = prepared
-    built = None
+    built = ci.built() if ci else None
     for p in passes:
         if p != "isrc" and built is None:
             built = build_postings(index, cfg)
         if p == "isrc":
-            hit = cut_lineage(match_isrc(rest, index, cfg), "pass-isrc")
+            hit = cut_lineage(match_isrc(rest, index, cfg, ci.first if ci else None), "pass-isrc")
         elif p == "title_artist":
             hit = match_fuzzy(rest, index, cfg, with_artist=True, built=built)
         elif p == "relaxed":

@@ -36,6 +36,7 @@ class SyncInputs:
     features: DataFrame | None = None       # catalog_id + audio features
     listen: DataFrame | None = None         # artist, title, playcount, listeners, tags
     artist_id_col: str = "artist_id"
+    catalog_index: object | None = None     # prebuilt CatalogIndex reused across runs (optional)
 
 
 class SyncPlan:
@@ -109,7 +110,8 @@ def plan_sync(inp: SyncInputs, cfg: MatchConfig | None = None, limit: int | None
     @plan.output("matches")
     def _matches():
         to_search = plan["_states"].where(F.col("state") == C.SEARCH)
-        return cut_lineage(match_waterfall(to_search, inp.catalog, cfg, id_col="position"), "sync-matches")
+        cat = inp.catalog_index if inp.catalog_index is not None else inp.catalog
+        return cut_lineage(match_waterfall(to_search, cat, cfg, id_col="position"), "sync-matches")
 
     @plan.output("states")
     def _final_states():

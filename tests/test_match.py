@@ -104,3 +104,12 @@ def test_hot_source_group_resolves_every_row(spark):
     assert r.count() == 200 and r.select("position").distinct().count() == 200
     hot_methods = {x.method for x in r.where(F.col("position") % 3 == 0).select("method").distinct().collect()}
     assert hot_methods <= {"title_artist", "relaxed", ""}
+
+
+def test_prebuilt_catalog_index_gives_same_results(spark, waterfall, tmp_path):
+    from concordia.operators.match import build_catalog_index
+    ci = build_catalog_index(fx.catalog(spark, SF001), MatchConfig(), base=str(tmp_path / "idx"))
+    r = match_waterfall(fx.source(spark, SF001), ci, MatchConfig())
+    cols = ["position", "uri", "method", "confidence"]
+    assert sorted(tuple(x) for x in r.select(*cols).collect()) == \
+        sorted(tuple(x) for x in waterfall.select(*cols).collect())
