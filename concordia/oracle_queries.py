@@ -224,15 +224,19 @@ def _():
     return with_views(_PLAN_VIEWS, body, [_EX, _SPLIT, _CACHE, _CSPLIT])
 
 
-def _plan_ctes() -> list[tuple[str, str]]:
+def _plan_ctes(limit: int | None = None) -> list[tuple[str, str]]:
+    cut = "" if limit is None else (f" AND position <= (SELECT max(position) FROM (SELECT position FROM cs "
+                                    f"WHERE state = 'search' ORDER BY position LIMIT {limit}))")
     ctes = [ratio_cte(), _EX, _SPLIT, _CACHE, _CSPLIT,
-            ("srch", "SELECT * FROM cs WHERE state = 'search'")]
+            ("srch", f"SELECT * FROM cs WHERE state = 'search'{cut}")]
     ctes += waterfall_ctes("srch")
     ctes += [
         ("fs", """SELECT position, CASE WHEN state = 'already_matched' THEN 'already_matched' END AS state,
                    existing_uri AS uri FROM sp WHERE state = 'already_matched'
                  UNION ALL SELECT position, state, cache_uri FROM cs WHERE state <> 'search'
-                 UNION ALL SELECT _id, CASE WHEN method <> '' THEN 'newly_matched' ELSE 'unmatched' END, uri FROM wf"""),
+                 UNION ALL SELECT _id, CASE WHEN method <> '' THEN 'newly_matched' ELSE 'unmatched' END, uri FROM wf
+                 UNION ALL SELECT position, 'pending', '' FROM cs WHERE state = 'search'
+                   AND position NOT IN (SELECT position FROM srch)"""),
         ("wanted", "SELECT DISTINCT uri FROM fs WHERE state IN ('already_matched', 'restored', 'newly_matched') "
                    "AND coalesce(uri, '') <> ''"),
         ("ta", "SELECT uri FROM wanted WHERE uri NOT IN (SELECT uri FROM v_target)"),
@@ -259,14 +263,21 @@ def _():
     return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
 
 
-@oracle("q_sync_summary")
-def _():
-    body = """SELECT count(*) AS total, count(*) FILTER (WHERE state = 'already_matched') AS already_matched,
+_SUMMARY = """SELECT count(*) AS total, count(*) FILTER (WHERE state = 'already_matched') AS already_matched,
       count(*) FILTER (WHERE state = 'restored') AS restored,
       count(*) FILTER (WHERE state = 'newly_matched') AS newly_matched,
       count(*) FILTER (WHERE state IN ('unmatched', 'known_unmatched')) AS unmatched,
       count(*) FILTER (WHERE state = 'pending') AS pending FROM fs"""
-    return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
+
+
+@oracle("q_sync_summary")
+def _():
+    return with_views(_PLAN_VIEWS + ["v_source"], _SUMMARY, _plan_ctes())
+
+
+@oracle("q_sync_limited")
+def _():
+    return with_views(_PLAN_VIEWS + ["v_source"], _SUMMARY, _plan_ctes(limit=250))
 
 
 @oracle("q_sync_enriched")

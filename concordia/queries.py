@@ -238,6 +238,13 @@ def q_sync_summary(spark, d):
     return _plan(spark, d)["summary"]
 
 
+@query("q_sync_limited")
+def q_sync_limited(spark, d):
+    """Sync with a per-run limit: only the first LIMIT_N rows still to search
+    are resolved; the rest stay pending for a later run."""
+    return plan_sync(fx.sync_inputs(spark, d), limit=LIMIT_N, run_ts=RUN_TS)["summary"]
+
+
 @query("q_sync_enriched")
 def q_sync_enriched(spark, d):
     """The run's enriched table: already resolved + cache hits + new matches + unresolved."""
