@@ -162,6 +162,7 @@ def ratio_pairs_values(sf_dir: str = ORACLE_SF_DIR) -> str:
     import duckdb
 
     con = duckdb.connect()
+    con.sql("SET enable_progress_bar = false")
     for t in ("part",):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(sf_dir, t + '.parquet')}')")
     body = f"""
