@@ -109,3 +109,19 @@ def test_diff_against_snapshot_missing_columns(spark):
     prev = spark.createDataFrame([("a", 1, "T"), ("c", 3, "V")], "fingerprint string, position long, title string")
     d = {r.fingerprint: (r.change_type, r.isrc) for r in diff_snapshots(cur, prev).collect()}
     assert d == {"a": ("unchanged", "IS1"), "b": ("added", ""), "c": ("removed", None)}
+
+
+def test_limit_edges_and_first_run_plan(spark):
+    df = spark.createDataFrame([(p, f"f{p}") for p in [3, 1, 2]], "position long, fingerprint string")
+    assert {r.state for r in C.limit_pending(df, None).collect()} == {"search"}
+    assert {r.state for r in C.limit_pending(df, 0).collect()} == {"pending"}
+    assert {r.state for r in C.limit_pending(df, 10).collect()} == {"search"}
+    # first run: no previous state, no enriched table, no cache, no target
+    from concordia.plans.sync import SyncInputs, plan_sync
+    inp = SyncInputs(current=fx.current(spark, SF001), catalog=fx.catalog(spark, SF001))
+    plan = plan_sync(inp, limit=50)
+    s = plan["summary"].first()
+    assert (s.total, s.already_matched, s.restored, s.pending) == (184, 0, 0, 184 - 50)
+    assert s.newly_matched + s.unmatched == 50
+    assert plan["to_remove"].count() == 0
+    assert plan["to_add"].count() == plan["matches"].where("matched").select("uri").distinct().count()
