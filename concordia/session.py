@@ -2,14 +2,14 @@
 
 Everything here is plain Spark configuration: AQE (coalescing and skew-join
 splitting), ANSI on, UTC session time zone, Arrow for the two Python helpers.
-The shared folder used to cut lineage comes from ``spark.checkpoint.dir``; a
-local fallback is only set when the cluster did not name one (tests, laptops).
+The shared folder used to cut lineage comes from ``spark.checkpoint.dir``; only
+a local master falls back to a folder under the warehouse.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +47,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` as the
+    cluster names it.  Where it is unset (tests, laptops) a folder under
+    ``spark.sql.warehouse.dir`` is taken; on a cluster that would be a folder
+    of one machine, so there it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="concordia-ckpt-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        shared = "://" in warehouse and not warehouse.startswith("file:")
+        if not shared and not re.match(r"local(\[|$)", master):
+            raise RuntimeError(
+                f"master {master} has no shared scratch folder: set spark.checkpoint.dir "
+                "(or put spark.sql.warehouse.dir on shared storage)")
+        d = warehouse.rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -58,29 +68,71 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_RUN_ID = uuid.uuid4().hex[:12]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This process's own folder under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/concordia-{_RUN_ID}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder.
+    """A fresh, unique path under this run's folder.
 
     Used for written intermediate tables (cutting lineage) and for I/O
     round trips; never a machine-local folder when the cluster names one.
     """
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/concordia/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this run has written, on whatever store it lies."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+
+def drop_run_folder(spark: SparkSession) -> None:
+    """Delete every scratch table of this run (call when its results are out)."""
+    drop_path(spark, run_folder(spark))
+
+
+def cut_lineage(df: DataFrame, name: str = "stage", path: str | None = None) -> DataFrame:
     """Materialise ``df`` to the shared folder and read it back.
 
     Reliable (replicated storage), survives executor loss, and resets the
     plan so iterative stages do not re-run their whole history.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     # known schema: no footer-reading job on the way back
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediate tables of one operator, dropped together.
+
+    ``with Scratch(spark, "name") as s:`` -- ``s.cut(df, "step")`` writes a
+    table and reads it back; all of them go when the block ends, so only what
+    was cut with ``s.keep`` (the result) stays until the run ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.name = spark, scratch_path(spark, name), name
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return cut_lineage(df, path=f"{self.path}/{name}-{uuid.uuid4().hex[:8]}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df, f"{self.name}-result")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        drop_path(self.spark, self.path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

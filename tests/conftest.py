@@ -9,8 +9,11 @@ SF001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from concordia.session import get_spark
-    s = get_spark("local[4]", 4)
+def spark(tmp_path_factory):
+    from concordia.session import drop_run_folder, get_spark
+    shared = tmp_path_factory.mktemp("shared")
+    s = get_spark("local[4]", 4, extra={"spark.checkpoint.dir": f"file://{shared}/checkpoints",
+                                        "spark.sql.warehouse.dir": f"file://{shared}/warehouse"})
     yield s
+    drop_run_folder(s)
     s.stop()
