@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from concordia.llm import line_dedup
+from concordia.llm import line_dedup, quality
 
 LLM_QUERIES = {
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 
