@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from concordia.llm import line_dedup, quality
+from concordia.llm import line_dedup, ngram_join, quality
 
 LLM_QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
 LLM_ORACLE = {
