@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from concordia.llm import line_dedup, ngram_join, quality
+from concordia.llm import language, line_dedup, ngram_join, quality, toxicity
 
 LLM_QUERIES = {
+    "op4_language_id": language.op4_language_id,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
