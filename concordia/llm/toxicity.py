@@ -4,16 +4,16 @@ Method (Wang and Manning): a text is the set of its hashed character n-grams;
 the log ratio of how often a bucket stands in toxic and in other texts scales
 its feature; a logistic regression over the scaled features gives the score.
 
-The ratios are counted over all labelled rows that may be learned from.  The
-regression starts at the naive Bayes weights and is fitted on a bounded sample,
-``FIT_PER_CLASS`` texts of each class by the hash of their id, in one task; its
-constant is then set back to the share of toxic rows among all labelled ones.
-The broadcast model is one float for each of 2 ** BITS buckets (4 MB).
+The ratios are counted over all labelled rows that may be learned from.  A
+text's scaled features are brought to unit length, so long texts count like
+short ones.  The regression is fitted on a bounded sample, ``FIT_PER_CLASS``
+texts of each class by the hash of their id, in one task.  The broadcast model
+is two floats for each of 2 ** BITS buckets (8 MB).
 
 Defined cases
 * null and empty texts are scored like any other: by the constant alone;
 * several labels of one document: toxic if any says so; null labels are ignored;
-* without toxic or without other labelled rows every score is the share of toxic rows;
+* without toxic or without other labelled rows every score is the same constant;
 * texts are scored whole, whatever their length; repeated rows are scored alike;
   an empty table gives an empty table.
 """
@@ -21,6 +21,7 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,8 @@ BITS = 20
 SMOOTHING = 4.0         # texts by which a bucket's two rates are drawn to the mean rate
 FIT_PER_CLASS = 2000
 EPOCHS = 6
-RATE = 0.5
+RATE = 2.0              # of the first epoch
+CONSTANT_RATE = 0.1     # of the constant, as a part of the weights' rate
 THRESHOLD = 0.7
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
@@ -74,51 +76,61 @@ def _regression(model):
         rows = rows.assign(text=rows["text"].fillna("")).sort_values(["order", "text"], kind="stable")
         sets = [present(letters(t)) for t in rows["text"]]
         toxic = rows["toxic"].to_numpy()
-        scale = max(float(np.mean([np.sqrt((ratio[s] ** 2).sum()) for s in sets])), 1e-6)
-        weight, constant, step = np.ones(1 << BITS, np.float32), 0.0, 0
+        weight, constant, step = np.zeros(1 << BITS, np.float32), 0.0, 0
         for _ in range(EPOCHS):
             for s, y in zip(sets, toxic):
-                x = ratio[s] / scale
+                x = ratio[s]
+                x /= max(np.sqrt(x @ x), 1e-6)
                 z = constant + float(weight[s] @ x)
                 g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
                 rate = RATE / (1 + step / len(sets))
                 weight[s] -= (rate * g * x).astype(np.float32)
-                constant -= rate * g
+                constant -= CONSTANT_RATE * rate * g
                 step += 1
-        at = np.flatnonzero(ratio)
-        return pd.DataFrame({"bucket": np.r_[-1, at], "weight": np.r_[constant, weight[at] * ratio[at] / scale]})
+        at = np.flatnonzero(weight)
+        return pd.DataFrame({"bucket": np.r_[-1, at], "weight": np.r_[constant, weight[at]]})
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, constant)."""
+class Model(NamedTuple):
+    ratio: np.ndarray   # log-count ratio of each bucket
+    weight: np.ndarray  # of the scaled and normalised features
+    constant: float
+
+    def logit(self, present: np.ndarray) -> float:
+        x = self.ratio[present]
+        length = np.sqrt((x * x).sum(dtype=np.float64))
+        return self.constant + float((self.weight[present] * x).sum(dtype=np.float64)) / max(length, 1e-6)
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
+    """The classifier, from the labelled documents that may be learned from."""
     known = scratch.cut(labels.where("doc_id is not null and toxic is not null").where(learnable())
                         .groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
                         .where("toxic in (0, 1)"), "known")
     train = docs.join(broadcast_ids(known), F.col("doc_id") == F.col("_id"))
     ratio, n, m = log_ratios(train.select("text", "toxic").mapInArrow(_class_counts, "bucket int, toxic long, other long")
                              .groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow())
+    weight = np.zeros(1 << BITS, np.float32)
     if not n or not m:
-        return np.zeros(1 << BITS, np.float32), float(np.log((n + 0.5) / (m + 0.5)))
+        return Model(ratio, weight, float(np.log((n + 0.5) / (m + 0.5))))
     rank = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id")
     some = (known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= FIT_PER_CLASS)
-            .select("_id", "toxic", F.xxhash64("_id").alias("order")))
-    model = docs.sparkSession.sparkContext.broadcast(ratio)
-    sample = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("order", "toxic", "text")
-    found = (sample.groupBy(F.lit(0)).applyInPandas(_regression(model), "bucket int, weight double").toArrow())
+            .select("_id", "toxic", F.xxhash64("_id").alias("order"), F.lit(0).alias("task")))
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    found = (docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("task", "order", "toxic", "text")
+             .groupBy("task").applyInPandas(_regression(shared), "bucket int, weight double").toArrow())
     at, w = found["bucket"].to_numpy(), found["weight"].to_numpy()
-    weight = np.zeros(1 << BITS, np.float32)
     weight[at[at >= 0]] = w[at >= 0]
-    sampled = np.log(min(n, FIT_PER_CLASS) / min(m, FIT_PER_CLASS))
-    return weight, float(w[at < 0].sum() + np.log(n / m) - sampled)
+    return Model(ratio, weight, float(w[at < 0].sum()))
 
 
 def _score(model):
     def run(text: pa.Array) -> pa.Array:
-        weight, constant = model.value
+        known = model.value
         present = Present(LENGTHS, BITS)
-        z = np.array([constant + weight[present(letters(t))].sum(dtype=np.float64) for t in texts(text)])
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())
+        z = np.array([known.logit(present(letters(t))) for t in texts(text)])
+        return pa.array(1 / (1 + np.exp(-z)), pa.float64())
     return run
 
 
