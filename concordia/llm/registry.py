@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from concordia.llm import language, line_dedup, ngram_join, quality, toxicity
+from concordia.llm import language, line_dedup, ngram_join, packing, quality, toxicity
 
 LLM_QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_language_id": language.op4_language_id,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
