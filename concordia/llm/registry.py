@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from concordia.llm import language, line_dedup, ngram_join, packing, quality, toxicity
+from concordia.llm import html, language, line_dedup, ngram_join, packing, quality, toxicity
 
 LLM_QUERIES = {
+    "op1_html_extraction": html.op1_html_extraction,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_language_id": language.op4_language_id,
     "op6_quality_rules": quality.op6_quality_rules,
