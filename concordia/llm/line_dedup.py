@@ -91,7 +91,11 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS,
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS,
                 min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """All columns of ``docs`` and a struct ``kept`` (text, n_lines, n_dropped)."""
-    lost = dropped_lines(docs, scratch, min_chars, min_documents)
+    return without_lines(docs, dropped_lines(docs, scratch, min_chars, min_documents), min_chars)
+
+
+def without_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The same, given what ``dropped_lines`` found."""
     lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("lines").alias("_lost")).hint("shuffle_hash")
     strip = F.arrow_udf(_without_lines(min_chars), "text string, n_lines long, n_dropped long")
     return (docs.join(lost, docs["doc_id"] == lost["_lost_id"], "left")

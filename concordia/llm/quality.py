@@ -252,18 +252,19 @@ def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 def judged(scored: DataFrame, below: float = LOWER, above: float = UPPER) -> DataFrame:
     """``base_failed`` and ``kept`` for documents with their measures.
-    ``scored`` is read twice, so it should be a written table."""
+    ``scored`` is read more than once, so it should be a written table.  What is
+    broadcast is a row per language, of which every task holds the model."""
     q = F.col("quality")
     failed = (q.n_words < MIN_WORDS) | (100 * q.n_repeat_words > MAX_REPEAT_PERCENT * q.n_words)
     lang = F.coalesce("lang", F.lit(NO_LANGUAGE))
     good = scored.where(~failed).select(lang.alias("_lang"), q.log_perplexity.alias("x"))
     middle = good.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 10000).alias("middle"))
-    spread = (good.join(middle, "_lang").groupBy("_lang", "middle")
+    spread = (good.join(F.broadcast(middle), "_lang").groupBy("_lang", "middle")
               .agg(F.percentile_approx(F.abs(F.col("x") - F.col("middle")), 0.5, 10000).alias("mad")))
     sd = F.greatest(F.col("mad") * 1.4826, F.lit(1e-6))
     bands = spread.select("_lang", (F.col("middle") - below * sd).alias("_lower"),
                           (F.col("middle") + above * sd).alias("_upper"))
-    return (scored.join(bands, lang == bands["_lang"], "left")
+    return (scored.join(F.broadcast(bands), lang == bands["_lang"], "left")
             .withColumn("base_failed", failed)
             .withColumn("kept", ~failed & F.coalesce(q.log_perplexity.between(F.col("_lower"), F.col("_upper")), F.lit(True)))
             .drop("_lang", "_lower", "_upper"))
