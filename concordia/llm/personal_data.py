@@ -195,7 +195,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and positions of the personal data of every document."""
     with Scratch(spark, "personal-data") as scratch:
         found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
-        counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}")
+        counts = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) as bigint)").alias(f"n_{kind}")
                   for k, kind in enumerate(KINDS)]
         return scratch.keep(found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                                          _joined(F.col("spans")).alias("spans")))
