@@ -24,20 +24,16 @@ W_ARTIST = 0.40
 W_DURATION = 0.15
 DURATION_MISS_FACTOR = 0.5
 PASS2_BONUS = 0.1
-SCORE_CAP = 1.0
 PASS2_THRESHOLD = 0.5
 PASS3_THRESHOLD = 0.4
 ISRC_CONF_FLOOR = 0.95
 DURATION_TOLERANCE_SEC = 5.0
 SEARCH_LIMIT = 10
-ISRC_SEARCH_LIMIT = 1
 TARGET_BATCH = 100
-LOOKUP_BATCH = 50
 MAX_TAGS = 5
 METHOD_ISRC = "isrc"
 METHOD_TITLE_ARTIST = "title_artist"
 METHOD_RELAXED = "relaxed"
-METHOD_CACHED = "cached"
 
 
 @dataclass(frozen=True)
@@ -53,7 +49,9 @@ class MatchConfig:
     pass3_threshold: float = PASS3_THRESHOLD
     isrc_conf_floor: float = ISRC_CONF_FLOOR
     duration_tolerance_sec: float = DURATION_TOLERANCE_SEC
-    max_candidates: int = SEARCH_LIMIT
+    # Candidates scored per query: all of them (None), or the most popular
+    # ones only where a top-k is what is asked for (SEARCH_LIMIT).
+    max_candidates: int | None = None
     # "ratio" = Ratcliff/Obershelp (parity); "levenshtein" = JVM-native metric.
     metric: str = "ratio"
     # Scale knobs: a block key whose posting list exceeds ``hot_block_rows``

@@ -1,6 +1,6 @@
 """String similarity.
 
-``ratio`` is the Ratcliff/Obershelp ratio (stdlib ``difflib`` defaults); it is
+``ratio`` is the Ratcliff/Obershelp ratio (stdlib ``difflib``, no junk heuristic); it is
 asymmetric, so it is always called as (source, candidate).  Blank on either
 side scores 0.  It runs as one Arrow-batched helper and is meant to be
 applied to *distinct* string pairs (see ``pair_similarity``), never per
@@ -11,22 +11,31 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ratio_py(a: str | None, b: str | None) -> float:
-    if not a or not b:
-        return 0.0
-    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+@F.arrow_udf(T.DoubleType())
+def _unequal_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = SequenceMatcher(autojunk=False)  # one rule for strings of any length
+    out = np.zeros(len(a))
+    for i in np.flatnonzero(pc.and_(a.is_valid(), b.is_valid())):
+        pairs.set_seqs(a[i].as_py(), b[i].as_py())
+        out[i] = pairs.ratio()
+    return pa.array(out)
 
 
-@F.arrow_udf(T.DoubleType())
-def ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([ratio_py(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())],
-                    type=pa.float64())
+def ratio(a: Column, b: Column) -> Column:
+    """Ratio of two normalised strings; blank and equal ones need no Python."""
+    blank = F.coalesce((F.length(a) == 0) | (F.length(b) == 0), F.lit(True))
+    nothing = F.lit(None).cast("string")
+    equal = a == b
+    return F.when(blank, 0.0).when(equal, 1.0).otherwise(
+        _unequal_ratio(F.when(~blank & ~equal, a).otherwise(nothing), F.when(~blank & ~equal, b).otherwise(nothing)))
 
 
 def levenshtein_sim(a: Column, b: Column) -> Column:
@@ -46,7 +55,7 @@ def similarity(a: Column, b: Column, metric: str = "ratio") -> Column:
     if metric == "levenshtein":
         return levenshtein_sim(a, b)
     if metric == "ratio":
-        return ratio_udf(a, b)
+        return ratio(a, b)
     raise ValueError(f"unknown metric {metric!r}")
 
 

@@ -87,7 +87,7 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     ``queries``: distinct rows of ``qkey_cols`` plus the query key array.
     ``index``: catalogue rows with ``item_cols`` (must include catalog_id,
     uri, popularity) and their key array.
-    Returns qkey_cols + item_cols + ``rank`` (1..k), written to the shared
+    Returns qkey_cols + item_cols + ``rank`` (1..k; all if k is None), written to the shared
     folder (it feeds both similarity branches and the scoring join).
     ``built``: postings already built for this index (shared by passes).
     """
@@ -121,8 +121,8 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     # (3) exact blocks: block top-k, no residual.
     qe = qb.where("exact")
     top_block = (post.join(qe.select("block").distinct(), "block", "left_semi")
-                     .withColumn("rank", F.row_number().over(w_block))
-                     .where(F.col("rank") <= k))
+                     .withColumn("rank", F.row_number().over(w_block)))
+    top_block = top_block.where(F.col("rank") <= k) if k else top_block
     exact = qe.select(*qkey_cols, "block").join(top_block, "block").select(*qkey_cols, *slim, "rank")
 
     # (4) general blocks: salted join + residual + per-query top-k.
@@ -130,21 +130,21 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     # Bounded: at most (#postings / rows_per_task) blocks are split.
     split = (freq.where(F.col("n") > cfg.rows_per_task)
                  .select("block", F.ceil(F.col("n") / F.lit(cfg.rows_per_task)).cast("int").alias("nb")))
-    qg = (qg.join(F.broadcast(split), "block", "left")
+    qg = (qg.join(split, "block", "left")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)))
             .drop("nb"))
     pg = (post.join(qg.select("block").distinct(), "block", "left_semi")
-              .join(F.broadcast(split), "block", "left")
+              .join(split, "block", "left")
               .withColumn("salt", F.pmod(F.xxhash64("catalog_id"), F.coalesce("nb", F.lit(1)).cast("long")).cast("int"))
               .drop("nb"))
     hits = (qg.join(pg, ["block", "salt"])
               .where(F.forall("q_keys", lambda key: F.array_contains("c_keys", key)))
-              .withColumn("rank", F.row_number().over(w_query))
-              .where(F.col("rank") <= k))
+              .withColumn("rank", F.row_number().over(w_query)))
+    hits = hits.where(F.col("rank") <= k) if k else hits
     general = hits.select(*qkey_cols, *slim, "rank")
     top = exact.unionByName(general)
     rest = [c for c in item_cols if c not in slim]
     if rest:
-        # k rows per query meet the catalogue once, by id
+        # the rows of all queries meet the catalogue once, by id
         top = top.join(index.select("catalog_id", *rest), "catalog_id")
     return cut_lineage(top.select(*qkey_cols, *item_cols, "rank"), "candidates")

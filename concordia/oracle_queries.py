@@ -171,7 +171,7 @@ def _():
 @oracle("q_candidates_topk")
 def _():
     ctes = list(INDEX_CTES) + [("r0", prepared_sql("v_source"))]
-    cc, _ = fuzzy_cands_ctes("p", "r0", True)
+    cc, _ = fuzzy_cands_ctes("p", "r0", True, 10)
     return with_views(["v_source", "v_catalog"], "SELECT s_title, s_first_artist, uri, rnk AS cand_rank FROM p_c",
                       ctes + cc)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.config import MatchConfig
+from concordia.config import SEARCH_LIMIT, MatchConfig
 from concordia.functions import text as X
 from concordia.operators.diff import diff_counts, diff_snapshots
 from concordia.operators.keys import dedupe_last_wins
@@ -152,7 +152,7 @@ def q_score_levenshtein(spark, d):
 def q_candidates_topk(spark, d):
     prepared = prepare_source(fx.source(spark, d), "position")
     index = prepare_catalog(fx.catalog(spark, d))
-    cands, _, _ = search_candidates(prepared, index, MatchConfig(), with_artist=True)
+    cands, _, _ = search_candidates(prepared, index, MatchConfig(max_candidates=SEARCH_LIMIT), with_artist=True)
     return cands.select("s_title", "s_first_artist", "uri", F.col("rank").alias("cand_rank"))
 
 

@@ -143,10 +143,10 @@ def warm_python_workers(spark: SparkSession) -> None:
     from pyspark.sql import functions as F
 
     from concordia.functions.fmt import fixed
-    from concordia.functions.similarity import ratio_udf
+    from concordia.functions.similarity import ratio
     from concordia.functions.text import clean_text_udf
     n = max(int(spark.sparkContext.defaultParallelism), 1)
     df = spark.range(0, n * 4, 1, n).select(
         "id", F.concat(F.lit("a&amp;"), F.col("id").cast("string")).alias("s"))
-    df.select(clean_text_udf("s"), ratio_udf("s", "s"), fixed(F.col("id"), 2)) \
+    df.select(clean_text_udf("s"), ratio(F.col("s"), F.upper("s")), fixed(F.col("id"), 2)) \
       .write.format("noop").mode("overwrite").save()

@@ -21,7 +21,9 @@ def write_match_results(results: DataFrame, base: str, run_id: str) -> None:
     cols = [f.name for f in MATCH_RESULT.fields]
     df = results.select(*[(F.col(c) if c in results.columns else F.lit(None)).cast(f.dataType).alias(c)
                           for c, f in zip(cols, MATCH_RESULT.fields)])
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(base)
+    # a repeated run replaces its own partition
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(base))
 
 
 def read_match_cache(spark: SparkSession, base: str | None, run_ids: list[str] | None = None) -> DataFrame:

@@ -19,9 +19,11 @@ SNAPSHOT_COLS = ["position", "platform", "track_id", "title", "artist", "album",
 
 
 def save_snapshot(tracks: DataFrame, base: str, snapshot_ts: str) -> None:
-    """Append ``tracks`` as the partition ``snapshot_ts`` (platform kept)."""
+    """Write ``tracks`` as the partition ``snapshot_ts`` (platform kept); a
+    repeated run replaces its own partition and no other."""
     (tracks.select(*SNAPSHOT_COLS).withColumn("snapshot_ts", F.lit(snapshot_ts))
-           .write.mode("append").partitionBy("snapshot_ts").parquet(base))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("snapshot_ts").parquet(base))
 
 
 def snapshot_history(spark: SparkSession, base: str) -> DataFrame:

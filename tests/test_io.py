@@ -159,3 +159,14 @@ def test_stream_is_incremental_and_idempotent(spark, tmp_path):
     want = sorted(tuple(r) for r in dedupe_last_wins(cur, "fingerprint").select("fingerprint", "position").collect())
     got = sorted(tuple(r) for r in T9.read_state(spark, state).select("fingerprint", "position").collect())
     assert got == want
+
+
+def test_a_repeated_run_replaces_its_own_partition(spark, tmp_path):
+    from concordia.sources import snapshot
+    df = spark.createDataFrame([(1, "p", "a", "t", "x", "y", 1.0)],
+                               "position long, platform string, track_id string, title string, artist string, "
+                               "album string, duration double")
+    base = f"{tmp_path}/snapshots"
+    for ts in ("2026-01-01", "2026-01-02", "2026-01-01"):
+        snapshot.save_snapshot(df, base, ts)
+    assert spark.read.parquet(base).count() == 2

@@ -64,12 +64,12 @@ def _brute(spark, with_artist):
         if with_artist:
             if not (t or a) or not (tok(t) | tok(a)):
                 continue
-            hits = [c for c in ranked if tok(t) <= tok(c.c_name) and tok(a) <= tok(c.c_artist)][:10]
+            hits = [c for c in ranked if tok(t) <= tok(c.c_name) and tok(a) <= tok(c.c_artist)]
             out |= {(t, a, c.uri, i + 1) for i, c in enumerate(hits)}
         else:
             if not t or not tok(t):
                 continue
-            hits = [c for c in ranked if tok(t) <= tok(c.c_name)][:10]
+            hits = [c for c in ranked if tok(t) <= tok(c.c_name)]
             out |= {(t, c.uri, i + 1) for i, c in enumerate(hits)}
     return sorted(out)
 
@@ -113,3 +113,16 @@ def test_prebuilt_catalog_index_gives_same_results(spark, waterfall, tmp_path):
     cols = ["position", "uri", "method", "confidence"]
     assert sorted(tuple(x) for x in r.select(*cols).collect()) == \
         sorted(tuple(x) for x in waterfall.select(*cols).collect())
+
+
+def test_the_least_popular_row_can_win(spark):
+    rows = [(f"c{i:02d}", f"u:{i:02d}", "blue river " + "long tail words " * (i < 49), 100 - i) for i in range(50)]
+    base = fx.catalog(spark, SF001)
+    one = base.limit(1)
+    names = spark.createDataFrame(rows, "_id string, _uri string, _name string, _pop int")
+    catalog = (one.crossJoin(names).withColumns({
+        "catalog_id": F.col("_id"), "uri": F.col("_uri"), "name": F.col("_name"), "artist": F.lit("Band"),
+        "popularity": F.col("_pop"), "isrc": F.lit("")}).select(*base.columns))
+    src = fx.source(spark, SF001)
+    source = src.limit(1).withColumns({"title": F.lit("Blue River"), "artist": F.lit("Band"), "isrc": F.lit("")}).select(*src.columns)
+    assert [r["uri"] for r in match_waterfall(source, catalog, MatchConfig()).collect()] == ["u:49"]

@@ -37,7 +37,7 @@ def con():
     oracle.ORACLE_SF_DIR = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.REGISTRY))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     got_cols, got = df.columns, [tuple(r) for r in df.collect()]
