@@ -196,6 +196,10 @@ def _same(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def _signatures(text: pa.Array) -> pa.Array:
+    return pa.array([signature(shingles(t.as_py() or b"")) for t in text.cast(pa.binary())], pa.int64())
+
+
 class NgramJoin:
     """The join over one table; its steps are written tables of ``scratch``."""
 
@@ -233,9 +237,10 @@ class NgramJoin:
         pairs = self.scratch.cut(pairs, f"pairs-{step}")
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("sig")
         ids = self.scratch.cut(self.classes.join(wanted, "sig").select("sig", F.col("doc_id").alias("_id")), f"ids-{step}")
-        whole = (self.docs.join(broadcast_ids(ids), F.col("doc_id") == F.col("_id"))
-                 .groupBy("sig").agg(F.first("text").alias("text")) if self.repeated else
-                 self.docs.join(broadcast_ids(ids), F.col("doc_id") == F.col("_id")).select("sig", "text"))
+        whole = self.docs.join(broadcast_ids(ids), F.col("doc_id") == F.col("_id")).select("sig", "text")
+        if self.repeated:  # an id may stand for several texts
+            whole = (whole.where(F.arrow_udf(_signatures, "long")("text") == F.col("sig"))
+                     .groupBy("sig").agg(F.min("text").alias("text")))
         whole = self.scratch.cut(whole, f"texts-{step}")
         both = (pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b"))
         return self.scratch.cut(both.where(F.arrow_udf(_same, "boolean")("ta", "tb")).select("a", "b"), f"links-{step}")

@@ -74,7 +74,6 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
