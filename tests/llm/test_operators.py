@@ -145,11 +145,11 @@ def components_of(texts):
 
 
 def test_an_id_of_several_texts_links_by_each_of_them(spark, scratch):
-    rows = [(5, "one two three four five six"), (5, "p q r s t u v w x y z"), (7, "p q r s t u v w x y zz"),
+    rows = [(5, "one two three four five six"), (5, "p q r s t u v w x y z a b c d"), (7, "p q r s t u v w x y z a b c dd"),
             (8, "one two three four five six")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in ngram_join.NgramJoin(docs, scratch).result().select("doc_id", "n_shingles", "component_id").collect()}
-    assert got == {(5, 2, 5), (5, 7, 5), (7, 7, 5), (8, 2, 5)}
+    assert got == {(5, 2, 5), (5, 11, 5), (7, 11, 5), (8, 2, 5)}
 
 
 def test_ngram_join_equals_brute_force(spark, texts):
