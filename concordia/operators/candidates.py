@@ -53,7 +53,8 @@ def _pairs(arr: F.Column) -> F.Column:
 
 def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchConfig
              ) -> tuple[DataFrame, DataFrame, bool]:
-    """(postings, block frequencies, has_pairs).
+    """(postings, block frequencies, has_pairs).  The frequencies carry the
+    limit above which keys were paired (``hot_limit``).
 
     Postings are (block, item cols..., c_keys) for single keys and, when some
     key is hot, for hot key pairs.  The frequency table is written to the
@@ -61,12 +62,13 @@ def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchCo
     """
     base = index.select(*item_cols, F.col(keys_col).alias("c_keys"))
     single = base.select(F.explode("c_keys").alias("block"), *item_cols, "c_keys")
-    freq = cut_lineage(single.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "key-freq")
+    limit = F.lit(cfg.hot_block_rows).cast("long").alias("hot_limit")
+    freq = cut_lineage(single.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("*", limit), "key-freq")
     # Bounded: at most (#postings / hot_block_rows) keys can exceed the limit.
     hot = freq.where(F.col("n") > cfg.hot_block_rows).select(F.col("block").alias("hot_key"))
     if not hot.take(1):
         return single, freq, False
-    hot_rows = single.join(F.broadcast(hot), single.block == hot.hot_key, "left_semi")
+    hot_rows = single.join(hot, single.block == hot.hot_key, "left_semi")
     # collect_set per catalogue row is bounded by that row's own key count.
     per_item = (hot_rows.groupBy("catalog_id")
                 .agg(F.any_value(F.struct(*item_cols, "c_keys")).alias("it"),
@@ -74,7 +76,7 @@ def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchCo
                 .where(F.size("hk") >= 2))
     pair = per_item.select(F.explode(_pairs(F.col("hk"))).alias("block"), "it.*")
     pair = pair.select("block", *item_cols, "c_keys")
-    pair_freq = pair.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    pair_freq = pair.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("*", limit)
     post = cut_lineage(single.unionByName(pair), "postings")
     return post, cut_lineage(freq.unionByName(pair_freq), "block-freq"), True
 
@@ -91,7 +93,7 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
     folder (it feeds both similarity branches and the scoring join).
     ``built``: postings already built for this index (shared by passes).
     """
-    post, freq, _ = built or postings(index, c_keys_col, item_cols, cfg)
+    post, freq, has_pairs = built or postings(index, c_keys_col, item_cols, cfg)
     # Only identity + rank columns travel through the block join; the other
     # catalogue columns are attached to the final top-k rows.
     slim = ["catalog_id", "uri", "popularity"]
@@ -107,8 +109,13 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
                 .agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("ks"),
                      F.min("n").alias("min_n"), F.any_value("q_keys").alias("q_keys")))
     ranked = ranked.where(F.col("min_n") > 0)
-    k1, k2 = F.element_at("ks", 1), F.element_at("ks", 2)
-    use_pair = (k1["n"] > cfg.hot_block_rows) & (F.size("ks") >= 2)
+    k1, k2 = F.element_at("ks", 1), F.get("ks", F.lit(1))
+    # What the postings hold decides, not this call's knobs: they may have been
+    # built with others.  Pairs exist for the keys above the builder's limit.
+    use_pair = F.lit(False)
+    if has_pairs:
+        limit = freq.agg(F.max("hot_limit")).scalar()
+        use_pair = (k1["n"] > limit) & (F.size("ks") >= 2)
     block = F.when(use_pair, F.concat_ws(PAIR_SEP, F.array_sort(F.array(k1["block"], k2["block"]))))\
              .otherwise(k1["block"])
     # one row per query; both branches below read it (the shuffle is reused)

@@ -65,6 +65,13 @@ def apply_match(tracks: DataFrame, matches: DataFrame, key: str, run_ts: str) ->
     return j.withColumns(sets).drop(*[f"_m_{v}" for v in cols])
 
 
+def _one_per_key(lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of greatest values of each key (partial maxima before the shuffle)."""
+    rest = [c for c in lookup.columns if c not in keys]
+    return (lookup.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_one"))
+            .select(*[F.col(c) if c in keys else F.col(f"_one.{c}").alias(c) for c in lookup.columns]))
+
+
 def _lookup(tracks: DataFrame, need: Column, key_expr: Column, lookup: DataFrame, lkey: str,
             prefix: str, sets_fn) -> DataFrame:
     """Left join ``lookup`` (columns renamed ``prefix``+col) for the rows
@@ -72,8 +79,11 @@ def _lookup(tracks: DataFrame, need: Column, key_expr: Column, lookup: DataFrame
 
     The two subsets are joined/unioned separately so rows that need nothing
     never enter the shuffle (no NULL-key partition collecting them all).
+    A key that the lookup holds more than once counts once, so no track is
+    multiplied.
     """
-    lk = lookup.select(*[F.col(c).alias(prefix + c) for c in lookup.columns])
+    lk = _one_per_key(lookup, [lkey])
+    lk = lk.select(*[F.col(c).alias(prefix + c) for c in lookup.columns])
     t = tracks.withColumn("_need", need)
     todo = t.where(F.col("_need")).withColumn("_k", key_expr)
     j = todo.join(lk, todo._k == lk[prefix + lkey], "left")
@@ -111,8 +121,9 @@ def backfill_genres(tracks: DataFrame, catalog: DataFrame, artists: DataFrame,
     """Matched rows without genres: catalogue row -> primary artist -> genres."""
     need = matched() & (blank("artist_genres") == "")
     # catalogue id -> primary artist genres (joined once per catalogue id).
+    genres = _one_per_key(artists.select(F.col("artist_id").alias("_aid"), "genres"), ["_aid"])
     cg = (catalog.select("catalog_id", F.col(artist_id_col).alias("_aid"))
-                 .join(artists.select(F.col("artist_id").alias("_aid"), "genres"), "_aid")
+                 .join(genres, "_aid")
                  .select("catalog_id", join_list("genres").alias("genre_text")))
     return _lookup(tracks, need, uri_id("uri"), cg, "catalog_id", "_g_", lambda hit: {
         "artist_genres": F.when(hit, F.col("_g_genre_text")).otherwise(F.col("artist_genres"))})
@@ -140,7 +151,8 @@ def listen_stats(tracks: DataFrame, stats: DataFrame, max_tags: int = MAX_TAGS)
     are the first ``max_tags`` names joined with ', '."""
     need = is_missing("playcount", 0) & (blank("title") != "") & (blank("artist") != "") & \
         (first_artist("artist") != "")
-    st = stats.select(F.col("artist").alias("_l_artist"), F.col("title").alias("_l_title"),
+    st = _one_per_key(stats.select("artist", "title", "playcount", "listeners", "tags"), ["artist", "title"])
+    st = st.select(F.col("artist").alias("_l_artist"), F.col("title").alias("_l_title"),
                       F.col("playcount").alias("_l_playcount"), F.col("listeners").alias("_l_listeners"),
                       F.col("tags").alias("_l_tags"))
     t = tracks.withColumn("_need", need)

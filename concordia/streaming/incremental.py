@@ -17,7 +17,7 @@ folder, so a restarted driver resumes where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,14 +68,23 @@ def run_incremental(spark: SparkSession, landing: str, schema: T.StructType, sta
 
 
 def read_state(spark: SparkSession, state_dir: str, key: str = "fingerprint", order: str = "position") -> DataFrame:
-    """Current state: last row per key across all applied batches."""
+    """Current state: last row per key across all applied batches; a later
+    batch wins over an earlier one, the last position within a batch."""
     deltas = spark.read.parquet(f"{state_dir}/delta")
-    return dedupe_last_wins(deltas, key, order).drop("batch_id")
+    return _latest(deltas, key, F.struct("batch_id", order))
 
 
-def read_split(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{state_dir}/split").drop("batch_id")
+def read_split(spark: SparkSession, state_dir: str, key: str = "position") -> DataFrame:
+    """The split of every row seen, as its last batch left it."""
+    return _latest(spark.read.parquet(f"{state_dir}/split"), key, F.col("batch_id"))
 
 
-def read_matches(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{state_dir}/matches").drop("batch_id")
+def read_matches(spark: SparkSession, state_dir: str, key: str = "position") -> DataFrame:
+    """The match result of every row searched, as its last batch left it."""
+    return _latest(spark.read.parquet(f"{state_dir}/matches"), key, F.col("batch_id"))
+
+
+def _latest(rows: DataFrame, key: str, by: Column) -> DataFrame:
+    """One row per key: a top-1 window, limited per map task before the shuffle."""
+    w = Window.partitionBy(key).orderBy(by.desc())
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "batch_id")

@@ -161,6 +161,30 @@ def test_stream_is_incremental_and_idempotent(spark, tmp_path):
     assert got == want
 
 
+def test_a_later_batch_wins_at_an_earlier_position(spark, tmp_path):
+    from concordia.streaming import incremental as T9
+    state = str(tmp_path / "state")
+    for batch, position, title in ((0, 9, "old"), (1, 3, "new")):
+        (spark.createDataFrame([("k", position, title)], "fingerprint string, position long, title string")
+         .write.parquet(f"{state}/delta/batch_id={batch}"))
+    assert [tuple(r) for r in T9.read_state(spark, state).collect()] == [("k", 3, "new")]
+
+
+def test_lookup_tables_with_repeated_keys_multiply_no_track(spark):
+    tracks = N.with_track_defaults(spark.createDataFrame(
+        [(1, "x:c1", "T", "A"), (2, "x:c2", "U", "B")], "position long, uri string, title string, artist string"))
+    catalog = spark.createDataFrame(
+        [("c1", 1, False, 2, 3, "d", "album", "i", "a1"), ("c1", 1, False, 5, 3, "d", "album", "i", "a1")],
+        "catalog_id string, duration_ms long, explicit boolean, popularity int, track_number int, release_date string, "
+        "album_type string, isrc string, artist_id string")
+    artists = spark.createDataFrame([("a1", ["x"]), ("a1", ["x"])], "artist_id string, genres array<string>")
+    stats = spark.createDataFrame([("A", "T", 5, 1, ["r"]), ("A", "T", 5, 1, ["r"])],
+                                  "artist string, title string, playcount long, listeners long, tags array<string>")
+    got = N.listen_stats(N.backfill_genres(N.backfill_metadata(tracks, catalog), catalog, artists), stats)
+    assert sorted((r.position, r.popularity, r.artist_genres, r.playcount) for r in got.collect()) == [
+        (1, 5, "x", 5), (2, 0, "", 0)]
+
+
 def test_a_repeated_run_replaces_its_own_partition(spark, tmp_path):
     from concordia.sources import snapshot
     df = spark.createDataFrame([(1, "p", "a", "t", "x", "y", 1.0)],

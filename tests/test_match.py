@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.config import MatchConfig
-from concordia.operators.match import (match_waterfall, prepare_catalog, prepare_source, search_candidates)
+from concordia.operators.match import (build_postings, match_waterfall, prepare_catalog, prepare_source, search_candidates)
 from concordia.sources import fixtures as fx
 
 SF001 = "/root/testdata/sf0.001"
@@ -115,6 +115,15 @@ def test_prebuilt_catalog_index_gives_same_results(spark, waterfall, tmp_path):
         sorted(tuple(x) for x in waterfall.select(*cols).collect())
 
 
+@pytest.mark.parametrize("built_with, asked_with", [(5, 1_000_000), (1_000_000, 5), (5, 40)])
+def test_an_index_built_with_other_knobs_gives_the_same_candidates(spark, built_with, asked_with):
+    prepared = prepare_source(fx.source(spark, SF001), "position")
+    index = prepare_catalog(fx.catalog(spark, SF001))
+    built = build_postings(index, MatchConfig(hot_block_rows=built_with))
+    c, _, q = search_candidates(prepared, index, MatchConfig(hot_block_rows=asked_with, rows_per_task=7), True, built)
+    assert sorted(tuple(r) for r in c.select(*q, "uri", "rank").collect()) == _brute(spark, True)
+
+
 def test_the_least_popular_row_can_win(spark):
     rows = [(f"c{i:02d}", f"u:{i:02d}", "blue river " + "long tail words " * (i < 49), 100 - i) for i in range(50)]
     base = fx.catalog(spark, SF001)
