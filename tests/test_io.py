@@ -161,15 +161,6 @@ def test_stream_is_incremental_and_idempotent(spark, tmp_path):
     assert got == want
 
 
-def test_a_later_batch_wins_at_an_earlier_position(spark, tmp_path):
-    from concordia.streaming import incremental as T9
-    state = str(tmp_path / "state")
-    for batch, position, title in ((0, 9, "old"), (1, 3, "new")):
-        (spark.createDataFrame([("k", position, title)], "fingerprint string, position long, title string")
-         .write.parquet(f"{state}/delta/batch_id={batch}"))
-    assert [tuple(r) for r in T9.read_state(spark, state).collect()] == [("k", 3, "new")]
-
-
 def test_lookup_tables_with_repeated_keys_multiply_no_track(spark):
     tracks = N.with_track_defaults(spark.createDataFrame(
         [(1, "x:c1", "T", "A"), (2, "x:c2", "U", "B")], "position long, uri string, title string, artist string"))
