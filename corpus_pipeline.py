@@ -29,8 +29,11 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity band keep."""
-    scored = cut_lineage(quality.measured(_columns(docs)), "quality-scored")
-    return _columns(quality.judged(scored).where("kept"))
+    docs = _columns(docs)
+    scored = cut_lineage(quality.measured(docs), "quality-scored")
+    with Scratch(spark, "quality") as scratch:
+        scores = scratch.keep(quality.word_scores(docs, scratch))
+    return _columns(quality.judged(scored, scores).where("kept"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
