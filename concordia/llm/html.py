@@ -10,7 +10,11 @@ with one ``article`` (or else one ``main``) element says of every word and tag
 whether it is content.  A tag costs ``TAG_COST`` times its share outside the
 content (and a little in any case); a word counts by the log odds of its
 enclosing element (tag and first class), between -1 and 1, and 1 where that
-element was never seen.  The weights are fitted on ``FIT_PAGES`` labelled pages
+element was never seen.  The names of all elements around a word (whole class
+names, id, role, and the tags of ``MARKS``) have such odds too, and the lowest
+counts where it is lower; ``BOILERPLATE`` is only what is thought of a name before
+labels are seen (``PRIOR`` words outside the content).  Elements around the
+content itself say nothing against a name.  The weights are fitted on ``FIT_PAGES`` labelled pages
 with the smallest hash of their id; every page is then scored, whole, and the
 mark-up that gave the labels is not looked at again as a label.
 
@@ -20,7 +24,9 @@ space; blocks (block elements and line breaks end one) are joined by a newline.
 Defined cases
 * null, empty or text-free html: an empty text;
 * without labelled pages the default weights hold (words 1, tags a little);
-* open elements are closed by their parent's end; a ``<`` that starts no tag is text;
+* an element whose end tag may be left out ends where the next of its kind or its
+  parent ends, others with their parent, at any depth; an end tag without a start
+  is ignored; text of ``NEVER`` elements and hidden ones counts 0 and is left out; a ``<`` that starts no tag is text;
 * repeated rows are extracted alike; an empty table gives an empty table.
 """
 
@@ -42,19 +48,34 @@ FIT_PAGES = 2000
 TAG_COST = 10.0
 LEAST_COST = 0.05       # of any tag
 
-#: elements whose text is never the article
-NEVER = frozenset("""head title script style noscript template iframe object svg canvas nav menu header footer aside
-form button select option input textarea label dialog audio video figcaption""".split())
-#: words of class, id or role that mark such elements
+PRIOR = 20              # words outside the content that a name of BOILERPLATE starts with
+
+#: elements whose text is no running text of the page
+NEVER = frozenset("""head title script style noscript template iframe object svg canvas select option input textarea
+label button dialog audio video""".split())
+#: tags that count as names
+MARKS = frozenset("nav menu header footer aside form figcaption".split())
+#: names that are taken for boilerplate until labels say otherwise
 BOILERPLATE = frozenset("""ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner
 nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo
-comment comments disqus respond reply replies notice notices alert cookie cookies consent gdpr popup modal overlay
+comment comments disqus respond reply replies notice notices alert cookie cookies consent gdpr popup modal overlay figcaption
 newsletter subscribe signup login search share sharing social related recommended recommendations widget toolbar
 pagination pager tags skip copyright""".split())
 #: elements that start and end a block of text
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir div dl dt
 fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre
 section select summary table tbody td tfoot th thead title tr ul""".split())
+#: start tag -> (open elements that it ends, elements that they are looked for within)
+_SCOPE = frozenset("table td th caption button object template".split())
+ENDS = {name: (frozenset({"p"}), _SCOPE) for name in """address article aside blockquote center details dialog dir div dl
+fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary ul""".split()}
+ENDS |= {"li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"})),
+         "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+         "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
+         "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select", "datalist"})),
+         "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+         "tr": (frozenset({"tr"}), frozenset({"table"})),
+         **{name: (frozenset({"thead", "tbody", "tfoot", "caption"}), frozenset({"table"})) for name in ("thead", "tbody", "tfoot")}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TOKEN = re.compile(
@@ -79,62 +100,112 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
         yield "text", "", "", page[at:]
 
 
-def element_key(name: str, attributes: str) -> tuple[str, bool]:
-    """(tag with its first class, whether it is never content)."""
-    key, never = name, name in NEVER
+def element_key(name: str, attributes: str) -> tuple[str, frozenset[str], bool]:
+    """(tag with its first class, names, whether its text is never content)."""
+    key, never, marks = name, name in NEVER, {name} & MARKS
     if attributes:
         for a in _ATTRIBUTE.finditer(attributes):
-            words = re.split(r"[^a-z0-9]+", a[2].lower().strip("\"'"))
-            if a[1].lower() == "class" and words[0]:
-                key = f"{name}.{words[0]}"
-            never = never or not BOILERPLATE.isdisjoint(words)
+            names = a[2].lower().strip("\"'").split()
+            if a[1].lower() == "class" and names:
+                key = f"{name}.{names[0]}"
+            marks.update(names)
         never = never or bool(_HIDDEN.search(_ATTRIBUTE.sub("", re.sub(r"\"[^\"]*\"|'[^']*'", "''", attributes))))
-    return key, never and name not in ("html", "body")
-
-
-def units(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, key, text, never): every text run with its enclosing element, and
-    every tag, in page order."""
-    stack: list[tuple[str, str, bool]] = []
+    if name in ("html", "body"):
+        return key, frozenset(), False
+    return key, frozenset(marks), never
+
+
+class Elements:
+    """The elements of a page in page order, and which are open."""
+
+    def __init__(self):
+        self.parent: list[int] = []
+        self.marks: list[frozenset[str]] = []
+        self._open: list[tuple[str, str, bool, int]] = []
+        self._places: dict[str, list[int]] = {}  # name -> where it lies among the open ones
+
+    def _last(self, names) -> int:
+        return max((self._places[x][-1] for x in names if self._places.get(x)), default=-1)
+
+    def _cut(self, at: int) -> None:
+        while len(self._open) > at:
+            self._places[self._open.pop()[0]].pop()
+
+    def around(self) -> tuple[str, bool, int]:
+        """(key, never, number) of the innermost open element."""
+        return self._open[-1][1:] if self._open else ("", False, -1)
+
+    def start(self, name: str, attributes: str) -> bool:
+        ended, within = ENDS.get(name, ((), ()))
+        at = self._last(ended)
+        if at > self._last(within):
+            self._cut(at)
+        if name == "li" or name in ("dt", "dd"):  # a paragraph in the one before is gone with it
+            at = self._last(("p",))
+            if at > max(self._last(_SCOPE), self._last(within)):
+                self._cut(at)
+        key, marks, never = element_key(name, attributes)
+        never = never or self.around()[1]
+        if name not in VOID and not attributes.endswith("/"):
+            self.parent.append(self.around()[2])
+            self.marks.append(marks)
+            self._places.setdefault(name, []).append(len(self._open))
+            self._open.append((name, key, never, len(self.parent) - 1))
+        return never
+
+    def end(self, name: str) -> bool:
+        at = self._last((name,))
+        if at >= 0:
+            self._cut(at)
+        return self.around()[1]
+
+
+def units(page: str, elements: Elements) -> Iterator[tuple[str, str, str, bool, int]]:
+    """(kind, key, text, never, number of the innermost element): every text run
+    with its enclosing element, and every tag, in page order."""
     for kind, name, attributes, text in tokens(page):
         if kind == "text":
-            key, never = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            yield "text", key, text, never
-            continue
-        if kind == "open":
-            key, never = element_key(name, attributes)
-            never = never or bool(stack and stack[-1][2])
-            if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, key, never))
+            key, never, number = elements.around()
+            yield "text", key, text, never, number
         else:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            never = bool(stack and stack[-1][2])
-        yield kind, name, "", never
+            never = elements.start(name, attributes) if kind == "open" else elements.end(name)
+            yield kind, name, "", never, elements.around()[2]
 
 
 _COUNTS = pa.schema([("key", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
 
 
 def label_counts(page: str) -> tuple[Counter, Counter] | None:
-    """Words (by enclosing element) and tags inside and outside the element
-    that the page marks as its content; None for a page without such a mark."""
+    """Words (by enclosing element and by names around them) and tags inside and
+    outside the element that the page marks as its content; None for a page
+    without such a mark."""
     marks = re.findall(r"<(article|main)\b", page, re.I)
     name = next((x for x in ("article", "main") if [m.lower() for m in marks].count(x) == 1), None)
     if name is None:
         return None
     count, within = (Counter(), Counter()), False
-    for kind, key, text, _ in units(page):
+    elements, own, around = Elements(), (Counter(), Counter()), set()
+    for kind, key, text, never, number in units(page, elements):
         if kind == "text":
-            count[within][f"word {key}"] += len(text.split())
+            n = 0 if never else len(text.split())
+            count[within][f"word {key}"] += n
+            own[within][number] += n
         else:
             if key == name:
                 within = kind == "open"
                 count[0][f"tag {key}"] += 1
+                while within and number >= 0:
+                    around.add(number)
+                    number = elements.parent[number]
             else:
                 count[within][f"tag {key}"] += 1
+    for k in range(len(elements.parent) - 1, -1, -1):  # inner elements come later
+        for inside in (False, True):
+            if own[inside][k]:
+                own[inside][elements.parent[k]] += own[inside][k]
+                if inside or k not in around:
+                    for mark in elements.marks[k]:
+                        count[inside][f"name {mark}"] += own[inside][k]
     return count[1], count[0]
 
 
@@ -162,19 +233,34 @@ def fit(pages: DataFrame) -> dict[str, float]:
         if key.startswith("tag "):
             weights[key] = -TAG_COST * outside / max(inside + outside, 1) - LEAST_COST
         else:
+            if key.startswith("name ") and key[5:] in BOILERPLATE:
+                outside += PRIOR
             weights[key] = max(-1.0, min(1.0, math.log((inside + 1) / (outside + 1))))
     return weights
 
 
+def name_weights(elements: Elements, weights: dict[str, float]) -> list[float]:
+    """The lowest weight of the names of and around each element; the last is that of no element."""
+    out: list[float] = []
+    for parent, marks in zip(elements.parent, elements.marks):
+        low = out[parent] if parent >= 0 else 1.0
+        for mark in marks:
+            low = min(low, weights.get(f"name {mark}", -1.0 if mark in BOILERPLATE else 1.0))
+        out.append(low)
+    return [*out, 1.0]
+
+
 def extract(page: str, weights: dict[str, float]) -> str:
     """The main text of a page."""
-    row = list(units(page))
+    elements = Elements()
+    row = list(units(page, elements))
+    low = name_weights(elements, weights)
     best, first, last = 0.0, 0, -1
     total, start = 0.0, 0
-    for k, (kind, key, text, never) in enumerate(row):
+    for k, (kind, key, text, never, number) in enumerate(row):
         if kind == "text":
-            n = len(text.split())
-            total += -n if never else n * weights.get(f"word {key}", 1.0)
+            if not never:
+                total += len(text.split()) * min(weights.get(f"word {key}", 1.0), low[number])
         else:
             total += weights.get(f"tag {key}", -LEAST_COST)
         if total <= 0:
@@ -182,9 +268,9 @@ def extract(page: str, weights: dict[str, float]) -> str:
         elif total > best:
             best, first, last = total, start, k
     blocks, block = [], []
-    for kind, key, text, never in row[first:last + 1]:
+    for kind, key, text, never, number in row[first:last + 1]:
         if kind == "text":
-            if not never:
+            if not never and low[number] > -1:
                 block.append(html.unescape(text))
         elif key in BLOCKS:
             blocks.append(block)
