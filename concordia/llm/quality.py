@@ -188,7 +188,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
 # ---- word order: trigram tables in Spark
 
 #: scripts that are written without spaces: every character counts as a word
-_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
                         "\uf900-\ufaff\U00020000-\U0003ffff]")
 _EDGES = ".,;:!?'\"()[]{}«»„“”‘’…。、，！？"
 
@@ -209,7 +209,7 @@ class _WordHashes(dict):
 def word_hashes(text: bytes, known: _WordHashes) -> np.ndarray:
     """The hash of every word; 0, twice before and once after, is the edge of the text."""
     if text and max(text) > 0xDF:
-        text = _SPACELESS.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
+        text = SPACELESS.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
     words = text.split()
     if len(known) > KNOWN_WORDS:
         known.clear()

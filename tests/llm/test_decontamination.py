@@ -54,3 +54,24 @@ def test_landed_passages(spark, landed, documents):
                     benchmark=spark.createDataFrame(bench, "item_id long, text string"))
     got = op3_benchmark_decontamination(spark, folder).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and want
+
+
+def test_items_of_numbers_and_names_are_found_word_for_word(found):
+    sums = "12 + 30 42 | 15 + 20 35 | 7 + 8 15 | 4 + 9 13"
+    names = "who met Alice Bob Carol Dave Erin Frank Grace Heidi"
+    got = found([f"{OTHER} {sums} {OTHER}", "11 + 30 41 | 16 + 20 36 | 5 + 8 13 | 2 + 9 11",
+                 f"so {names} {OTHER}"], [(1, sums), (2, names)])
+    assert set(got) == {(0, 1), (2, 2)} and not any(got.values())
+
+
+def test_short_items_are_found_whole(found):
+    got = found([f"{OTHER}.\n2 + 2 = ?\n{OTHER}", f"{OTHER}. Name the capital! {OTHER}", "I cannot name the capital of it", "Yes"],
+                [(1, "2 + 2 = ?"), (2, "name the capital"), (3, "yes")])
+    assert set(got) == {(0, 1), (1, 2), (3, 3)}
+
+
+def test_scripts_without_spaces(found):
+    item = "中国的首都是哪一座城市"
+    got = found([f"今天天气很好我们去公园{item}请回答这个问题", "今天天气很好我们去公园请回答这个问题", f"前文\n法国\n后文"],
+                [(1, item), (2, "法国")])
+    assert set(got) == {(0, 1), (2, 2)}
