@@ -257,7 +257,7 @@ def fuzzy_cands_ctes(p: str, rest: str, with_artist: bool, k: int | None = None)
     ], qcols
 
 
-def fuzzy_scored_ctes(p: str, rest: str, with_artist: bool, metric="ratio", k: int = 10,
+def fuzzy_scored_ctes(p: str, rest: str, with_artist: bool, metric="ratio", k: int | None = None,
                       bonus: float = 0.1) -> list[tuple[str, str]]:
     ctes, qcols = fuzzy_cands_ctes(p, rest, with_artist, k)
     j, ts, as_ = score_sql(metric)
@@ -274,7 +274,7 @@ def fuzzy_scored_ctes(p: str, rest: str, with_artist: bool, metric="ratio", k: i
 
 
 def fuzzy_pass_ctes(p: str, rest: str, with_artist: bool, threshold: float, metric="ratio",
-                    k: int = 10) -> list[tuple[str, str]]:
+                    k: int | None = None) -> list[tuple[str, str]]:
     ctes = fuzzy_scored_ctes(p, rest, with_artist, metric, k)
     sc = "eff" if with_artist else "score"
     method = "title_artist" if with_artist else "relaxed"

@@ -135,3 +135,12 @@ def test_the_least_popular_row_can_win(spark):
     src = fx.source(spark, SF001)
     source = src.limit(1).withColumns({"title": F.lit("Blue River"), "artist": F.lit("Band"), "isrc": F.lit("")}).select(*src.columns)
     assert [r["uri"] for r in match_waterfall(source, catalog, MatchConfig()).collect()] == ["u:49"]
+
+
+def test_best_of_many_containing_rows_may_be_the_least_popular(spark):
+    catalog = spark.createDataFrame(
+        [(f"c{i}", f"u{i:02}", "", 200000, 100 - i, "blue moon " + "x" * (60 - i), "someone") for i in range(49)]
+        + [("c49", "u49", "", 200000, 1, "blue moon", "someone")],
+        "catalog_id string, uri string, isrc string, duration_ms int, popularity int, name string, artist string")
+    source = spark.createDataFrame([(1, "Blue Moon", "someone", 200.0)], "position long, title string, artist string, duration double")
+    assert [r.uri for r in match_waterfall(source, catalog).collect()] == ["u49"]
