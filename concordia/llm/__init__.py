@@ -1,4 +1,5 @@
 """Training-data operators: extraction, packing, decontamination, language
 identification, personal data, quality rules, line dedup, licence scans,
-toxicity and near-duplicate joins.  Nothing outside this package imports it.
+toxicity, near-duplicate joins, embedding
+whitening, substring dedup and dataset manifests.  Nothing outside this package imports it.
 """

@@ -9,11 +9,14 @@ from concordia.llm import (
     language,
     licences,
     line_dedup,
+    merkle,
     ngram_join,
     packing,
     personal_data,
     quality,
+    substring_dedup,
     toxicity,
+    whitening,
 )
 
 LLM_QUERIES = {
@@ -27,10 +30,15 @@ LLM_QUERIES = {
     "op8_license_scans": licences.op8_license_scans,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLE = {
     "op7_line_dedup": line_dedup.SQL,
+    "op12_substring_dedup": substring_dedup.SQL,
+    "op13_merkle_manifest": merkle.SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
