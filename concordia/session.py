@@ -119,9 +119,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.name = spark, scratch_path(spark, name), name
+        self._paths: dict[str, list[str]] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        return cut_lineage(df, path=f"{self.path}/{name}-{uuid.uuid4().hex[:8]}")
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        self._paths.setdefault(name, []).append(path)
+        return cut_lineage(df, path=path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the steps of these names, which nothing will read any more."""
+        for name in names:
+            for path in self._paths.pop(name, ()):
+                drop_path(self.spark, path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df, f"{self.name}-result")
