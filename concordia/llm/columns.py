@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+import types
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,18 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 
 
+T = TypeVar("T")
+
+
+def kept_by_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker makes once and keeps from task to task.  Functions
+    reach the workers by value, so their own globals would not last."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A landed table; only Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -12,7 +12,9 @@ pieces are dealt to blocks of about ``BLOCK`` pieces by a hash of their row, and
 each block is evolved on ``ISLANDS`` islands, a Spark group each.  After every
 epoch an island's best packing (the elite) migrates to the next island of its
 block.  What is not well filled in the end is dealt to fewer blocks and packed
-again, so blocks leave no rest of their own.
+again, until one block is left, so blocks leave no rest of their own; where most
+bins fill badly (pieces of which no two fit), the fuller half of them counts as well
+filled, so every round has fewer pieces than the one before.
 
 A group never has more than a block's pieces (a few numbers each), whatever the
 number of documents; nothing passes through the driver but row counts.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.columns import emit, table, texts
+from concordia.llm.columns import emit, kept_by_worker, table, texts
 from concordia.session import Scratch
 
 CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_WORDS, CACHED_CHARS = 400_000, 40
+CACHED_WORDS, CACHED_CHARS = 300_000, 40
 
 BLOCK = 8192
 ISLANDS = 2
@@ -54,6 +57,7 @@ EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 4
 WELL_FILLED = 0.995     # of the capacity
+SETTLED = 0.7           # of the pieces, that may go on to the next round
 INJECTED = 0.25         # of a parent's well-filled bins, at most
 DISSOLVED = 0.02        # of the bins, by a mutation
 
@@ -63,38 +67,90 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as bytes, if ids follow the order of the merges (then the
+    pair of least id is always the next one to merge); else None."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary.get(a + b, -1) for a, b in merges]
+    # byte-level alphabet: printable Latin-1 characters stand for themselves, the others follow from U+0100
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    if ids != sorted(set(ids)) or any(c not in byte_of for t in vocabulary for c in t if t not in _SPECIAL):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in _SPECIAL}
+
+
+#: The special string of the vocabulary, and its pattern of pieces.
+_SPECIAL = ("<|endoftext|>",)
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class _Words(dict):
+    """Ids of words (with a space before them, or not).  Two generations: what
+    was not asked for since the last change of generations is forgotten."""
+
+    def __init__(self, encode, before: str):
+        super().__init__()
+        self.encode, self.before, self.old = encode, before, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(self.before + word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids, words remembered."""
+    """Texts to little-endian 32-bit ids, words remembered.
+
+    Words of ASCII and Latin letters are merged by ``tiktoken`` over the same
+    vocabulary, which gives the same ids in a third of the time; all others, and
+    texts with runs of white space, by ``tokenizers``."""
 
-    _run = re.compile(r"\s | \s")
+    #: a text with one of these is encoded as one: runs that hold a space, other white space, special strings
+    _whole = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), *_SPECIAL)
+    _newline = re.compile(r"(?<=\S)\n(?=\S)")
+    _simple = re.compile("[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*").fullmatch
 
     def __init__(self, path: str):
         import os
 
+        import tiktoken
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        ranks = byte_ranks(path)
+        self.merger = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.first, self.later = _Words(self._encode, ""), _Words(self._encode, " ")
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        if self.merger and self._simple(text):
+            return array("I", self.merger.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self._run.search(text):
-            return self._encode([text])[0]
-        first, *words = text.split(" ")
-        known = self.known
-        parts = ([first] if first else []) + [" " + w for w in words]
-        new = {p for p in parts if p not in known}
-        if not new:
-            return b"".join(map(known.__getitem__, parts))
-        ids = dict(zip(new, self._encode(list(new))))
-        out = b"".join([ids[p] if p in ids else known[p] for p in parts])
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        known.update((p, i) for p, i in ids.items() if len(p) <= CACHED_CHARS)
-        return out
+        if not text:
+            return b""
+        if any(x in text for x in self._whole):
+            return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        several = "\n\n" in text or text[0] == "\n" or text[-1] == "\n"
+        lines = []
+        for line in self._newline.split(text) if several else text.split("\n"):
+            words = line.split(" ")
+            first = words[0]
+            words[0] = self.first[first] if first else b""
+            words[1:] = map(self.later.__getitem__, words[1:])
+            lines.append(b"".join(words))
+        return self.first["\n"].join(lines)
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -103,7 +159,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = kept_by_worker(("encoder", path), lambda: Encoder(path))
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             rows = []
@@ -276,19 +332,17 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None, capaci
     done, level, count = None, 0, rest.count()
     while count:
         packed = _packed(rest, count, capacity, scratch)
-        last = count <= BLOCK
-        good = packed if last else packed.where(F.col("fill") >= WELL_FILLED * capacity)
-        good = good.select("item", "offset", (F.col("block") * (1 << 20) + F.col("bin") + level * (1 << 58)).alias("sequence_id"))
+        enough, left = 0.0, 0
+        if count > BLOCK:
+            enough = WELL_FILLED * capacity
+            left = packed.where(F.col("fill") < enough).count()
+            if left > SETTLED * count:  # what fits badly: the fuller half is settled, the other goes on
+                enough = packed.where(F.col("fill") < enough).agg(F.percentile_approx("fill", 0.5)).first()[0]
+                left = packed.where(F.col("fill") < enough).count()
+        good = packed.where(F.col("fill") >= enough).select(
+            "item", "offset", (F.col("block") * (1 << 20) + F.col("bin") + level * (1 << 58)).alias("sequence_id"))
         done = good if done is None else done.union(good)
-        if last:
-            break
-        rest = packed.where(F.col("fill") < WELL_FILLED * capacity).select("item", "length")
-        left = rest.count()
-        if left > 0.7 * count:  # nothing to win from dealing the rest anew
-            keep = packed.where(F.col("fill") < WELL_FILLED * capacity)
-            done = done.union(keep.select("item", "offset", (F.col("block") * (1 << 20) + F.col("bin")
-                                                             + level * (1 << 58)).alias("sequence_id")))
-            break
+        rest = packed.where(F.col("fill") < enough).select("item", "length")
         count, level = left, level + 1
     full = pieces.where(F.col("length") == capacity).select("item", F.lit(0).cast("long").alias("offset"),
                                                             (-1 - F.col("item")).alias("sequence_id"))

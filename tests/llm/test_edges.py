@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from concordia.llm.registry import LLM_QUERIES
 
-CLASHES = ("_id", "_lost_id", "_lost", "_key", "_lang", "_t", "kept", "quality", "language", "key", "sig", "n", "item",
-           "uid", "hash", "pos", "length", "html_", "known", "lines", "score", "main_text")
+CLASHES = ("doc", "tag", "tree", "pos", "path", "start", "width", "whitened", "_doc", "_tag", "_id", "_lost_id", "_lost", "_key", "_lang", "_t", "kept", "quality", "language", "key", "sig", "n", "item",
+           "uid", "hash", "length", "html_", "known", "lines", "score", "main_text")
 BENCHMARK, LABELS = "item_id long, text string", "doc_id long, quality int, toxic int"
 PAGES, DOCUMENTS = "page_id long, url string, html string", "doc_id long, text string, lang string, source string, n_chars long"
 OF_PAGES, OF_PAIRS = {"op1_html_extraction"}, {"op3_benchmark_decontamination", "op8_license_scans", "pipeline"}
+OF_VECTORS, VECTORS = {"op11_embedding_whitening"}, "vec_id long, embedding array<float>, label int"
 
 
 def rows():
@@ -36,6 +37,7 @@ def folder(spark, landed):
     return landed(
         documents=table(spark, docs, DOCUMENTS),
         benchmark=table(spark, [(1, docs[4][1]), (1, docs[4][1]), (None, "a b c d e f g h"), (2, None), (3, "")], BENCHMARK),
+        embeddings=table(spark, [(i, [float(i % 3), float(i % 5)], 1) for i in range(9)] + [(None, None, None)], VECTORS),
         labels=table(spark, [(i, 1, i % 2) for i in range(20)] + [(0, None, None), (None, 1, 1), (3, 0, 1), (3, 0, 0)], LABELS),
         pages=table(spark, [(1, "u", "<p>one two</p>"), (1, "u", "<p>one two</p>"), (None, None, None), (2, None, ""),
                             (3, "u", "<<p"), (4, "u", "<div>" * 3000 + "deep"), (5, "u", "a &amp; b &lt; &#x41;")], PAGES))
@@ -44,17 +46,17 @@ def folder(spark, landed):
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_odd_rows(spark, folder, name):
     got = LLM_QUERIES[name](spark, folder).collect()
-    if name not in OF_PAGES | OF_PAIRS | {"op2_best_fit_packing"}:
+    if name not in OF_PAGES | OF_PAIRS | OF_VECTORS | {"op2_best_fit_packing"}:
         assert len(got) == len(rows())
     again = [tuple(r) for r in got if r[0] == (1 if name in OF_PAGES else 0)]
     if name in OF_PAGES:
         assert len(got) == 7 and [r["text"] for r in got if r["page_id"] == 5] == ["a & b < A"]
-    if name not in OF_PAIRS | {"op2_best_fit_packing"}:
+    if name not in OF_PAIRS | OF_VECTORS | {"op2_best_fit_packing"}:
         assert len(set(again)) == 1  # repeated rows get the same result
 
 
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_empty_tables(spark, landed, name):
     folder = landed(documents=table(spark, [], DOCUMENTS), benchmark=table(spark, [], BENCHMARK),
-                    labels=table(spark, [], LABELS), pages=table(spark, [], PAGES))
+                    labels=table(spark, [], LABELS), pages=table(spark, [], PAGES), embeddings=table(spark, [], VECTORS))
     assert LLM_QUERIES[name](spark, folder).collect() == []
