@@ -23,7 +23,13 @@ What keeps it whole and bounded under skew
   it has rows.  What is then one component needs no further pair; only classes
   that are outside their column's main component are multiplied with the rest.
   So a large group of near copies costs pairs in proportion to its size, and no
-  link between different components is left out.
+  link between different components is left out;
+* of those the join itself keeps the pairs only whose sizes and *odd sketches* can
+  belong to linked sets.  A sketch has ``SKETCH`` bits, of which every shingle
+  flips one: two sketches differ in at most as many bits as the sets have
+  shingles that are not shared, and linked sets have at most (n + m) / 9 of these.
+  So many copies that are alike, but not alike enough, give next to no pairs
+  (up to some 1,500 shingles a text, where sketches fill up).
 
 Defined cases
 * null or empty text, or no word: an empty set, linked with nothing, its own component;
@@ -54,6 +60,7 @@ SLICE = 1 << 23         # shingles that are counted together
 LOCAL = 3               # documents of a slice from which a column is reported
 MAX_COMMON = 1 << 22    # most columns that can count as common
 LEAST_COMMON = 16       # documents that a common column has at least
+SKETCH = 1024           # bits of an odd sketch
 BROADCAST_IDS = 1 << 20  # ids (8 bytes each) up to which a side is broadcast
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -95,8 +102,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()),
-                   ("col", pa.int64()), ("df", pa.int64())])
+_BITS = [f"s{k}" for k in range(SKETCH // 64)]
+_SETS = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "sig", "col", "df", *_BITS)])
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Which of the sketch's bits an odd number of shingles flips, as 64-bit integers."""
+    odd = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +129,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         size = 0
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return emit(_SETS, none, none, none, col[first][keep].astype(np.int64), df[keep])
+        return emit(_SETS, none, none, none, col[first][keep].astype(np.int64), df[keep], *[none] * len(_BITS))
 
     for b in batches:
-        n, sig = [], []
+        n, sig, bits = [], [], np.empty((len(b), len(_BITS)), np.int64)
         for text in b.column(1).cast(pa.binary()):
             found = shingles(text.as_py() or b"")
             n.append(len(found))
             sig.append(signature(found))
+            bits[len(n) - 1] = sketch(found)
             if len(found) and sig[-1] not in seen:
                 seen.add(sig[-1])
                 parts.append(found)
@@ -131,7 +145,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= SLICE:
                     yield shared()
         none = pa.nulls(len(n), pa.int64())
-        yield emit(_SETS, b.column(0), n, sig, none, none)
+        yield emit(_SETS, b.column(0), n, sig, none, none, *bits.T)
     yield shared()
 
 
@@ -206,11 +220,12 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.scratch = scratch
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
-        rows = self.docs.mapInArrow(_sets, "doc_id long, n long, sig long, col long, df long")
+        rows = self.docs.mapInArrow(_sets, ", ".join(f"{f.name} long" for f in _SETS))
         sets = scratch.cut(rows, "sets")
         self.sets = sets.where("n is not null").select("doc_id", "n", "sig")
-        self.classes = scratch.cut(self.sets.where("doc_id is not null and n > 0")
-                                   .groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
+        self.classes = scratch.cut(sets.where("doc_id is not null and n > 0")
+                                   .groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
+                                                       *(F.max(c).alias(c) for c in _BITS)), "classes")
         self.common = docs.sparkSession.sparkContext.broadcast(common_columns(sets))
 
     def shared_columns(self) -> DataFrame:
@@ -220,7 +235,23 @@ class NgramJoin:
                                  .mapInArrow(_heads(self.common), "col long, sig long"), "heads")
         more = (heads.groupBy("col").agg(F.count("*").alias("rows"), F.min("sig").alias("lo"), F.max("sig").alias("hi"))
                 .where("lo < hi").drop("hi"))
-        return self.scratch.cut(heads.join(more.hint("shuffle_hash"), "col").distinct(), "shared")
+        shared = self.scratch.cut(heads.join(more, "col").distinct(), "shared")
+        self.scratch.drop("heads")
+        return shared
+
+    def unlinked_pairs(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
+        """(a, b) of different components that share a column, as far as sizes and
+        sketches let them be linked; both sides are (col, sig, root)."""
+        def described(rows, side):
+            return (rows.join(self.classes.drop("doc_id"), "sig")
+                    .select(*(F.col(c).alias(f"{side}_{c}") for c in ("col", "sig", "root", "n", *_BITS))))
+        n, m = F.col("x_n"), F.col("y_n")
+        differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITS), F.lit(0))
+        return (described(outside, "x").join(described(inside, "y"), (F.col("x_col") == F.col("y_col"))
+                                             & (F.col("x_root") != F.col("y_root"))
+                                             & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+                                             & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)))
+                .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct())
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Drop the pairs (a, b, overlap) that their sizes rule out; overlap is
@@ -243,7 +274,9 @@ class NgramJoin:
                      .groupBy("sig").agg(F.min("text").alias("text")))
         whole = self.scratch.cut(whole, f"texts-{step}")
         both = (pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b"))
-        return self.scratch.cut(both.where(F.arrow_udf(_same, "boolean")("ta", "tb")).select("a", "b"), f"links-{step}")
+        links = self.scratch.cut(both.where(F.arrow_udf(_same, "boolean")("ta", "tb")).select("a", "b"), f"links-{step}")
+        self.scratch.drop(f"pairs-{step}", f"ids-{step}", f"texts-{step}")
+        return links
 
     @property
     def repeated(self) -> bool:
@@ -268,15 +301,11 @@ class NgramJoin:
         comp = components(first, self.scratch)
         large = self.scratch.cut(large.join(comp.toDF("sig", "root"), "sig", "left")
                                  .select("col", "sig", "lo", F.coalesce("root", "sig").alias("root")), "large")
+        self.scratch.drop("shared", "near")
         main = large.where("sig = lo").select("col", F.col("root").alias("main"))
-        outside = large.join(main, "col").where("root <> main").select("col", F.col("sig").alias("x"), F.col("root").alias("rx"))
-        inside = large.select("col", F.col("sig").alias("y"), F.col("root").alias("ry"))
-        cross = (outside.join(inside, "col").where("rx <> ry")
-                 .select("col", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                 .groupBy("a", "b").agg(F.count("*").alias("more"))
-                 .join(near, ["a", "b"], "left")
-                 .select("a", "b", (F.col("more") + F.coalesce("overlap", F.lit(0))).alias("overlap")))
-        return first.union(self.verified(self.bounded(cross), "cross"))
+        outside = self.scratch.cut(large.join(main, "col").where("root <> main").select("col", "sig", "root"), "outside")
+        inside = large.join(outside.select("col").distinct(), "col", "left_semi").select("col", "sig", "root")
+        return first.union(self.verified(self.unlinked_pairs(outside, inside), "cross"))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row per row of the table."""
