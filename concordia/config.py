@@ -49,8 +49,9 @@ class MatchConfig:
     pass3_threshold: float = PASS3_THRESHOLD
     isrc_conf_floor: float = ISRC_CONF_FLOOR
     duration_tolerance_sec: float = DURATION_TOLERANCE_SEC
-    # Candidates scored per query: all of them (None), or the most popular
-    # ones only where a top-k is what is asked for (SEARCH_LIMIT).
+    # Candidates *listed* per query: all of them (None), or the most popular
+    # ones where a top-k is what is asked for (SEARCH_LIMIT).  The resolver's
+    # arg-max always is over all of them.
     max_candidates: int | None = None
     # "ratio" = Ratcliff/Obershelp (parity); "levenshtein" = JVM-native metric.
     metric: str = "ratio"
@@ -59,6 +60,9 @@ class MatchConfig:
     # task handles more than ~``rows_per_task`` of them.
     hot_block_rows: int = 1_000_000
     rows_per_task: int = 250_000
+    # Up to so many (probe, class) pairs are scored in one round; beyond, classes
+    # are visited by falling bound (same results, fewer pairs, more stages).
+    pairs_at_once: int = 1 << 18
     # Drop candidates whose best possible score is below the pass threshold
     # before any Python runs (lossless: ratio <= 2*min(la,lb)/(la+lb)).
     prune_by_length_bound: bool = True

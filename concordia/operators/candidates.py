@@ -51,7 +51,7 @@ def _pairs(arr: F.Column) -> F.Column:
                               lambda b: F.concat(F.element_at(arr, i + 1), F.lit(PAIR_SEP), b))))
 
 
-def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchConfig
+def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchConfig, id_col: str = "catalog_id"
              ) -> tuple[DataFrame, DataFrame, bool]:
     """(postings, block frequencies, has_pairs).  The frequencies carry the
     limit above which keys were paired (``hot_limit``).
@@ -70,7 +70,7 @@ def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchCo
         return single, freq, False
     hot_rows = single.join(hot, single.block == hot.hot_key, "left_semi")
     # collect_set per catalogue row is bounded by that row's own key count.
-    per_item = (hot_rows.groupBy("catalog_id")
+    per_item = (hot_rows.groupBy(id_col)
                 .agg(F.any_value(F.struct(*item_cols, "c_keys")).alias("it"),
                      F.array_sort(F.collect_set("block")).alias("hk"))
                 .where(F.size("hk") >= 2))
@@ -81,24 +81,10 @@ def postings(index: DataFrame, keys_col: str, item_cols: list[str], cfg: MatchCo
     return post, cut_lineage(freq.unionByName(pair_freq), "block-freq"), True
 
 
-def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index: DataFrame,
-               c_keys_col: str, item_cols: list[str], cfg: MatchConfig, k: int,
-               built: tuple[DataFrame, DataFrame, bool] | None = None) -> DataFrame:
-    """Top-k candidates per distinct query.
-
-    ``queries``: distinct rows of ``qkey_cols`` plus the query key array.
-    ``index``: catalogue rows with ``item_cols`` (must include catalog_id,
-    uri, popularity) and their key array.
-    Returns qkey_cols + item_cols + ``rank`` (1..k; all if k is None), written to the shared
-    folder (it feeds both similarity branches and the scoring join).
-    ``built``: postings already built for this index (shared by passes).
-    """
-    post, freq, has_pairs = built or postings(index, c_keys_col, item_cols, cfg)
-    # Only identity + rank columns travel through the block join; the other
-    # catalogue columns are attached to the final top-k rows.
-    slim = ["catalog_id", "uri", "popularity"]
-    post = post.select("block", *slim, "c_keys")
-    q = queries.select(*qkey_cols, F.col(q_keys_col).alias("q_keys")).where(F.size("q_keys") > 0)
+def _query_blocks(queries: DataFrame, qkey_cols: list[str], freq: DataFrame, has_pairs: bool) -> DataFrame:
+    """(qkey_cols, q_keys, block, exact): the block whose postings each query
+    has to look at, and whether holding the block is all that the query asks."""
+    q = queries.where(F.size("q_keys") > 0)
 
     # Rarest keys of each query (a key absent from the catalogue => no candidate).
     qk = q.select(*qkey_cols, "q_keys", F.explode("q_keys").alias("block"))
@@ -118,9 +104,60 @@ def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index:
         use_pair = (k1["n"] > limit) & (F.size("ks") >= 2)
     block = F.when(use_pair, F.concat_ws(PAIR_SEP, F.array_sort(F.array(k1["block"], k2["block"]))))\
              .otherwise(k1["block"])
-    # one row per query; both branches below read it (the shuffle is reused)
-    qb = ranked.select(*qkey_cols, "q_keys", block.alias("block"),
-                       (F.size("ks") == F.when(use_pair, F.lit(2)).otherwise(F.lit(1))).alias("exact"))
+    return ranked.select(*qkey_cols, "q_keys", block.alias("block"),
+                         (F.size("ks") == F.when(use_pair, F.lit(2)).otherwise(F.lit(1))).alias("exact"))
+
+
+def containing(queries: DataFrame, query_id: str, q_keys_col: str, item_id: str, cfg: MatchConfig,
+               built: tuple[DataFrame, DataFrame, bool]) -> DataFrame:
+    """(query_id, item_id) of all items that hold every key of a query, unranked.
+
+    Blocks are spread both ways: postings over ``ceil(n / rows_per_task)`` salts and
+    queries over as many of their own, each side repeated for the salts of the other,
+    so neither a frequent key nor a key that most queries ask for stays in one task.
+    """
+    post, freq, has_pairs = built
+    qb = cut_lineage(_query_blocks(queries.select(query_id, F.col(q_keys_col).alias("q_keys")), [query_id], freq, has_pairs),
+                     "query-blocks")
+    asked = qb.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+
+    def parts(n: str) -> F.Column:
+        return F.ceil(F.col(n) / F.lit(cfg.rows_per_task)).cast("int")
+    # one row per split block: at most (postings + queries) / rows_per_task of them
+    split = (freq.join(asked, "block").select("block", parts("n").alias("np"), parts("m").alias("nq"))
+             .where((F.col("np") > 1) | (F.col("nq") > 1)))
+    split = cut_lineage(split, "split-blocks")
+
+    def salted(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        own_n, other_n = F.coalesce(f"n{own}", F.lit(1)), F.coalesce(f"n{other}", F.lit(1))
+        return (df.join(split, "block", "left")
+                .withColumn(own, F.pmod(F.xxhash64(key), own_n.cast("long")).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1))).drop("np", "nq"))
+    q = salted(qb, query_id, "q", "p")
+    p = salted(post.select("block", item_id, "c_keys").join(asked.select("block"), "block", "left_semi"), item_id, "p", "q")
+    return (q.join(p, ["block", "p", "q"])
+            .where(F.col("exact") | F.forall("q_keys", lambda key: F.array_contains("c_keys", key)))
+            .select(query_id, item_id))
+
+
+def candidates(queries: DataFrame, qkey_cols: list[str], q_keys_col: str, index: DataFrame,
+               c_keys_col: str, item_cols: list[str], cfg: MatchConfig, k: int,
+               built: tuple[DataFrame, DataFrame, bool] | None = None) -> DataFrame:
+    """Top-k candidates per distinct query.
+
+    ``queries``: distinct rows of ``qkey_cols`` plus the query key array.
+    ``index``: catalogue rows with ``item_cols`` (must include catalog_id,
+    uri, popularity) and their key array.
+    Returns qkey_cols + item_cols + ``rank`` (1..k; all if k is None), written to the shared
+    folder (it feeds both similarity branches and the scoring join).
+    ``built``: postings already built for this index (shared by passes).
+    """
+    post, freq, has_pairs = built or postings(index, c_keys_col, item_cols, cfg)
+    # Only identity + rank columns travel through the block join; the other
+    # catalogue columns are attached to the final top-k rows.
+    slim = ["catalog_id", "uri", "popularity"]
+    post = post.select("block", *slim, "c_keys")
+    qb = _query_blocks(queries.select(*qkey_cols, F.col(q_keys_col).alias("q_keys")), qkey_cols, freq, has_pairs)
 
     w_block = Window.partitionBy("block").orderBy(*_rank_order())
     w_query = Window.partitionBy(*qkey_cols).orderBy(*_rank_order())

@@ -8,8 +8,9 @@ for a close duration (capped at 1) must reach 0.5.
 Pass 3 (``relaxed``): title tokens only; raw score must reach 0.4.
 The waterfall runs a pass only on rows the earlier passes left.
 
-Work is done per distinct query and per distinct scoring probe, and the
-Python similarity helper sees each distinct string pair once.
+Work is done per distinct query, scoring probe and class of catalogue rows
+(``operators.classes``), and the Python similarity helper sees each distinct string
+pair once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from concordia.config import (METHOD_ISRC, METHOD_RELAXED, METHOD_TITLE_ARTIST,
 from concordia.functions.similarity import pair_similarity, ratio_upper_bound
 from concordia.functions.text import blank, duration_close, first_artist, normalize_text, tokens
 from concordia.operators.candidates import candidates, field_keys, postings
+from concordia.operators.classes import CatalogClasses, bounded_best, build_classes
 from concordia.session import cut_lineage
 
 # Catalogue columns carried into a match result (those present are kept).
@@ -59,17 +61,13 @@ def prepare_catalog(cat: DataFrame, name="name", artist="artist") -> DataFrame:
 @dataclass
 class CatalogIndex:
     """Everything the resolver derives from the catalogue alone: normalised
-    rows, first row per id, postings and key frequencies.  Build it once per
-    catalogue version (``build_catalog_index``) and reuse it for every run,
-    so a sync over a small list never re-reads the whole catalogue."""
+    rows, first row per id, scoring classes with their postings and key
+    frequencies.  Build it once per catalogue version (``build_catalog_index``)
+    and reuse it for every run, so a sync over a small list never re-reads the
+    whole catalogue."""
     index: DataFrame
     first: DataFrame
-    postings: DataFrame
-    freq: DataFrame
-    has_pairs: bool
-
-    def built(self):
-        return self.postings, self.freq, self.has_pairs
+    classes: CatalogClasses
 
 
 def build_catalog_index(catalog: DataFrame, cfg: MatchConfig | None = None,
@@ -80,19 +78,19 @@ def build_catalog_index(catalog: DataFrame, cfg: MatchConfig | None = None,
     cfg = cfg or MatchConfig()
     index = cut_lineage(prepare_catalog(catalog), "catalog-index")
     first = cut_lineage(first_by_isrc(index), "catalog-first")
-    post, freq, pairs = build_postings(index, cfg)
-    ci = CatalogIndex(index, first, post, freq, pairs)
+    ci = CatalogIndex(index, first, build_classes(index, _fields(index), cfg))
     if base is not None:
         spark = catalog.sparkSession
-        for name in ("index", "first", "postings", "freq"):
-            getattr(ci, name).write.mode("errorifexists").parquet(f"{base}/{name}")
-        ci = load_catalog_index(spark, base, pairs)
+        parts = {"index": index, "first": first} | {n: getattr(ci.classes, n) for n in CatalogClasses.PARTS}
+        for name, part in parts.items():
+            part.write.mode("errorifexists").parquet(f"{base}/{name}")
+        ci = load_catalog_index(spark, base, ci.classes.has_pairs)
     return ci
 
 
 def load_catalog_index(spark, base: str, has_pairs: bool = True) -> CatalogIndex:
-    parts = {n: spark.read.parquet(f"{base}/{n}") for n in ("index", "first", "postings", "freq")}
-    return CatalogIndex(parts["index"], parts["first"], parts["postings"], parts["freq"], has_pairs)
+    parts = {n: spark.read.parquet(f"{base}/{n}") for n in ("index", "first", *CatalogClasses.PARTS)}
+    return CatalogIndex(parts["index"], parts["first"], CatalogClasses(*(parts[n] for n in CatalogClasses.PARTS), has_pairs))
 
 
 def _fields(index: DataFrame) -> list[str]:
@@ -156,25 +154,24 @@ def build_postings(index: DataFrame, cfg: MatchConfig):
     return postings(index, "k_all", _fields(index) + ["c_name", "c_artist"], cfg)
 
 
+def _asked(prepared: DataFrame, with_artist: bool) -> tuple[DataFrame, list[str], Column]:
+    """(rows that can be searched for, columns of their query, its keys)."""
+    if with_artist:
+        src = prepared.where((F.col("s_title") != "") | (F.col("s_first_artist") != ""))
+        return src, ["s_title", "s_first_artist"], F.array_distinct(
+            F.concat(field_keys("t:", tokens("s_title")), field_keys("a:", tokens("s_first_artist"))))
+    return prepared.where(F.col("s_title") != ""), ["s_title"], field_keys("t:", tokens("s_title"))
+
+
 def search_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
                       with_artist: bool, built=None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Top-k candidates per distinct query of the prepared rows.
 
     Returns (candidates, eligible source rows, query columns)."""
-    fields = _fields(index)
-    qcols = ["s_title", "s_first_artist"] if with_artist else ["s_title"]
-    item_cols = fields + ["c_name", "c_artist"]
-    if with_artist:
-        src = prepared.where((F.col("s_title") != "") | (F.col("s_first_artist") != ""))
-        qkeys = F.array_distinct(F.concat(field_keys("t:", tokens("s_title")),
-                                          field_keys("a:", tokens("s_first_artist"))))
-        ckeys = "k_all"
-    else:
-        src = prepared.where(F.col("s_title") != "")
-        qkeys = field_keys("t:", tokens("s_title"))
-        ckeys = "k_all"
+    item_cols = _fields(index) + ["c_name", "c_artist"]
+    src, qcols, qkeys = _asked(prepared, with_artist)
     queries = src.select(*qcols).distinct().withColumn("q_keys", qkeys)
-    cands = candidates(queries, qcols, "q_keys", index, ckeys, item_cols, cfg, cfg.max_candidates,
+    cands = candidates(queries, qcols, "q_keys", index, "k_all", item_cols, cfg, cfg.max_candidates,
                        built=built or build_postings(index, cfg))
     return cands, src, qcols
 
@@ -196,26 +193,20 @@ def score_candidates(prepared: DataFrame, index: DataFrame, cfg: MatchConfig,
     return rows.withColumn("eff", eff)
 
 
-def _best(scored: DataFrame, fields: list[str], score_col: str, threshold: float, method: str) -> DataFrame:
-    """Arg-max per probe: highest score, earliest rank on ties; keep >= threshold."""
-    best = (scored.groupBy(*_SRC)
-                  .agg(F.max_by(F.struct(*fields, F.col(score_col).alias("confidence")),
-                                F.struct(F.col(score_col), -F.col("rank"))).alias("b")))
-    return (best.select(*_SRC, "b.*")
-                .where((F.col("confidence") >= F.lit(threshold)) & (F.col("uri") != ""))
-                .withColumn("method", F.lit(method)))
-
-
 def match_fuzzy(prepared: DataFrame, index: DataFrame, cfg: MatchConfig, with_artist: bool,
-                built=None) -> DataFrame:
-    """Pass 2 (``with_artist``) or pass 3 on the given rows: one row per matched _id."""
-    fields = _fields(index)
+                classes: CatalogClasses | None = None, work: dict | None = None) -> DataFrame:
+    """Pass 2 (``with_artist``) or pass 3 on the given rows: one row per matched _id.
+
+    The arg-max of a probe is its highest score, the earliest rank on ties; it
+    counts if it reaches the pass's threshold."""
     thr = cfg.pass2_threshold if with_artist else cfg.pass3_threshold
-    scored = score_candidates(prepared, index, cfg, with_artist, prune_threshold=thr, built=built)
-    best = _best(scored, fields, "eff" if with_artist else "score", thr,
-                 METHOD_TITLE_ARTIST if with_artist else METHOD_RELAXED)
-    best = cut_lineage(best, "pass-best")
-    return prepared.join(best, _SRC).select("_id", *fields, "method", "confidence")
+    src, qcols, qkeys = _asked(prepared, with_artist)
+    best = bounded_best(src, qcols, qkeys, classes or build_classes(index, _fields(index), cfg), cfg, thr,
+                        cfg.pass2_bonus if with_artist else 0.0, _SRC, work)
+    best = cut_lineage(best.select(*_SRC, "row.*", F.col("score").alias("confidence"))
+                       .where((F.col("confidence") >= F.lit(thr)) & (F.col("uri") != "")), "pass-best")
+    method = F.lit(METHOD_TITLE_ARTIST if with_artist else METHOD_RELAXED).alias("method")
+    return prepared.join(best, _SRC).select("_id", *_fields(index), method, "confidence")
 
 
 def _unmatched(rows: DataFrame, fields: list[str], index: DataFrame) -> DataFrame:
@@ -246,16 +237,16 @@ def match_waterfall(src: DataFrame, catalog: DataFrame | CatalogIndex, cfg: Matc
     fields = _fields(index)
     results = []
     rest = prepared
-    built = ci.built() if ci else None
+    classes = ci.classes if ci else None
     for p in passes:
-        if p != "isrc" and built is None:
-            built = build_postings(index, cfg)
+        if p != "isrc" and classes is None:
+            classes = build_classes(index, fields, cfg)
         if p == "isrc":
             hit = cut_lineage(match_isrc(rest, index, cfg, ci.first if ci else None), "pass-isrc")
         elif p == "title_artist":
-            hit = match_fuzzy(rest, index, cfg, with_artist=True, built=built)
+            hit = match_fuzzy(rest, index, cfg, with_artist=True, classes=classes)
         elif p == "relaxed":
-            hit = match_fuzzy(rest, index, cfg, with_artist=False, built=built)
+            hit = match_fuzzy(rest, index, cfg, with_artist=False, classes=classes)
         else:
             raise ValueError(p)
         results.append(hit)

@@ -95,6 +95,14 @@ def _():
   AS close FROM v_source s JOIN v_catalog c ON c.catalog_id = 'c' || CAST(s.position AS STRING)""")
 
 
+@oracle("q_duration_band")
+def _():
+    return with_views(["v_source", "v_catalog"], """SELECT position, count(*) AS n_close, arg_min(uri, (gap, uri)) AS closest FROM
+      (SELECT s.position, c.uri, abs(s.duration - c.duration_ms / 1000.0) AS gap FROM v_source s
+       JOIN v_catalog c ON c.album_type = s.album AND s.duration > 0
+         AND abs(s.duration - c.duration_ms / 1000.0) <= 5.0) GROUP BY position""")
+
+
 DURATION_PAYLOAD = """SELECT position,
   CASE position % 4 WHEN 0 THEN CAST(CAST(floor(CAST(duration AS BIGINT) / 60) AS BIGINT) AS STRING) || ':'
       || lpad(CAST(CAST(duration AS BIGINT) % 60 AS STRING), 2, '0')

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.config import SEARCH_LIMIT, MatchConfig
+from concordia.config import DURATION_TOLERANCE_SEC, SEARCH_LIMIT, MatchConfig
 from concordia.functions import text as X
 from concordia.operators.diff import diff_counts, diff_snapshots
 from concordia.operators.keys import dedupe_last_wins
 from concordia.operators.match import (match_single_pass, match_waterfall, prepare_catalog, prepare_source,
                                        score_candidates, search_candidates)
+from concordia.operators.ranges import band_join
 from concordia.sources import fixtures as fx
 from concordia.sources.tables import read_table
 
@@ -98,6 +99,19 @@ def q_duration_close(spark, d):
     return j.select("position", X.duration_close("duration", "duration_ms").alias("close"))
 
 
+@query("q_duration_band")
+def q_duration_band(spark, d):
+    """Strict duration filter: catalogue rows of the same artist within the
+    tolerance, by a bucketed range join; how many and the closest per item."""
+    s = fx.source(spark, d).where("duration > 0").select("position", F.col("album").alias("kind"), "duration")
+    c = fx.catalog(spark, d).groupBy(F.col("album_type").alias("kind"), (F.col("duration_ms") / 1000.0).alias("seconds")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("uri").alias("uri"))  # rows of one duration are alike: one per duration is joined
+    j = band_join(s.select("kind", "duration").distinct(), c, ["kind"], "duration", "seconds", DURATION_TOLERANCE_SEC)
+    found = j.groupBy("kind", "duration").agg(F.sum("n").alias("n_close"),
+                                              F.min_by("uri", F.struct(F.abs(F.col("duration") - F.col("seconds")), "uri")).alias("closest"))
+    return s.join(found, ["kind", "duration"]).select("position", "n_close", "closest")
+
+
 def duration_payload(src: DataFrame) -> DataFrame:
     """Source rows as playlist-style duration fields (text and numeric)."""
     dsec = F.col("duration").cast("long")

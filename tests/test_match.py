@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.config import MatchConfig
-from concordia.operators.match import (build_postings, match_waterfall, prepare_catalog, prepare_source, search_candidates)
+from concordia.operators import classes
+from concordia.operators.match import (build_postings, match_fuzzy, match_waterfall, prepare_catalog, prepare_source,
+                                       score_candidates, search_candidates)
+from concordia.operators.ranges import band_join
 from concordia.sources import fixtures as fx
 
 SF001 = "/root/testdata/sf0.001"
@@ -144,3 +147,50 @@ def test_best_of_many_containing_rows_may_be_the_least_popular(spark):
         "catalog_id string, uri string, isrc string, duration_ms int, popularity int, name string, artist string")
     source = spark.createDataFrame([(1, "Blue Moon", "someone", 200.0)], "position long, title string, artist string, duration double")
     assert [r.uri for r in match_waterfall(source, catalog).collect()] == ["u49"]
+
+
+def _best_of_all(prepared, index, with_artist):
+    """The arg-max over every scored candidate row, as plain Python."""
+    score, threshold = ("eff", 0.5) if with_artist else ("score", 0.4)
+    best = {}
+    for r in score_candidates(prepared, index, MatchConfig(), with_artist).collect():
+        probe = (r.s_title, r.s_first_artist, r.s_artist, r.s_duration)
+        best[probe] = max(best.get(probe, (-1.0, 0, "")), (r[score], -r["rank"], r.uri))
+    return {p: (u, s) for p, (s, _, u) in best.items() if s >= threshold and u}
+
+
+def _argmax(prepared, index, with_artist, cfg, work=None):
+    hits = match_fuzzy(prepared, index, cfg, with_artist, work=work).join(prepared, "_id").collect()
+    return {(r.s_title, r.s_first_artist, r.s_artist, r.s_duration): (r.uri, r.confidence) for r in hits}
+
+
+@pytest.mark.parametrize("with_artist", [True, False])
+def test_bounded_rounds_find_the_same_best(spark, monkeypatch, with_artist):
+    monkeypatch.setattr(classes, "VISITED", (1, 2, None))
+    prepared = prepare_source(fx.source(spark, SF001), "position")
+    index = prepare_catalog(fx.catalog(spark, SF001))
+    work = {}
+    got = _argmax(prepared, index, with_artist, MatchConfig(pairs_at_once=0, hot_block_rows=5, rows_per_task=3), work)
+    assert got == _best_of_all(prepared, index, with_artist) and work["scored"] <= work["pairs"]
+
+
+def test_rows_of_one_name_cost_one_pair(spark):
+    """2,000 rows of one name and artist in many durations: a pair a probe, the
+    result that of all rows."""
+    rows = [(f"c{i}", f"u{i:04}", "", 1000 * (i % 400), i % 7, "Blue Moon", "Someone") for i in range(2000)]
+    catalog = spark.createDataFrame(rows, "catalog_id string, uri string, isrc string, duration_ms int, popularity int, name string, artist string")
+    source = spark.createDataFrame([(i, "blue moon", "someone", d) for i, d in enumerate([0.0, 3.0, 5.5, 200.0, 404.0, 404.5, 9000.0])],
+                                   "position long, title string, artist string, duration double")
+    prepared, index, work = prepare_source(source, "position"), prepare_catalog(catalog), {}
+    got = _argmax(prepared, index, False, MatchConfig(), work)
+    assert got == _best_of_all(prepared, index, False) and len(got) == 7 and work["pairs"] == 7
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.1, 5.0, 7.3])
+def test_band_join_equals_all_pairs(spark, tolerance):
+    a = [(i % 3, i, round(i * 0.7, 1)) for i in range(60)] + [(0, 99, None), (1, 98, -3.0)]
+    b = [(i % 3, i, round(i * 0.5 - 4, 1)) for i in range(90)] + [(0, 99, None)]
+    left = spark.createDataFrame(a, "g int, i int, x double")
+    right = spark.createDataFrame(b, "g int, j int, y double")
+    got = sorted((r.i, r.j) for r in band_join(left, right, ["g"], "x", "y", tolerance).collect())
+    assert got == sorted((i, j) for g, i, x in a for h, j, y in b if g == h and None not in (x, y) and abs(x - y) <= tolerance)

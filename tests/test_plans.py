@@ -14,15 +14,16 @@ def captured(monkeypatch):
     plans = []
     orig = S.cut_lineage
 
-    def spy(df, name="stage"):
+    def spy(df, name="stage", path=None):
         plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
-        return orig(df, name)
+        return orig(df, name, path)
 
     import concordia.operators.candidates as CC
+    import concordia.operators.classes as CL
     import concordia.operators.keys as KK
     import concordia.operators.match as M
     import concordia.plans.sync as PS
-    for mod in (S, M, CC, KK, PS):
+    for mod in (S, M, CC, CL, KK, PS):
         monkeypatch.setattr(mod, "cut_lineage", spy)
     return plans
 
