@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.config import TARGET_BATCH
 from concordia.operators.keys import dedupe_last_wins, global_row_number
+from concordia.schema import MATCH_RESULT
 
 ALREADY, NEEDS = "already_matched", "needs_matching"
 RESTORED, KNOWN_UNMATCHED, SEARCH, PENDING = "restored", "known_unmatched", "search", "pending"
@@ -17,7 +18,8 @@ def split_existing(current: DataFrame, existing: DataFrame, key: str = "fingerpr
     """Label every current row: ``already_matched`` when the enriched table
     (last row per key) holds a resolved uri for its key, else ``needs_matching``.
 
-    Adds ``state`` and ``existing_uri``; current rows are kept as they are.
+    Adds ``state`` and ``existing_uri``; current rows are kept as they are (also
+    their ``last_synced``, which is newer than the enriched table's if it is set).
     """
     ex = (dedupe_last_wins(existing.where(F.col(key).isNotNull()), key, order)
           .select(key, F.col(uri).alias("existing_uri")))
@@ -27,22 +29,44 @@ def split_existing(current: DataFrame, existing: DataFrame, key: str = "fingerpr
                     F.when(has, F.col("existing_uri")).otherwise(F.lit("")).alias("existing_uri"))
 
 
+#: What a positive cache entry restores, and what stands in where it is absent.
+RESTORED_FIELDS = {"url": "", "method": "cached", "confidence": 0.0, "isrc": "", "explicit": False,
+                   "album_release_date": "", "duration_ms": 0, "popularity": 0, "album_type": "", "track_number": 0}
+_ENTRY_TYPES = {f.name: f.dataType for f in MATCH_RESULT.fields}
+
+
+def cache_entry(cache: DataFrame) -> Column:
+    """A cache row as a typed struct of all its fields, absent ones by default."""
+    def one(c, default):
+        have = F.col(c).cast(_ENTRY_TYPES[c]) if c in cache.columns else F.lit(None).cast(_ENTRY_TYPES[c])
+        return F.coalesce(have, F.lit(default).cast(_ENTRY_TYPES[c])).alias(c)
+    return F.struct(F.coalesce(F.col("uri"), F.lit("")).alias("uri"), *(one(c, d) for c, d in RESTORED_FIELDS.items()))
+
+
 def dedupe_cache(cache: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """One cache entry per key; a positive entry beats a negative one."""
+    """One cache entry per key, whole; a positive entry beats a negative one."""
     return (cache.groupBy(key)
-                 .agg(F.max(F.struct(F.col("matched"), F.coalesce(F.col("uri"), F.lit("")).alias("uri")))
-                      .alias("e"))
-                 .select(key, F.col("e.matched").alias("cache_matched"), F.col("e.uri").alias("cache_uri")))
+                 .agg(F.max(F.struct(F.col("matched"), cache_entry(cache).alias("entry"))).alias("e"))
+                 .select(key, F.col("e.matched").alias("cache_matched"), F.col("e.entry").alias("cache_entry")))
+
+
+def no_entry() -> Column:
+    """The entry of rows that are not restored."""
+    fields = ["uri", *RESTORED_FIELDS]
+    return F.lit(None).cast("struct<" + ",".join(f"{c}:{_ENTRY_TYPES[c].simpleString()}" for c in fields) + ">")
 
 
 def cache_split(needs: DataFrame, cache: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Three-way split of rows still to resolve: ``restored`` (positive cache
-    entry), ``known_unmatched`` (negative entry) or ``search`` (no entry)."""
+    entry, which comes along as ``cache_entry``), ``known_unmatched`` (negative
+    entry) or ``search`` (no entry)."""
     j = needs.join(dedupe_cache(cache, key), key, "left")
     state = (F.when(F.col("cache_matched").isNull(), SEARCH)
              .when(F.col("cache_matched"), RESTORED).otherwise(KNOWN_UNMATCHED))
-    return j.withColumn("state", state).withColumn(
-        "cache_uri", F.when(F.col("state") == RESTORED, F.col("cache_uri")).otherwise(F.lit("")))
+    restored = F.col("state") == RESTORED
+    return j.withColumn("state", state).withColumns(
+        {"cache_uri": F.when(restored, F.col("cache_entry.uri")).otherwise(F.lit("")),
+         "cache_entry": F.when(restored, F.col("cache_entry"))})
 
 
 def limit_pending(to_search: DataFrame, n: int | None, order: str = "position") -> DataFrame:

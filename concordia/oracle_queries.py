@@ -205,10 +205,18 @@ _EX = ("ex", _dedupe("v_existing"))
 _SPLIT = ("sp", """SELECT c.*, CASE WHEN coalesce(e.uri, '') <> '' THEN 'already_matched' ELSE 'needs_matching' END
   AS state, CASE WHEN coalesce(e.uri, '') <> '' THEN e.uri ELSE '' END AS existing_uri
   FROM v_cur c LEFT JOIN ex e ON c.fingerprint = e.fingerprint""")
-_CACHE = ("kc", "SELECT fingerprint, bool_or(matched) AS m, max(coalesce(uri, '')) AS u FROM v_cache GROUP BY fingerprint")
+_ENTRY = """coalesce(uri, '') AS u, coalesce(url, '') AS url, coalesce(method, 'cached') AS method,
+  coalesce(confidence, 0.0::DOUBLE) AS confidence, coalesce(isrc, '') AS k_isrc, coalesce(explicit, false) AS explicit,
+  coalesce(album_release_date, '') AS release_date, coalesce(duration_ms, 0) AS duration_ms, coalesce(popularity, 0) AS popularity,
+  coalesce(album_type, '') AS album_type, coalesce(track_number, 0) AS track_number"""
+_E_COLS = "url, method, confidence, k_isrc, explicit, release_date, duration_ms, popularity, album_type, track_number"
+_CACHE = ("kc", f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY m DESC, u DESC, "
+                f"{', '.join(c.strip() + ' DESC' for c in _E_COLS.split(','))}) AS rn "
+                f"FROM (SELECT fingerprint, matched AS m, {_ENTRY} FROM v_cache)) WHERE rn = 1")
 _CSPLIT = ("cs", """SELECT s.* EXCLUDE (state), CASE WHEN k.fingerprint IS NULL THEN 'search' WHEN k.m THEN 'restored'
   ELSE 'known_unmatched' END AS state,
-  CASE WHEN k.fingerprint IS NOT NULL AND k.m THEN k.u ELSE '' END AS cache_uri
+  CASE WHEN k.fingerprint IS NOT NULL AND k.m THEN k.u ELSE '' END AS cache_uri, k.url, k.method, k.confidence,
+  k.k_isrc, k.explicit, k.release_date, k.duration_ms, k.popularity, k.album_type, k.track_number
   FROM sp s LEFT JOIN kc k ON s.fingerprint = k.fingerprint WHERE s.state = 'needs_matching'""")
 _PLAN_VIEWS = ["v_cur", "v_prev", "v_existing", "v_cache", "v_target", "v_catalog"]
 
@@ -288,20 +296,43 @@ def _():
     return with_views(_PLAN_VIEWS + ["v_source"], _SUMMARY, _plan_ctes(limit=250))
 
 
-@oracle("q_sync_enriched")
-def _():
-    body = """SELECT s.position, s.fingerprint, e.uri, e.match_method, '' AS last_synced
+_TS = "'2026-01-01T00:00:00'"
+
+
+def _enriched_body() -> str:
+    """The enriched table of a sync run: resolved before, from the cache, newly resolved, unresolved."""
+    none = ("'' AS uri, '' AS catalog_url, '' AS match_method, 0.0::DOUBLE AS match_confidence, {i} AS isrc, false AS explicit, "
+            "'' AS release_date, 0 AS duration_ms, 0 AS popularity, '' AS album_type, 0 AS track_number, '' AS first_synced, '' AS last_synced")
+    return f"""SELECT s.position, s.fingerprint, e.uri, '' AS catalog_url, e.match_method, 0.0::DOUBLE AS match_confidence,
+        '' AS isrc, false AS explicit, '' AS release_date, 0 AS duration_ms, e.popularity, '' AS album_type, 0 AS track_number,
+        '' AS first_synced, '' AS last_synced
         FROM sp s JOIN ex e ON s.fingerprint = e.fingerprint WHERE s.state = 'already_matched'
-      UNION ALL SELECT position, fingerprint, cache_uri, 'cached', '2026-01-01T00:00:00' FROM cs
-        WHERE state = 'restored'
-      UNION ALL SELECT c.position, c.fingerprint, w.uri, w.method, '2026-01-01T00:00:00' FROM srch c
-        JOIN wf w ON c.position = w._id WHERE w.method <> ''
-      UNION ALL SELECT position, fingerprint, '', '', '' FROM cs WHERE state = 'known_unmatched'
-      UNION ALL SELECT c.position, c.fingerprint, '', '', '' FROM srch c JOIN wf w ON c.position = w._id
+      UNION ALL SELECT position, fingerprint, cache_uri, url, method, confidence, CASE WHEN isrc = '' THEN k_isrc ELSE isrc END,
+        explicit, release_date, duration_ms, popularity, album_type, track_number, {_TS}, {_TS} FROM cs WHERE state = 'restored'
+      UNION ALL SELECT c.position, c.fingerprint, w.uri, '', w.method, w.confidence, CASE WHEN c.isrc = '' THEN w.isrc ELSE c.isrc END,
+        w.explicit, w.release_date, w.duration_ms, w.popularity, w.album_type, w.track_number, {_TS}, {_TS}
+        FROM srch c JOIN wf w ON c.position = w._id WHERE w.method <> ''
+      UNION ALL SELECT position, fingerprint, {none.format(i='isrc')} FROM cs WHERE state = 'known_unmatched'
+      UNION ALL SELECT c.position, c.fingerprint, {none.format(i='c.isrc')} FROM srch c JOIN wf w ON c.position = w._id
         WHERE w.method = ''"""
+
+
+@oracle("q_sync_enriched")
+def _():
+    return with_views(_PLAN_VIEWS + ["v_source"], _enriched_body(), _plan_ctes())
+
+
+@oracle("q_target_applied")
+def _():
+    body = "SELECT uri FROM v_target WHERE uri NOT IN (SELECT uri FROM tr) UNION ALL SELECT uri FROM ta"
     return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes())
 
 
+@oracle("q_match_resumed")
+def _():
+    return ORACLE["q_match_waterfall"]()
+
+
 # ---------------------------------------------------------------- enrichment
 _ENRICHED = ("en", """SELECT e.position, e.fingerprint, e.title, e.artist, e.uri, e.match_method, e.popularity,
   k.platform, k.track_id, k.album, k.isrc, k.duration, CAST(0 AS INT) AS duration_ms, '' AS artist_genres,
@@ -508,14 +539,15 @@ def _():
 
 @oracle("q_cache_roundtrip")
 def _():
-    return with_views(["v_cache"], "SELECT fingerprint, bool_or(matched) AS matched, max(uri) AS uri "
-                                   "FROM v_cache GROUP BY fingerprint")
+    return with_views(["v_cache"], "SELECT fingerprint, matched, uri, url, method, confidence, isrc, explicit, "
+                                   "album_release_date, duration_ms, popularity, album_type, track_number FROM v_cache")
 
 
 # ---------------------------------------------------------------- streaming (batch SQL equivalents)
 @oracle("q_stream_incremental")
 def _():
-    return ORACLE["q_dedupe_last_wins"]()
+    return with_views(["v_cur"], """SELECT fingerprint, position, title FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint
+      ORDER BY CASE WHEN position >= 1099511627776 THEN 0 ELSE 2 - position % 2 END DESC, position DESC) AS rn FROM v_cur) WHERE rn = 1""")
 
 
 @oracle("q_stream_split")
@@ -577,7 +609,7 @@ def _():
 @oracle("q_target_pages")
 def _():
     return with_views(["v_catalog"], """SELECT uri, catalog_id, artist AS artist_id FROM v_catalog
-      WHERE popularity % 3 = 0 AND CAST(substr(catalog_id, 2) AS BIGINT) % 7 <> 0""")
+      WHERE CAST(substr(catalog_id, 2) AS BIGINT) % 7 <> 0""")
 
 
 

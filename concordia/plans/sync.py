@@ -18,10 +18,16 @@ from concordia.config import MatchConfig
 from concordia.operators import changes as C
 from concordia.operators import enrich as N
 from concordia.operators.keys import dedupe_last_wins
+from concordia.functions.text import blank
 from concordia.operators.diff import REMOVED, diff_counts, diff_snapshots
 from concordia.operators.match import match_waterfall
 from concordia.operators.report import sync_summary
+from concordia.plans.resume import resolve_in_slices, resolved
 from concordia.session import cut_lineage
+from concordia.sources import cache as K
+from concordia.sources import csvio
+from concordia.sources import snapshot as S
+from concordia.sources.published import Commit, Published
 
 
 @dataclass
@@ -37,6 +43,8 @@ class SyncInputs:
     listen: DataFrame | None = None         # artist, title, playcount, listeners, tags
     artist_id_col: str = "artist_id"
     catalog_index: object | None = None     # prebuilt CatalogIndex reused across runs (optional)
+    progress: str | None = None             # folder of committed slices: a stopped run goes on where it was
+    run_id: str = "run"                     # names the run there
 
 
 class SyncPlan:
@@ -77,12 +85,13 @@ def plan_states(inp: SyncInputs, limit: int | None = None) -> DataFrame:
         split = C.split_existing(cur, inp.existing)
     else:
         split = cur.withColumn("state", F.lit(C.NEEDS)).withColumn("existing_uri", F.lit(""))
-    done = split.where(F.col("state") == C.ALREADY).withColumn("cache_uri", F.lit(""))
+    none = {"cache_uri": F.lit(""), "cache_entry": C.no_entry()}
+    done = split.where(F.col("state") == C.ALREADY).withColumns(none)
     needs = split.where(F.col("state") == C.NEEDS).drop("state")
     if inp.cache is not None:
         cs = C.cache_split(needs, inp.cache).drop("cache_matched")
     else:
-        cs = needs.withColumn("state", F.lit(C.SEARCH)).withColumn("cache_uri", F.lit(""))
+        cs = needs.withColumn("state", F.lit(C.SEARCH)).withColumns(none)
     search = cs.where(F.col("state") == C.SEARCH).drop("state")
     rest = cs.where(F.col("state") != C.SEARCH)
     limited = C.limit_pending(search, limit)
@@ -111,6 +120,9 @@ def plan_sync(inp: SyncInputs, cfg: MatchConfig | None = None, limit: int | None
     def _matches():
         to_search = plan["_states"].where(F.col("state") == C.SEARCH)
         cat = inp.catalog_index if inp.catalog_index is not None else inp.catalog
+        if inp.progress:
+            resolve_in_slices(to_search, cat, inp.progress, inp.run_id, cfg=cfg)
+            return resolved(to_search.sparkSession, inp.progress, inp.run_id).drop("fingerprint")
         return cut_lineage(match_waterfall(to_search, cat, cfg, id_col="position"), "sync-matches")
 
     @plan.output("states")
@@ -169,11 +181,13 @@ def enriched_union(inp: SyncInputs, states: DataFrame, matches: DataFrame, run_t
     parts = []
     if inp.existing is not None:
         ex = N.with_track_defaults(dedupe_last_wins(inp.existing, "fingerprint", "position")).drop("position")
-        already = states.where(F.col("state") == C.ALREADY).select("position", "fingerprint")
-        parts.append(already.join(ex, "fingerprint").select(*keep, *track_cols))
+        synced = blank("last_synced") if "last_synced" in states.columns else F.lit("")
+        already = states.where(F.col("state") == C.ALREADY).select("position", "fingerprint", synced.alias("_synced"))
+        parts.append(already.join(ex, "fingerprint")
+                     .withColumn("last_synced", F.when(F.col("_synced") != "", F.col("_synced")).otherwise(F.col("last_synced")))
+                     .select(*keep, *track_cols))
     restored = cur.where(F.col("state") == C.RESTORED)
-    cached = restored.select("position", F.col("cache_uri").alias("uri"), F.lit("cached").alias("method"),
-                             F.lit(0.0).alias("confidence"))
+    cached = restored.select("position", "cache_entry.*").withColumnRenamed("album_release_date", "release_date")
     parts.append(N.apply_match(restored, cached, "position", run_ts).select(*keep, *track_cols))
     newly = cur.where(F.col("state") == "newly_matched")
     parts.append(N.apply_match(newly, matches, "position", run_ts).select(*keep, *track_cols))
@@ -184,62 +198,75 @@ def enriched_union(inp: SyncInputs, states: DataFrame, matches: DataFrame, run_t
     return out
 
 
-def apply(plan: SyncPlan, base_path: str, names: list[str] | None = None) -> dict[str, str]:
-    """Write the selected outputs as Parquet under ``base_path`` (new dirs)."""
-    written = {}
-    for k in names or plan.names:
-        p = f"{base_path.rstrip('/')}/{k}"
-        plan[k].write.mode("errorifexists").parquet(p)
-        written[k] = p
-    return written
+def nothing_to_do(inp: SyncInputs, limit: int | None = None) -> bool:
+    """The gate of a sync run, asked before anything is planned: no current row is
+    unresolved, none was removed, and no resolved row lacks what could be looked up.
+    Each question ends at the first row that answers it."""
+    if inp.existing is None or inp.previous is None:
+        return False
+    split = C.split_existing(inp.current, inp.existing)
+    if split.where(F.col("state") == C.NEEDS).take(1):
+        return False
+    if inp.previous.join(inp.current.select("fingerprint"), "fingerprint", "left_anti").take(1):
+        return False
+    rows = N.with_track_defaults(inp.existing).join(inp.current.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    return not N.any_needs_enrichment(rows)
 
 
-@dataclass
-class SyncPaths:
-    """Where a sync run writes (all under shared storage; new dirs per run)."""
-    enriched_csv: str | None = None      # 40-column export
-    unmatched_csv: str | None = None     # 6-column export
-    snapshot_base: str | None = None     # partitioned by snapshot_ts
-    match_results: str | None = None     # resume table, partitioned by run_id
-
-
-def apply_outputs(plan: SyncPlan, inp: SyncInputs, paths: SyncPaths, run_id: str, snapshot_ts: str,
-                  dry_run: bool = False) -> dict[str, str]:
-    """Write a sync run's edge outputs; a dry run writes nothing."""
-    from concordia.sources import cache as K
-    from concordia.sources import csvio
-    from concordia.sources import snapshot as S
+#: the tables of a published sync run
+ENRICHED_CSV, UNMATCHED_CSV, SNAPSHOT, RESULTS, BATCHES = "enriched_csv", "unmatched_csv", "snapshot", "match_results", "batches"
+
+
+def publish_sync(plan: SyncPlan, inp: SyncInputs, base: str, run_id: str, snapshot_ts: str,
+                 dry_run: bool = False) -> Commit | None:
+    """Write a sync run's outputs and commit them together; a dry run writes
+    nothing, and a run that stops in between leaves the state before it.
+
+    The tables: the 40-column and the 6-column export, the list state that the next
+    run compares with, the match results (the next run's cache) and the write
+    batches for the target.  Readers take them from ``Published(spark, base)``."""
     if dry_run:
-        return {}
-    done = {}
-    enriched = enrich_all(plan["enriched"], inp)
-    if paths.enriched_csv:
-        csvio.write_enriched(enriched, paths.enriched_csv)
-        done["enriched_csv"] = paths.enriched_csv
-    if paths.unmatched_csv:
-        um = plan["enriched"].where(F.col("uri") == "")
-        csvio.write_unmatched(um, paths.unmatched_csv)
-        done["unmatched_csv"] = paths.unmatched_csv
-    if paths.snapshot_base:
-        S.save_snapshot(inp.current, paths.snapshot_base, snapshot_ts)
-        done["snapshot"] = paths.snapshot_base
-    if paths.match_results:
-        m = plan["matches"].join(plan["states"].select("position", "fingerprint"), "position")
-        K.write_match_results(m.select("fingerprint", "matched", "uri", "method", "confidence", "isrc",
-                                       "explicit", F.col("release_date").alias("album_release_date"),
-                                       "duration_ms", "popularity", "album_type", "track_number"),
-                              paths.match_results, run_id)
-        done["match_results"] = paths.match_results
-    return done
+        return None
+    spark = inp.current.sparkSession
+    store = Published(spark, base)
+    if done := store.find(run_id):
+        return done
+    enriched = cut_lineage(enrich_all(cut_lineage(plan["enriched"], "sync-enriched"), inp), "sync-output")
+    found = plan["matches"].join(plan["states"].select("position", "fingerprint"), "position")
+    return store.publish(run_id, {
+        ENRICHED_CSV: lambda p: csvio.write_enriched(enriched, p),
+        UNMATCHED_CSV: lambda p: csvio.write_unmatched(enriched.where(F.col("uri") == ""), p),
+        SNAPSHOT: lambda p: S.save_snapshot(inp.current, p, snapshot_ts),
+        RESULTS: lambda p: K.write_match_results(found.withColumnRenamed("release_date", "album_release_date"), p, run_id),
+        BATCHES: plan["batches"]}, {"snapshot_ts": snapshot_ts})
+
+
+def sync_job(inp: SyncInputs, base: str, run_id: str, snapshot_ts: str, cfg: MatchConfig | None = None,
+             limit: int | None = None, dry_run: bool = False) -> str:
+    """A whole run.  Returns ``nothing new`` (the enriched export and the list
+    state are still written), ``dry run`` or ``synced``.  No resolver job is run, and
+    none is planned, where there is nothing to resolve."""
+    if nothing_to_do(inp, limit):
+        if not dry_run:
+            rows = dedupe_last_wins(inp.existing, "fingerprint", "position").join(
+                inp.current.select("fingerprint").distinct(), "fingerprint", "left_semi")
+            Published(inp.current.sparkSession, base).publish(run_id, {
+                ENRICHED_CSV: lambda p: csvio.write_enriched(N.with_track_defaults(rows), p),
+                SNAPSHOT: lambda p: S.save_snapshot(inp.current, p, snapshot_ts)}, {"snapshot_ts": snapshot_ts})
+        return "nothing new"
+    plan = plan_sync(inp, cfg, limit, run_ts=snapshot_ts)
+    publish_sync(plan, inp, base, run_id, snapshot_ts, dry_run)
+    return "dry run" if dry_run else "synced"
+
+
+def apply(plan: SyncPlan, base_path: str, names: list[str] | None = None) -> dict[str, str]:
+    """Write the selected outputs as Parquet, committed together under
+    ``base_path``; returns where they lie."""
+    names = names or plan.names
+    store = Published(plan[names[0]].sparkSession, base_path)
+    return dict(store.publish("plan", {k: plan[k] for k in names}).tables)
 
 
 def enrich_all(tracks: DataFrame, inp: SyncInputs) -> DataFrame:
-    """Metadata, genres, audio features and listen statistics, in that order."""
-    t = N.backfill_metadata(tracks, inp.catalog)
-    if inp.artists is not None:
-        t = N.backfill_genres(t, inp.catalog, inp.artists, inp.artist_id_col)
-    if inp.features is not None:
-        t = N.audio_features(t, inp.features)
-    if inp.listen is not None:
-        t = N.listen_stats(t, inp.listen)
-    return t
+    """Metadata, genres, audio features and listen statistics."""
+    return N.enrich(tracks, inp.catalog, inp.artists, inp.features, inp.listen, inp.artist_id_col)

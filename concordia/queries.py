@@ -198,9 +198,15 @@ def q_match_thresholds(spark, d):
 from concordia.operators import changes as C  # noqa: E402
 from concordia.operators import enrich as N  # noqa: E402
 from concordia.operators import report as R  # noqa: E402
+from concordia.operators.match import build_catalog_index  # noqa: E402
+from concordia.plans.resume import resolve_in_slices, resolved  # noqa: E402
 from concordia.plans.sync import plan_sync  # noqa: E402
+from concordia.plans.target import apply_changes, read_target  # noqa: E402
+from concordia.session import cut_lineage, scratch_path  # noqa: E402
 
 RUN_TS = "2026-01-01T00:00:00"
+SYNCED_COLS = ["uri", "catalog_url", "match_method", "match_confidence", "isrc", "explicit", "release_date", "duration_ms",
+               "popularity", "album_type", "track_number", "first_synced", "last_synced"]
 LIMIT_N = 250
 
 
@@ -262,15 +268,38 @@ def q_sync_limited(spark, d):
 @query("q_sync_enriched")
 def q_sync_enriched(spark, d):
     """The run's enriched table: already resolved + cache hits + new matches + unresolved."""
-    e = _plan(spark, d)["enriched"]
-    return e.select("position", "fingerprint", "uri", "match_method", "last_synced")
+    return _plan(spark, d)["enriched"].select("position", "fingerprint", *SYNCED_COLS)
+
+
+@query("q_target_applied")
+def q_target_applied(spark, d):
+    """The target after the run's write batches: two of them, then (as after a
+    stop) the whole run again, and once more, which changes nothing."""
+    inp = fx.sync_inputs(spark, d)
+    batches = cut_lineage(plan_sync(inp, run_ts=RUN_TS)["batches"], "write-batches")
+    base = scratch_path(spark, "target")
+    first = apply_changes(batches, base, "run-1", inp.target, max_batches=2)
+    rest = apply_changes(batches, base, "run-1", inp.target)
+    again = apply_changes(batches, base, "run-1", inp.target)
+    if again or first + rest != batches.select("op", "batch_no").distinct().count():
+        raise AssertionError("a batch was applied twice, or not at all")
+    return read_target(spark, base)
+
+
+@query("q_match_resumed")
+def q_match_resumed(spark, d):
+    """The waterfall in three committed slices, stopped after the first and resumed."""
+    base, rows = scratch_path(spark, "progress"), fx.keyed(spark, d)
+    index = build_catalog_index(fx.catalog(spark, d), MatchConfig())
+    if resolve_in_slices(rows, index, base, "run-1", 3, stop_after=1) or not resolve_in_slices(rows, index, base, "run-1", 3):
+        raise AssertionError("the run did not stop, or did not go on")
+    return resolved(spark, base, "run-1").select("position", *_OUT, "matched")
 
 
 @query("q_retry_upsert")
 def q_retry_upsert(spark, d):
     """Unmatched export (6 columns) -> resolve again -> upsert into enriched."""
     from concordia.plans.jobs import retry_unmatched
-    from concordia.session import scratch_path
     from concordia.sources import csvio
     ex = fx.enriched(spark, d)
     path = scratch_path(spark, "unmatched-csv")
@@ -350,7 +379,6 @@ def q_listen_coverage(spark, d):
 
 
 # ---------------------------------------------------------------- step 7: I/O
-from concordia.session import scratch_path  # noqa: E402
 from concordia.sources import cache as K  # noqa: E402
 from concordia.sources import csvio  # noqa: E402
 from concordia.sources import payloads as P  # noqa: E402
@@ -438,7 +466,9 @@ def q_cache_roundtrip(spark, d):
     c = fx.cache(spark, d)
     K.write_match_results(c.where("matched"), base, "run-1")
     K.write_match_results(c.where(~F.col("matched")), base, "run-2")
-    return K.read_match_cache(spark, base).select("fingerprint", "matched", F.coalesce("uri", F.lit("")).alias("uri"))
+    return K.read_match_cache(spark, base).select("fingerprint", "matched", F.coalesce("uri", F.lit("")).alias("uri"), "url", "method",
+                                                  "confidence", "isrc", "explicit", "album_release_date", "duration_ms",
+                                                  "popularity", "album_type", "track_number")
 
 
 # ---------------------------------------------------------------- step 9: streaming
@@ -446,32 +476,36 @@ from concordia.streaming import incremental as T9  # noqa: E402
 
 
 def _stream(spark, d, resolve=False):
+    """Three arrivals of the current list: first the rows that stand later in it,
+    then odd and even positions; the state is compacted after every second."""
     cur = fx.current(spark, d)
-    landing = scratch_path(spark, "landing")
-    T9.land_files(cur, landing, 2 if resolve else 4)
-    state = scratch_path(spark, "stream-state")
-    n = T9.run_incremental(spark, landing, cur.schema, state, scratch_path(spark, "stream-ckpt"),
-                           existing=fx.existing(spark, d),
-                           catalog=fx.catalog(spark, d) if resolve else None, cfg=MatchConfig())
-    return state, n
+    p = F.col("position")
+    arrival = F.when(p >= fx.LATER, F.lit(0)).otherwise(2 - p % 2)
+    landing, state, checkpoint = (scratch_path(spark, n) for n in ("landing", "stream-state", "stream-ckpt"))
+    index = build_catalog_index(fx.catalog(spark, d), MatchConfig()) if resolve else None
+    for k in range(3):
+        T9.land(cur.where(arrival == k), landing)
+        T9.run_incremental(spark, landing, cur.schema, state, checkpoint, existing=fx.existing(spark, d), catalog=index,
+                           cfg=MatchConfig(), compact_every=2)
+    return state
 
 
 @query("q_stream_incremental")
 def q_stream_incremental(spark, d):
-    state, _ = _stream(spark, d)
+    state = _stream(spark, d)
     return T9.read_state(spark, state).select("fingerprint", "position", "title")
 
 
 @query("q_stream_matches")
 def q_stream_matches(spark, d):
     """Arrivals resolved batch by batch (only rows not already resolved)."""
-    state, _ = _stream(spark, d, resolve=True)
+    state = _stream(spark, d, resolve=True)
     return T9.read_matches(spark, state).select("position", *_OUT, "matched")
 
 
 @query("q_stream_split")
 def q_stream_split(spark, d):
-    state, _ = _stream(spark, d)
+    state = _stream(spark, d)
     return T9.read_split(spark, state).select("position", "fingerprint", "state", "existing_uri")
 
 
@@ -547,7 +581,7 @@ def q_catalog_payload(spark, d):
 @query("q_target_pages")
 def q_target_pages(spark, d):
     """Target list pages (at most 100 items each, every 7th track null) -> uris."""
-    tgt = catalog_payload_rows(fx.catalog(spark, d).where(F.col("popularity") % 3 == 0))
+    tgt = catalog_payload_rows(fx.catalog(spark, d))
     n = F.col("id").substr(2, 20).cast("long")
     items = tgt.select(F.floor(n / 100).cast("long").alias("page"), (n % 100).alias("pos"),
                        F.when(n % 7 != 0, F.struct(*tgt.columns)).alias("track"))

@@ -17,6 +17,10 @@ from concordia.operators.keys import fingerprint
 from concordia.sources.tables import read_table
 
 
+#: what is added to the position of a row that comes again later in the list
+LATER = 1 << 40
+
+
 def _s(c) -> F.Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
@@ -82,35 +86,53 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     kd = keyed(spark, sf_dir)
     base = kd.where(F.col("position") % 10 != 7)
     dup = kd.where(F.col("position") % 50 == 1).select(
-        (F.col("position") + 1000000).alias("position"), "platform", "track_id",
+        (F.col("position") + LATER).alias("position"), "platform", "track_id",
         F.concat(F.col("title"), F.lit(" v2")).alias("title"),
         "artist", "album", "isrc", "duration", "fingerprint")
     return base.unionByName(dup)
 
 
 def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previously enriched rows (a resolved uri on every 4th position)."""
-    kd = keyed(spark, sf_dir).where((F.col("position") % 2 == 0) & (F.col("position") % 10 != 3))
+    """The enriched table's rows of the last run, one for every item: resolved on
+    every 4th position and on half of those that the current list has lost."""
     p = F.col("position")
-    return kd.select(
+    resolved = (p % 4 == 0) | (p % 20 == 7)
+    return keyed(spark, sf_dir).select(
         "position", "fingerprint", "title", "artist",
-        F.when(p % 4 == 0, F.concat(F.lit("cat:track:c"), _s(p))).otherwise(F.lit("")).alias("uri"),
-        F.when(p % 4 != 0, F.lit("")).when(p % 8 == 0, F.lit("isrc")).when(p % 12 == 0, F.lit(""))
+        F.when(resolved, F.concat(F.lit("cat:track:c"), _s(p))).otherwise(F.lit("")).alias("uri"),
+        F.when(~resolved, F.lit("")).when(p % 8 == 0, F.lit("isrc")).when(p % 12 == 0, F.lit(""))
          .otherwise(F.lit("title_artist")).alias("match_method"),
         F.when(p % 12 == 0, F.lit(0)).otherwise((p % 101).cast("int")).alias("popularity"),
     )
 
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kd = keyed(spark, sf_dir).where((F.col("position") % 8).isin(1, 5))
-    hit = F.col("position") % 8 == 1
-    return kd.select(
-        "fingerprint", hit.alias("matched"),
-        F.when(hit, F.concat(F.lit("cat:track:c"), _s("position"))).otherwise(F.lit("")).alias("uri"))
+    """The match cache, an entry for every item: a quarter is of this list (hits
+    and misses), the others are of items that went by another key."""
+    p = F.col("position")
+    hit = p % 8 == 1
+
+    def of_hits(value, name):
+        return F.when(hit, value).alias(name)
+    return keyed(spark, sf_dir).select(
+        F.when((p % 8).isin(1, 5), F.col("fingerprint")).otherwise(F.concat(F.lit("retired:"), F.col("fingerprint"))).alias("fingerprint"),
+        hit.alias("matched"),
+        F.when(hit, F.concat(F.lit("cat:track:c"), _s(p))).otherwise(F.lit("")).alias("uri"),
+        of_hits(F.concat(F.lit("https://open.example/track/c"), _s(p)), "url"),
+        of_hits(F.when(p % 3 != 0, F.lit("title_artist")), "method"),
+        of_hits(F.when(p % 3 != 0, 0.5 + (p % 50) / F.lit(100.0)), "confidence"),
+        of_hits(F.when(p % 5 != 0, F.concat(F.lit("IC"), F.lpad(_s(p), 8, "0"))), "isrc"),
+        of_hits(p % 7 == 0, "explicit"),
+        of_hits(F.concat(F.lit("19"), F.lpad(_s(p % 90), 2, "0")), "album_release_date"),
+        of_hits((p % 300 * 1000).cast("int"), "duration_ms"), of_hits((p % 97).cast("int"), "popularity"),
+        of_hits(F.when(p % 2 == 1, F.lit("single")), "album_type"), of_hits((p % 12).cast("int"), "track_number"))
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).where(F.col("popularity") % 3 == 0).select("uri")
+    """The target list, a uri for every catalogue row: a third are its own, the
+    others are of tracks that the catalogue does not have."""
+    own = F.col("popularity") % 3 == 0
+    return catalog(spark, sf_dir).select(F.when(own, F.col("uri")).otherwise(F.replace("uri", F.lit(":c"), F.lit(":x"))).alias("uri"))
 
 
 def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
