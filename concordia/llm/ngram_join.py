@@ -24,7 +24,8 @@ What keeps it whole and bounded under skew
   that are outside their column's main component are multiplied with the rest.
   So a large group of near copies costs pairs in proportion to its size, and no
   link between different components is left out;
-* of those the join itself keeps the pairs only whose sizes and *odd sketches* can
+* columns of the same classes count as one, and the join itself keeps the pairs
+  only whose sizes, places of the column in either order, and *odd sketches* can
   belong to linked sets.  A sketch has ``SKETCH`` bits, of which every shingle
   flips one: two sketches differ in at most as many bits as the sets have
   shingles that are not shared, and linked sets have at most (n + m) / 9 of these.
@@ -46,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm.columns import emit, table
@@ -149,7 +150,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield shared()
 
 
-_HEADS = pa.schema([("col", pa.int64()), ("sig", pa.int64())])
+_HEADS = pa.schema([("col", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def _heads(common):
@@ -157,7 +158,7 @@ def _heads(common):
         keys, rank = common.value
         seen: set[int] = set()
         for b in batches:
-            cols, sigs, sizes = [], [], []
+            cols, sigs, sizes, lengths = [], [], [], []
             for text in b.column(0).cast(pa.binary()):
                 found = shingles(text.as_py() or b"")
                 sig = signature(found) if len(found) else None
@@ -175,8 +176,10 @@ def _heads(common):
                 cols.append(found[:k])
                 sigs.append(sig)
                 sizes.append(k)
+                lengths.append(len(found))
             if cols:
-                yield emit(_HEADS, np.concatenate(cols).astype(np.int64), np.repeat(np.array(sigs, np.int64), sizes))
+                yield emit(_HEADS, np.concatenate(cols).astype(np.int64), np.repeat(np.array(sigs, np.int64), sizes),
+                           np.repeat(lengths, sizes), np.concatenate([np.arange(1, k + 1) for k in sizes]))
     return run
 
 
@@ -214,6 +217,14 @@ def _signatures(text: pa.Array) -> pa.Array:
     return pa.array([signature(shingles(t.as_py() or b"")) for t in text.cast(pa.binary())], pa.int64())
 
 
+def _may_link(n: Column, m: Column, at_n: Column, at_m: Column) -> Column:
+    """Whether sets of sizes n and m can be linked and have the first column that
+    they share at these positions (from 1) of their order: linked sets share ``least``
+    columns, so at most ``n - least`` columns of a set come before the first of them."""
+    least = F.ceil(PERCENT * (n + m) / F.lit(100.0 + PERCENT) - 1e-6)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (at_n <= n - least + 1) & (at_m <= m - least + 1)
+
+
 class NgramJoin:
     """The join over one table; its steps are written tables of ``scratch``."""
 
@@ -232,24 +243,38 @@ class NgramJoin:
         """(col, sig, lo, rows): the head columns of more than one class; lo is
         the column's smallest class."""
         heads = self.scratch.cut(self.docs.where("doc_id is not null").select("text")
-                                 .mapInArrow(_heads(self.common), "col long, sig long"), "heads")
+                                 .mapInArrow(_heads(self.common), "col long, sig long, n int, pos int"), "heads")
         more = (heads.groupBy("col").agg(F.count("*").alias("rows"), F.min("sig").alias("lo"), F.max("sig").alias("hi"))
                 .where("lo < hi").drop("hi"))
         shared = self.scratch.cut(heads.join(more, "col").distinct(), "shared")
         self.scratch.drop("heads")
         return shared
 
+    def one_column_a_set(self, large: DataFrame) -> DataFrame:
+        """Columns of the same classes (the words of one passage) as one column,
+        with the least position that each class has among them: they give the same
+        pairs.  Which are the same is told by the number of classes and 128 bits."""
+        sets = large.groupBy("col").agg(F.count("*").alias("_rows"), F.bit_xor(F.xxhash64("sig")).alias("_h"),
+                                        F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("_g"))
+        kind = ["_rows", "_h", "_g"]
+        sets = self.scratch.cut(sets, "column-sets")
+        of = sets.join(sets.groupBy(*kind).agg(F.min("col").alias("_col")), kind).select("col", "_col")
+        return (large.join(of, "col").groupBy(F.col("_col").alias("col"), "sig", "n", "lo", "root")
+                .agg(F.min("pos").alias("pos")).select("col", "sig", "n", "pos", "lo", "root"))
+
     def unlinked_pairs(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
-        """(a, b) of different components that share a column, as far as sizes and
-        sketches let them be linked; both sides are (col, sig, root)."""
+        """(a, b) of different components that share a column, as far as sizes,
+        positions and sketches let them be linked; both sides are (col, sig, n,
+        pos, root)."""
+        bits = self.classes.select("sig", *_BITS)
+
         def described(rows, side):
-            return (rows.join(self.classes.drop("doc_id"), "sig")
-                    .select(*(F.col(c).alias(f"{side}_{c}") for c in ("col", "sig", "root", "n", *_BITS))))
-        n, m = F.col("x_n"), F.col("y_n")
+            return rows.join(bits, "sig").select(*(F.col(c).alias(f"{side}_{c}") for c in ("col", "sig", "root", "n", "pos", *_BITS)))
         differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITS), F.lit(0))
+        n, m = F.col("x_n"), F.col("y_n")
         return (described(outside, "x").join(described(inside, "y"), (F.col("x_col") == F.col("y_col"))
                                              & (F.col("x_root") != F.col("y_root"))
-                                             & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+                                             & _may_link(n, m, F.col("x_pos"), F.col("y_pos"))
                                              & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)))
                 .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct())
 
@@ -299,12 +324,12 @@ class NgramJoin:
                                                                F.coalesce("busy_b", F.lit(0)))).alias("overlap")))
         first = self.verified(self.bounded(pairs), "first")
         comp = components(first, self.scratch)
-        large = self.scratch.cut(large.join(comp.toDF("sig", "root"), "sig", "left")
-                                 .select("col", "sig", "lo", F.coalesce("root", "sig").alias("root")), "large")
+        large = large.join(comp.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        large = self.scratch.cut(self.one_column_a_set(large), "large")
         self.scratch.drop("shared", "near")
         main = large.where("sig = lo").select("col", F.col("root").alias("main"))
-        outside = self.scratch.cut(large.join(main, "col").where("root <> main").select("col", "sig", "root"), "outside")
-        inside = large.join(outside.select("col").distinct(), "col", "left_semi").select("col", "sig", "root")
+        outside = self.scratch.cut(large.join(main, "col").where("root <> main").select("col", "sig", "n", "pos", "root"), "outside")
+        inside = large.join(outside.select("col").distinct(), "col", "left_semi").select("col", "sig", "n", "pos", "root")
         return first.union(self.verified(self.unlinked_pairs(outside, inside), "cross"))
 
     def result(self) -> DataFrame:
