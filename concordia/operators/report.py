@@ -51,6 +51,9 @@ def status(source: DataFrame | None, enriched: DataFrame | None, unmatched: Data
         parts.append(one(unmatched, "unmatched_tracks", F.count(F.lit(1))))
     if snapshots is not None:
         parts.append(one(snapshots, "snapshots", F.count_distinct("snapshot_ts")))
+        newest = snapshots.groupBy("snapshot_ts").count().orderBy(F.desc("snapshot_ts")).limit(1)
+        parts.append(newest.select(F.concat(F.lit("latest_snapshot:"), F.col("snapshot_ts").cast("string")).alias("metric"),
+                                   F.col("count").cast("double").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

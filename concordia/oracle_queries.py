@@ -59,6 +59,16 @@ def _():
     return with_views(["v_cur", "v_prev"], body, _DIFF)
 
 
+@oracle("q_diff_changed")
+def _():
+    body = """SELECT coalesce(c.fingerprint, p.fingerprint) AS fingerprint,
+   CASE WHEN p.fingerprint IS NULL THEN 'added' WHEN c.fingerprint IS NULL THEN 'removed'
+        WHEN (c.title, c.artist, c.album, c.duration) IS DISTINCT FROM (p.title, p.artist, p.album, p.duration) THEN 'changed'
+        ELSE 'unchanged' END AS change_type, coalesce(c.position, p.position) AS position
+   FROM dc c FULL OUTER JOIN dp p ON c.fingerprint = p.fingerprint"""
+    return with_views(["v_cur", "v_prev"], body, _DIFF)
+
+
 @oracle("q_first_run")
 def _():
     return with_views(["v_cur"], "SELECT fingerprint, 'added' AS change_type, position, title FROM v_cur")
@@ -458,8 +468,10 @@ def _():
       UNION ALL SELECT 'match_rate', 100.0::DOUBLE * CAST(count(*) FILTER (WHERE uri <> '') AS DOUBLE)
         / CAST(count(*) AS DOUBLE) FROM en
       UNION ALL SELECT 'method:' || method, CAST(n AS DOUBLE) FROM mb
-      UNION ALL SELECT 'unmatched_tracks', CAST(count(*) FILTER (WHERE uri = '') AS DOUBLE) FROM en"""
-    return with_views(_E_VIEWS + ["v_source"], body, [_ENRICHED, ("mb", _METHODS)])
+      UNION ALL SELECT 'unmatched_tracks', CAST(count(*) FILTER (WHERE uri = '') AS DOUBLE) FROM en
+      UNION ALL SELECT 'snapshots', 2.0
+      UNION ALL SELECT 'latest_snapshot:2026-01-02T00-00-00', CAST(count(*) AS DOUBLE) FROM v_cur"""
+    return with_views(_E_VIEWS + ["v_source", "v_cur"], body, [_ENRICHED, ("mb", _METHODS)])
 
 
 @oracle("q_preview")
@@ -472,39 +484,59 @@ def _():
 
 
 # ---------------------------------------------------------------- I/O round trips
-@oracle("q_csv_roundtrip")
-def _():
+def _full() -> str:
+    """The enriched table of a last run with all lookups."""
     from concordia.schema import AUDIO_FEATURES
     fdef = {"key": "-1", "mode": "-1", "time_signature": "0"}
     feats = []
     for f in AUDIO_FEATURES:
         d = fdef.get(f, "0.0::DOUBLE")
-        feats.append(f"CASE WHEN e.uri <> '' AND f.catalog_id IS NOT NULL THEN coalesce(f.{f}, {d}) "
-                     f"ELSE {d} END AS {f}")
-    full = f"""SELECT e.*, g.genre_text, l.title AS l_title, l.playcount AS l_playcount, l.listeners AS l_listeners,
-        l.tags AS l_tags, {', '.join(feats)}
-      FROM en e
+        feats.append(f"CASE WHEN e.uri <> '' AND f.catalog_id IS NOT NULL THEN coalesce(f.{f}, {d}) ELSE {d} END AS {f}")
+    return f"""SELECT e.position, e.title, e.artist, e.album, e.platform, e.track_id, e.duration, e.uri, e.match_method,
+        CASE WHEN h THEN coalesce(c.duration_ms, 0) ELSE 0 END AS duration_ms, h AND coalesce(c.explicit, false) AS explicit,
+        CASE WHEN h THEN coalesce(c.popularity, 0) ELSE e.popularity END AS popularity,
+        CASE WHEN h THEN coalesce(c.track_number, 0) ELSE 0 END AS track_number,
+        CASE WHEN h THEN coalesce(c.release_date, '') ELSE '' END AS release_date,
+        CASE WHEN h THEN coalesce(c.album_type, '') ELSE '' END AS album_type,
+        CASE WHEN h AND e.isrc = '' THEN coalesce(c.isrc, '') ELSE e.isrc END AS isrc,
+        coalesce(g.genre_text, '') AS artist_genres, e.uri <> '' AS audio_features_fetched, {', '.join(feats)},
+        CASE WHEN l.title IS NOT NULL THEN CAST(l.playcount AS BIGINT) ELSE 0 END AS playcount,
+        CASE WHEN l.title IS NOT NULL THEN CAST(l.listeners AS BIGINT) ELSE 0 END AS listeners,
+        CASE WHEN l.title IS NOT NULL THEN coalesce(array_to_string(l.tags[1:5], ', '), '') ELSE '' END AS tags
+      FROM (SELECT *, uri <> '' AS h FROM en) e
+      LEFT JOIN v_catalog c ON e.uri <> '' AND c.catalog_id = split_part(e.uri, ':', -1)
       LEFT JOIN (SELECT c.catalog_id, array_to_string(a.genres, ', ') AS genre_text FROM v_catalog c
                  JOIN v_artist a ON c.artist = a.artist_id) g
         ON e.uri <> '' AND g.catalog_id = split_part(e.uri, ':', -1)
       LEFT JOIN v_features f ON e.uri <> '' AND f.catalog_id = split_part(e.uri, ':', -1)
       LEFT JOIN v_listen l ON e.title <> '' AND e.artist <> '' AND trim(split_part(e.artist, ',', 1)) <> ''
         AND trim(split_part(e.artist, ',', 1)) = l.artist AND e.title = l.title"""
-    fetched = "x.uri <> ''"
-    body = f"""SELECT x.title, x.artist, x.track_id, x.duration, x.isrc, x.uri, false AS explicit,
-      CASE WHEN {fetched} THEN CAST(printf('%.4f', x.danceability) AS DOUBLE) ELSE 0.0::DOUBLE END AS danceability,
-      CASE WHEN {fetched} THEN CAST(printf('%.1f', x.tempo) AS DOUBLE) ELSE 0.0::DOUBLE END AS tempo,
-      CASE WHEN {fetched} THEN CAST(printf('%.2f', x.loudness) AS DOUBLE) ELSE 0.0::DOUBLE END AS loudness,
-      CASE WHEN {fetched} AND x.key >= 0 THEN x.key ELSE -1 END AS key,
-      CASE WHEN {fetched} AND x.mode >= 0 THEN x.mode ELSE -1 END AS mode,
-      CASE WHEN {fetched} THEN x.time_signature ELSE 0 END AS time_signature,
-      {fetched} AS audio_features_fetched, x.popularity,
-      CASE WHEN x.genre_text IS NOT NULL THEN x.genre_text ELSE '' END AS artist_genres,
-      CASE WHEN x.l_title IS NOT NULL THEN CAST(x.l_playcount AS BIGINT) ELSE 0 END AS playcount,
-      CASE WHEN x.l_title IS NOT NULL THEN CAST(x.l_listeners AS BIGINT) ELSE 0 END AS listeners,
-      CASE WHEN x.l_title IS NOT NULL THEN coalesce(array_to_string(x.l_tags[1:5], ', '), '') ELSE '' END AS tags,
-      x.match_method FROM full_t x"""
-    return with_views(_E_VIEWS + ["v_artist", "v_features", "v_listen"], body, [_ENRICHED, ("full_t", full)])
+
+
+_FULL_VIEWS = _E_VIEWS + ["v_artist", "v_features", "v_listen"]
+
+
+@oracle("q_enrich")
+def _():
+    body = """SELECT position, uri, duration_ms, explicit, popularity, track_number, release_date, album_type, isrc, artist_genres,
+      danceability, key, audio_features_fetched, playcount, listeners, tags FROM full_t"""
+    return with_views(_FULL_VIEWS, body, [_ENRICHED, ("full_t", _full())])
+
+
+@oracle("q_csv_roundtrip")
+def _():
+    from concordia.schema import AUDIO_FEATURES
+    shown = {"tempo": "%.1f", "loudness": "%.2f"}
+    feats = [f"CASE WHEN audio_features_fetched THEN CAST(printf('{shown.get(f, '%.4f')}', {f}) AS DOUBLE) ELSE 0.0::DOUBLE END AS {f}"
+             for f in AUDIO_FEATURES if f not in ("key", "mode", "time_signature")]
+    body = f"""SELECT title, artist, album, isrc, platform, track_id, duration, '' AS added_date, '' AS added_by, '' AS url, uri,
+      '' AS catalog_url, duration_ms, uri <> '' AND explicit AS explicit, release_date, {', '.join(feats)},
+      CASE WHEN audio_features_fetched AND key >= 0 THEN key ELSE -1 END AS key,
+      CASE WHEN audio_features_fetched AND mode >= 0 THEN mode ELSE -1 END AS mode,
+      CASE WHEN audio_features_fetched THEN time_signature ELSE 0 END AS time_signature,
+      audio_features_fetched, popularity, artist_genres, album_type, track_number, playcount, listeners, tags, match_method,
+      0.0::DOUBLE AS match_confidence, '' AS first_synced, '' AS last_synced FROM full_t"""
+    return with_views(_FULL_VIEWS, body, [_ENRICHED, ("full_t", _full())])
 
 
 @oracle("q_snapshot_roundtrip")
@@ -540,7 +572,8 @@ def _():
 @oracle("q_cache_roundtrip")
 def _():
     return with_views(["v_cache"], "SELECT fingerprint, matched, uri, url, method, confidence, isrc, explicit, "
-                                   "album_release_date, duration_ms, popularity, album_type, track_number FROM v_cache")
+                                   "album_release_date, duration_ms, popularity, album_type, track_number FROM (SELECT *, row_number() "
+                                   "OVER (PARTITION BY fingerprint ORDER BY matched DESC, uri DESC) AS rn FROM v_cache) WHERE rn = 1")
 
 
 # ---------------------------------------------------------------- streaming (batch SQL equivalents)
@@ -590,6 +623,40 @@ def _():
                       "SELECT _id AS position, uri, method, confidence, method <> '' AS matched FROM wf", ctes)
 
 
+@oracle("q_snapshot_job")
+def _():
+    return with_views(["v_cur"], f"""SELECT c.platform, c.track_id, c.title, c.artist, c.album,
+      {parse_duration_sql('dp.duration_seconds', 'dp.duration_text')} AS duration,
+      CASE WHEN c.track_id <> '' THEN c.platform || ':' || c.track_id
+           ELSE lower(c.platform || ':' || c.title || ':' || c.artist) END AS fingerprint
+      FROM v_cur c JOIN dp ON c.position = dp.position""", [("dp", DURATION_PAYLOAD.replace("FROM v_source", "FROM v_cur"))])
+
+
+@oracle("q_sync_published")
+def _():
+    body = f"""SELECT 'enriched' AS name, count(*) AS n FROM en_t UNION ALL
+      SELECT 'enriched_resolved', count(*) FILTER (WHERE uri <> '') FROM en_t UNION ALL
+      SELECT 'features_fetched', count(*) FILTER (WHERE uri <> '') FROM en_t UNION ALL
+      SELECT 'unmatched', count(*) FILTER (WHERE uri = '') FROM en_t UNION ALL
+      SELECT 'snapshot', count(*) FROM v_cur UNION ALL
+      SELECT 'results_matched', count(DISTINCT s.fingerprint) FROM srch s JOIN wf w ON s.position = w._id WHERE w.method <> ''"""
+    return with_views(_PLAN_VIEWS + ["v_source"], body, _plan_ctes() + [("en_t", _enriched_body())])
+
+
+@oracle("q_retry_published")
+def _():
+    return f"SELECT uri, match_method FROM ({ORACLE['q_retry_upsert']()}) WHERE uri <> ''"
+
+
+@oracle("q_listen_job")
+def _():
+    body = """SELECT e.platform, e.track_id, e.title, e.artist, CASE WHEN l.title IS NOT NULL THEN CAST(l.playcount AS BIGINT) ELSE 0 END AS playcount,
+      CASE WHEN l.title IS NOT NULL THEN CAST(l.listeners AS BIGINT) ELSE 0 END AS listeners,
+      CASE WHEN l.title IS NOT NULL THEN coalesce(array_to_string(l.tags[1:5], ', '), '') ELSE '' END AS tags
+      FROM v_cur e LEFT JOIN v_listen l ON e.title <> '' AND e.artist <> '' AND trim(split_part(e.artist, ',', 1)) = l.artist AND e.title = l.title"""
+    return with_views(["v_cur", "v_listen"], body)
+
+
 @oracle("q_bulk_lookup")
 def _():
     return with_views(["v_catalog", "v_existing"], """SELECT catalog_id, uri, duration_ms, popularity FROM v_catalog

@@ -1,7 +1,7 @@
 """The user-level jobs besides sync, each a composition of operators.
 
-Every job returns a dict of lazy DataFrames (its plan); ``write_*`` helpers
-apply it.  Nothing is written in a dry run.
+A job returns a dict of lazy DataFrames (its plan); ``publish_*`` writes what it
+changed as one commit.  Nothing is written in a dry run.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from concordia.operators import report as R
 from concordia.operators.diff import diff_counts, diff_snapshots
 from concordia.operators.keys import with_fingerprint
 from concordia.operators.match import match_waterfall
+from concordia.plans.sync import ENRICHED_CSV, UNMATCHED_CSV
+from concordia.session import cut_lineage
 from concordia.sources import csvio
 from concordia.sources import payloads as P
 from concordia.sources import snapshot as S
+from concordia.sources.published import Commit, Published, has_files
 
 
 def import_csv(spark: SparkSession, csv_path: str, mode: str = "strict") -> dict[str, DataFrame]:
@@ -39,13 +42,25 @@ def snapshot_from_pages(spark: SparkSession, pages_path: str, platform: str = "y
     return P.flatten_playlist(P.read_playlist_pages(spark, pages_path), platform)
 
 
-def diff_job(current: DataFrame, spark: SparkSession, snapshot_base: str | None, preview_rows: int = 20
-             ) -> dict[str, DataFrame]:
-    """Changes since the latest snapshot (no snapshot: everything is added)."""
-    prev = S.load_latest_snapshot(spark, snapshot_base) if snapshot_base else None
+def snapshot_job(spark: SparkSession, pages_path: str, snapshot_base: str, snapshot_ts: str,
+                 platform: str = "ytmusic", dry_run: bool = False) -> DataFrame:
+    """Take the list from its landed pages and append it to the snapshots."""
+    tracks = cut_lineage(snapshot_from_pages(spark, pages_path, platform), "snapshot")
+    if not dry_run:
+        S.save_snapshot(tracks, snapshot_base, snapshot_ts)
+    return tracks
+
+
+def diff_job(current: DataFrame, spark: SparkSession, snapshot_base: str | None, preview_rows: int = 20,
+             changed: bool = False) -> dict[str, DataFrame]:
+    """Changes since the latest snapshot (no snapshot: everything is added).
+    With ``changed``, rows of one key whose contents differ are told apart by the
+    hash that snapshots store."""
+    prev = S.load_latest_snapshot(spark, snapshot_base)
     cols = ["position", "title", "artist"]
-    d = diff_snapshots(current, prev.select("fingerprint", *cols) if prev is not None else None,
-                       "fingerprint", "position", cols=cols)
+    compare = S.CONTENT_COLS if changed else None
+    d = diff_snapshots(current, prev.select("fingerprint", "content_hash", *cols) if prev is not None else None,
+                       "fingerprint", "position", cols=cols, compare_cols=compare)
     return {"diff": d, "summary": diff_counts(d), "preview": R.preview(d, preview_rows)}
 
 
@@ -67,6 +82,18 @@ def retry_unmatched(spark: SparkSession, unmatched_path: str, enriched: DataFram
     return out
 
 
+def publish_retry(plan: dict[str, DataFrame], base: str, run_id: str, dry_run: bool = False) -> Commit | None:
+    """Write what a retry changed, as one commit: both exports, and the uris to add
+    if the plan has them.  Where nothing was newly resolved nothing is written."""
+    if dry_run or not plan["newly_matched"].take(1):
+        return None
+    tables = {ENRICHED_CSV: lambda p: csvio.write_enriched(plan["enriched"], p),
+              UNMATCHED_CSV: lambda p: csvio.write_unmatched(plan["still_unmatched"], p)}
+    if "to_add" in plan:
+        tables["to_add"] = plan["to_add"]
+    return Published(plan["enriched"].sparkSession, base).publish(run_id, tables)
+
+
 def listen_job(tracks: DataFrame, listen: DataFrame) -> dict[str, DataFrame]:
     """Listen statistics for every row still without them (resolved or not)."""
     t = N.listen_stats(N.with_track_defaults(tracks), listen)
@@ -74,6 +101,25 @@ def listen_job(tracks: DataFrame, listen: DataFrame) -> dict[str, DataFrame]:
     return {"enriched": t, "coverage": cov}
 
 
-def status_job(source: DataFrame | None, enriched: DataFrame | None, unmatched: DataFrame | None,
-               snapshots: DataFrame | None = None) -> DataFrame:
-    return R.status(source, enriched, unmatched, snapshots)
+def publish_listen(spark: SparkSession, base: str, run_id: str, listen: DataFrame, snapshot_base: str | None = None,
+                   dry_run: bool = False) -> Commit | None:
+    """Listen statistics for the published enriched export or, where there is none
+    yet, for the latest snapshot; the export is published with them."""
+    store = Published(spark, base)
+    path = store.path(ENRICHED_CSV)
+    tracks = csvio.read_enriched(spark, path) if path else S.load_latest_snapshot(spark, snapshot_base)
+    if tracks is None:
+        raise ValueError("neither an enriched export nor a snapshot: import, snapshot or sync first")
+    if dry_run:
+        return None
+    rows = listen_job(tracks, listen)["enriched"]
+    return store.publish(run_id, {ENRICHED_CSV: lambda p: csvio.write_enriched(rows, p)})
+
+
+def status_job(spark: SparkSession, source: DataFrame | None, base: str | None, snapshot_base: str | None = None) -> DataFrame:
+    """The status report over what the last run published and the snapshots."""
+    store = Published(spark, base) if base else None
+    enriched, unmatched = (store.path(n) if store else None for n in (ENRICHED_CSV, UNMATCHED_CSV))
+    snapshots = spark.read.parquet(snapshot_base) if has_files(spark, snapshot_base) else None
+    return R.status(source, csvio.read_enriched(spark, enriched) if enriched else None,
+                    csvio.read_csv_strings(spark, unmatched) if unmatched else None, snapshots)

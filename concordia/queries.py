@@ -58,6 +58,15 @@ def q_diff_summary(spark, d):
     return diff_counts(_diff(spark, d))
 
 
+@query("q_diff_changed")
+def q_diff_changed(spark, d):
+    """Diff that tells changed contents: the latest snapshot stores their hash."""
+    snaps = scratch_path(spark, "changed-snapshots")
+    S.save_snapshot(fx.previous(spark, d), snaps, SNAP_TS[0])
+    diff = J.diff_job(fx.current(spark, d), spark, snaps, changed=True)["diff"]
+    return diff.select("fingerprint", "change_type", "position")
+
+
 @query("q_first_run")
 def q_first_run(spark, d):
     return diff_snapshots(fx.current(spark, d), None, "fingerprint", cols=["position", "title"])
@@ -200,7 +209,7 @@ from concordia.operators import enrich as N  # noqa: E402
 from concordia.operators import report as R  # noqa: E402
 from concordia.operators.match import build_catalog_index  # noqa: E402
 from concordia.plans.resume import resolve_in_slices, resolved  # noqa: E402
-from concordia.plans.sync import plan_sync  # noqa: E402
+from concordia.plans.sync import ENRICHED_CSV, RESULTS, SNAPSHOT, UNMATCHED_CSV, plan_sync, publish_sync  # noqa: E402
 from concordia.plans.target import apply_changes, read_target  # noqa: E402
 from concordia.session import cut_lineage, scratch_path  # noqa: E402
 
@@ -362,8 +371,15 @@ def q_method_breakdown(spark, d):
 
 @query("q_status")
 def q_status(spark, d):
+    """The status job over published exports and two snapshots."""
+    base, snaps = scratch_path(spark, "published"), scratch_path(spark, "status-snapshots")
+    S.save_snapshot(fx.previous(spark, d), snaps, SNAP_TS[0])
+    S.save_snapshot(fx.current(spark, d), snaps, SNAP_TS[1])
     e = fx.enriched(spark, d)
-    return R.status(fx.source(spark, d), e, e.where(F.col("uri") == ""))
+    Published(spark, base).publish("run-1", {
+        ENRICHED_CSV: lambda p: csvio.write_enriched(e, p),
+        UNMATCHED_CSV: lambda p: csvio.write_unmatched(e.where(F.col("uri") == ""), p)})
+    return J.status_job(spark, fx.source(spark, d), base, snaps)
 
 
 @query("q_preview")
@@ -383,22 +399,27 @@ from concordia.sources import cache as K  # noqa: E402
 from concordia.sources import csvio  # noqa: E402
 from concordia.sources import payloads as P  # noqa: E402
 from concordia.sources import snapshot as S  # noqa: E402
-
-ROUNDTRIP_COLS = ["title", "artist", "track_id", "duration", "isrc", "uri", "explicit", "danceability", "tempo",
-                  "loudness", "key", "mode", "time_signature", "audio_features_fetched", "popularity",
-                  "artist_genres", "playcount", "listeners", "tags", "match_method"]
-
+from concordia.sources.published import Published  # noqa: E402
 
 @query("q_csv_roundtrip")
 def q_csv_roundtrip(spark, d):
     """Enriched table -> 40-column export -> read back typed."""
-    t = fx.enriched(spark, d)
-    t = N.backfill_genres(t, fx.catalog(spark, d), fx.artists(spark, d), "artist")
-    t = N.audio_features(t, fx.features(spark, d))
-    t = N.listen_stats(t, fx.listen_stats(spark, d))
     path = scratch_path(spark, "enriched-csv")
-    csvio.write_enriched(t, path)
-    return csvio.read_enriched(spark, path).select(*ROUNDTRIP_COLS)
+    csvio.write_enriched(_enriched(spark, d), path)
+    return csvio.read_enriched(spark, path)
+
+
+def _enriched(spark, d):
+    return N.enrich(fx.enriched(spark, d), fx.catalog(spark, d), fx.artists(spark, d), fx.features(spark, d),
+                    fx.listen_stats(spark, d), "artist")
+
+
+@query("q_enrich")
+def q_enrich(spark, d):
+    """Metadata, genres, features and listen statistics in two lookups."""
+    return _enriched(spark, d).select("position", "uri", "duration_ms", "explicit", "popularity", "track_number", "release_date",
+                                      "album_type", "isrc", "artist_genres", "danceability", "key", "audio_features_fetched",
+                                      "playcount", "listeners", "tags")
 
 
 SNAP_TS = ("2026-01-01T00-00-00", "2026-01-02T00-00-00")
@@ -547,6 +568,54 @@ def q_diff_job(spark, d):
     return J.diff_job(current, spark, snaps)["summary"]
 
 
+@query("q_snapshot_job")
+def q_snapshot_job(spark, d):
+    """Playlist pages -> snapshot job -> the snapshot read back."""
+    cur = fx.current(spark, d)
+    pages, snaps = scratch_path(spark, "job-pages"), scratch_path(spark, "job-snapshots")
+    P.build_playlist_pages(cur.join(duration_payload(cur), "position"), "pl-main", 100).write.json(pages)
+    J.snapshot_job(spark, pages, snaps, SNAP_TS[0])
+    return S.load_latest_snapshot(spark, snaps).select("platform", "track_id", "title", "artist", "album", "duration", "fingerprint")
+
+
+@query("q_sync_published")
+def q_sync_published(spark, d):
+    """A sync run's commit, read back: how many rows each of its tables holds."""
+    inp, base = fx.sync_inputs(spark, d), scratch_path(spark, "sync-published")
+    publish_sync(plan_sync(inp, run_ts=RUN_TS), inp, base, "run-1", SNAP_TS[1])
+    store = Published(spark, base)
+    enriched = csvio.read_enriched(spark, store.path(ENRICHED_CSV))
+    tables = {"enriched": enriched, "enriched_resolved": enriched.where(F.col("uri") != ""),
+              "features_fetched": enriched.where("audio_features_fetched"),
+              "unmatched": csvio.read_csv_strings(spark, store.path(UNMATCHED_CSV)),
+              "snapshot": S.load_latest_snapshot(spark, store.path(SNAPSHOT)),
+              "results_matched": K.read_match_cache(spark, store.path(RESULTS)).where("matched")}
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("q_retry_published")
+def q_retry_published(spark, d):
+    """The retry job's commit, read back: resolved rows of the enriched export."""
+    ex, path, base = fx.enriched(spark, d), scratch_path(spark, "unmatched-csv"), scratch_path(spark, "retry-published")
+    csvio.write_unmatched(ex.where(F.col("uri") == ""), path)
+    J.publish_retry(J.retry_unmatched(spark, path, ex, fx.catalog(spark, d), MatchConfig(), RUN_TS), base, "run-1")
+    return csvio.read_enriched(spark, Published(spark, base).path(ENRICHED_CSV)).where(F.col("uri") != "").select("uri", "match_method")
+
+
+@query("q_listen_job")
+def q_listen_job(spark, d):
+    """The listen job without an enriched export: the latest snapshot's rows."""
+    base, snaps = scratch_path(spark, "listen-published"), scratch_path(spark, "listen-snapshots")
+    S.save_snapshot(fx.current(spark, d), snaps, SNAP_TS[0])
+    J.publish_listen(spark, base, "run-1", fx.listen_stats(spark, d), snaps)
+    return csvio.read_enriched(spark, Published(spark, base).path(ENRICHED_CSV)).select(
+        "platform", "track_id", "title", "artist", "playcount", "listeners", "tags")
+
+
 @query("q_bulk_lookup")
 def q_bulk_lookup(spark, d):
     """Catalogue rows for the distinct ids of resolved rows (one semi join)."""

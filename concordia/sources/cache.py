@@ -2,19 +2,16 @@
 
 Append-only Parquet partitioned by ``run_id``; readers keep one entry per
 fingerprint (a positive entry beats a negative one).  A dry run writes
-nothing; a finished run can drop its partitions.  The legacy JSON document
-(``{fingerprint: {matched, ...}}``) is read with a map schema and exploded.
+nothing; a finished run can drop its partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from concordia.schema import MATCH_RESULT
-
-_ENTRY = T.StructType([f for f in MATCH_RESULT.fields if f.name != "fingerprint"])
+from concordia.sources.published import has_files
 
 
 def write_match_results(results: DataFrame, base: str, run_id: str) -> None:
@@ -30,7 +27,7 @@ def read_match_cache(spark: SparkSession, base: str | None, run_ids: list[str] |
     """One row per fingerprint; absent table -> empty.  ``run_ids`` limits
     the read to the given runs (partition pruning), e.g. the run being
     resumed; finished runs are simply not read again."""
-    if base is None:
+    if not has_files(spark, base):
         return spark.createDataFrame([], MATCH_RESULT)
     df = spark.read.parquet(base)
     if run_ids is not None:
@@ -40,14 +37,3 @@ def read_match_cache(spark: SparkSession, base: str | None, run_ids: list[str] |
         F.max_by(F.struct(*rest), F.struct(F.col("matched"), F.col("run_id"), F.col("uri"))).alias("e"),
         F.max("matched").alias("matched"))
     return best.select("fingerprint", "matched", "e.*")
-
-
-def read_legacy_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Legacy single-document cache (a top-level JSON object); misses carry
-    only ``matched=false``."""
-    doc = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", T.MapType(T.StringType(), _ENTRY))
-    rest = [f.name for f in _ENTRY.fields if f.name != "matched"]
-    return (doc.select(F.explode(m).alias("fingerprint", "e"))
-               .select("fingerprint", F.coalesce("e.matched", F.lit(False)).alias("matched"),
-                       *[F.col("e." + c).alias(c) for c in rest]))

@@ -12,24 +12,37 @@ a directory of part files and no byte-order mark.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.functions import fmt
 from concordia.functions.text import blank, first_nonblank, parse_bool
+from concordia.sources.csvsplit import read_csv_records
+from concordia.sources.published import has_files, largest_file
 from concordia.schema import ENRICHED_COLUMNS, INTERNAL_TO_EXPORT, TRACK_COLUMNS, TRACK_DEFAULTS, UNMATCHED_COLUMNS
 
 _FOUR = ["danceability", "energy", "valence", "speechiness", "acousticness", "instrumentalness", "liveness"]
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """All-string frame named by the file header (BOM-tolerant)."""
+    """All-string frame named by the file header (BOM-tolerant).  Files that fit
+    a split are read whole, a task each; larger ones by many (``csvsplit``)."""
+    if largest_file(spark, path) > _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
+        return read_csv_records(spark, path).drop("position")
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
                .option("inferSchema", False).option("encoding", "UTF-8").csv(path))
     # a UTF-8 BOM can survive on the first header name
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
+def _bytes(size: str) -> int:
+    """A Spark size (128MB, 16m, 134217728b) in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgt".index(unit or " ")
+
+
 def _typed(c: str, raw, mode: str):
     t = dict(TRACK_COLUMNS)[c]
     s = blank(raw)
@@ -63,7 +76,7 @@ def typed_tracks(raw: DataFrame, mode: str = "strict", keep: tuple[str, ...] = (
 
 def read_enriched(spark: SparkSession, path: str | None, mode: str = "strict") -> DataFrame:
     """Enriched export -> typed tracks; absent path -> empty typed table."""
-    if path is None:
+    if not has_files(spark, path):
         from concordia.schema import TRACK_TYPES
         from pyspark.sql import types as T
         return spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in TRACK_TYPES.items()]))
@@ -116,13 +129,12 @@ def write_unmatched(tracks: DataFrame, path: str, mode: str = "errorifexists") -
 def read_source_tracks(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """Source list export (title, artist required) -> typed tracks + position.
 
-    ``position`` is an order-preserving id taken right after the scan (list
-    order for last-wins and limits); it is not dense."""
-    raw = read_csv_strings(spark, path)
+    ``position`` is the row's place in its file, files in the order of their paths
+    (list order for last-wins and limits), however the files are split."""
+    raw = read_csv_records(spark, path)
     missing = {"title", "artist"} - set(raw.columns)
     if missing:
         raise ValueError(f"source file lacks required columns: {sorted(missing)}")
-    raw = raw.withColumn("position", F.monotonically_increasing_id())
     return typed_tracks(raw, mode, keep=("position",))
 
 

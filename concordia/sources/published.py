@@ -63,6 +63,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
 
 
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file of a table."""
+    jpath, fs = _fs(spark, path)
+    return max((s.getLen() for s in fs.listStatus(jpath)), default=0)
+
+
 def _read_text(spark: SparkSession, path: str) -> str:
     jpath, fs = _fs(spark, path)
     stream = fs.open(jpath)

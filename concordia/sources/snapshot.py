@@ -1,9 +1,8 @@
 """List-state snapshots.
 
-Primary form: Parquet partitioned by ``snapshot_ts`` (append one partition
-per run); "latest" is a query (max partition), not a second copy.  Legacy
-form: one JSON document ``{timestamp, track_count, tracks: [...]}`` that
-older runs wrote; it is read with an explicit schema and exploded.
+Parquet partitioned by ``snapshot_ts`` (append one partition per run); "latest" is a
+query (max partition), not a second copy.  Every row carries a hash of its content,
+so a later diff can tell changed rows from one column.
 """
 
 from __future__ import annotations
@@ -11,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.functions.text import blank
+from concordia.operators.diff import content_hash
 from concordia.operators.keys import fingerprint
-from concordia.schema import SNAPSHOT_DOC
+from concordia.sources.published import has_files
 
+CONTENT_COLS = ["title", "artist", "album", "duration"]
 SNAPSHOT_COLS = ["position", "platform", "track_id", "title", "artist", "album", "duration"]
 
 
 def save_snapshot(tracks: DataFrame, base: str, snapshot_ts: str) -> None:
     """Write ``tracks`` as the partition ``snapshot_ts`` (platform kept); a
     repeated run replaces its own partition and no other."""
-    (tracks.select(*SNAPSHOT_COLS).withColumn("snapshot_ts", F.lit(snapshot_ts))
+    (tracks.select(*SNAPSHOT_COLS, content_hash(CONTENT_COLS).alias("content_hash")).withColumn("snapshot_ts", F.lit(snapshot_ts))
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("snapshot_ts").parquet(base))
 
@@ -32,20 +32,11 @@ def snapshot_history(spark: SparkSession, base: str) -> DataFrame:
     return df.agg(F.count_distinct("snapshot_ts").alias("snapshots"), F.max("snapshot_ts").alias("latest"))
 
 
-def load_latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    """Rows of the newest partition, with fingerprints."""
+def load_latest_snapshot(spark: SparkSession, base: str | None) -> DataFrame | None:
+    """Rows of the newest partition, with fingerprints; None where there is no
+    snapshot yet (a first run)."""
+    if not has_files(spark, base):
+        return None
     df = spark.read.parquet(base)
     latest = df.select(F.max("snapshot_ts")).scalar()
     return df.where(F.col("snapshot_ts") == latest).withColumn("fingerprint", fingerprint())
-
-
-def read_legacy_snapshot(spark: SparkSession, path: str, default_platform: str = "ytmusic") -> DataFrame:
-    """Legacy JSON document -> rows (position = list index).  Legacy files do
-    not store the platform, so ``default_platform`` is applied."""
-    doc = spark.read.option("multiLine", True).schema(SNAPSHOT_DOC).json(path)
-    x = doc.select(F.posexplode("tracks").alias("position", "t"))
-    return x.select(
-        F.col("position").cast("long").alias("position"), F.lit(default_platform).alias("platform"),
-        blank("t.trackId").alias("track_id"), blank("t.title").alias("title"), blank("t.artist").alias("artist"),
-        blank("t.album").alias("album"), F.coalesce(F.col("t.duration"), F.lit(0.0)).alias("duration"),
-    ).withColumn("fingerprint", fingerprint())

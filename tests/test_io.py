@@ -1,13 +1,15 @@
 """CSV, snapshot, payload and cache edges; enrichment rules; streaming."""
 
+import csv
 import json
-import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from concordia.operators import enrich as N
 from concordia.sources import cache as K
-from concordia.sources import csvio
+from concordia.sources import csvio, csvsplit
 from concordia.sources import payloads as P
 from concordia.sources import snapshot as S
 from concordia.schema import ENRICHED_COLUMNS
@@ -24,7 +26,6 @@ def test_source_csv_bom_quotes_newlines(spark, tmp_path):
 def test_bad_number_strict_vs_permissive(spark, tmp_path):
     p = tmp_path / "bad.csv"
     p.write_text("title,artist,popularity\nA,B,x1\n")
-    import pytest
     with pytest.raises(Exception):
         csvio.read_source_tracks(spark, str(p)).collect()
     r = csvio.read_source_tracks(spark, str(p), mode="permissive").first()
@@ -61,7 +62,7 @@ def test_enriched_roundtrip_is_stable(spark, tmp_path):
         (0.1235, 121.0, -5.55, 3, 0.88, 215.0, "IS1")
 
 
-def test_snapshots_latest_and_legacy(spark, tmp_path):
+def test_snapshots_latest_and_absent(spark, tmp_path):
     base = str(tmp_path / "snaps")
     df = spark.createDataFrame([(0, "ytmusic", "a", "T", "A", "", 1.0)],
                                "position long, platform string, track_id string, title string, artist string, "
@@ -71,12 +72,7 @@ def test_snapshots_latest_and_legacy(spark, tmp_path):
     assert [r.track_id for r in S.load_latest_snapshot(spark, base).collect()] == ["b"]
     h = S.snapshot_history(spark, base).first()
     assert (h.snapshots, h.latest) == (2, "2026-01-02T00-00-00")
-    legacy = tmp_path / "latest.json"
-    legacy.write_text(json.dumps({"timestamp": "x", "track_count": 2, "tracks": [
-        {"trackId": "v1", "title": "T1", "artist": "A", "album": "", "duration": 200.0},
-        {"trackId": "", "title": "T2", "artist": "B", "album": "X", "duration": 0.0}]}, indent=2))
-    rows = S.read_legacy_snapshot(spark, str(legacy)).orderBy("position").collect()
-    assert [(r.position, r.fingerprint) for r in rows] == [(0, "ytmusic:v1"), (1, "ytmusic:t2:b")]
+    assert S.load_latest_snapshot(spark, str(tmp_path / "none")) is None
 
 
 def test_playlist_payload_flatten(spark, tmp_path):
@@ -104,7 +100,7 @@ def test_listen_payload_rules(spark, tmp_path):
     assert [(r.artist, r.playcount, r.listeners, r.tags) for r in rows] == [("A", 12, 3, ["rock"]), ("D", 0, 4, [])]
 
 
-def test_match_cache_and_legacy(spark, tmp_path):
+def test_match_cache_and_absent_tables(spark, tmp_path):
     base = str(tmp_path / "mr")
     df = spark.createDataFrame([("f1", True, "u1"), ("f2", False, "")], "fingerprint string, matched boolean, uri string")
     K.write_match_results(df, base, "r1")
@@ -112,11 +108,8 @@ def test_match_cache_and_legacy(spark, tmp_path):
                           base, "r2")
     got = {r.fingerprint: (r.matched, r.uri) for r in K.read_match_cache(spark, base).collect()}
     assert got == {"f1": (True, "u1"), "f2": (False, "")}
-    legacy = tmp_path / "cache.json"
-    legacy.write_text(json.dumps({"yt:a": {"matched": True, "spotify_uri": "x", "uri": "u9", "confidence": 0.9},
-                                  "yt:b": {"matched": False}}))
-    rows = {r.fingerprint: r.matched for r in K.read_legacy_cache(spark, str(legacy)).collect()}
-    assert rows == {"yt:a": True, "yt:b": False}
+    assert K.read_match_cache(spark, str(tmp_path / "none")).count() == 0
+    assert csvio.read_enriched(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_apply_match_rules(spark):
@@ -146,19 +139,66 @@ def test_audio_features_flag_all_attempted(spark):
     assert r[3].audio_features_fetched is False
 
 
-def test_stream_is_incremental_and_idempotent(spark, tmp_path):
+ROW = "fingerprint string, position long, title string"
+
+
+def test_stream_keeps_what_arrived_last_and_compacts(spark, tmp_path):
+    """A later arrival wins over a greater position; reading cost is bounded by the
+    deltas since the last compaction; a repeated run applies nothing."""
     from concordia.streaming import incremental as T9
-    from concordia.sources import fixtures as fx
-    cur = fx.current(spark, "/root/testdata/sf0.001")
     landing, state, ckpt = (str(tmp_path / x) for x in ("land", "state", "ckpt"))
-    T9.land_files(cur, landing, 3)
-    n1 = T9.run_incremental(spark, landing, cur.schema, state, ckpt)
-    n2 = T9.run_incremental(spark, landing, cur.schema, state, ckpt)
-    assert n1 == 3 and n2 == 0
-    from concordia.operators.keys import dedupe_last_wins
-    want = sorted(tuple(r) for r in dedupe_last_wins(cur, "fingerprint").select("fingerprint", "position").collect())
-    got = sorted(tuple(r) for r in T9.read_state(spark, state).select("fingerprint", "position").collect())
-    assert got == want
+    want = {}
+    for k in range(7):
+        rows = [(f"f{i}", 100 - 10 * k + i, f"t{k}") for i in range(k % 3, 5)] + [("twice", 7, "low"), ("twice", 9, f"high{k}")]
+        want.update({f: (p, t) for f, p, t in rows})
+        df = spark.createDataFrame(rows, ROW)
+        T9.land(df, landing)
+        assert T9.run_incremental(spark, landing, df.schema, state, ckpt, compact_every=3) == 1
+        table = T9.state_tables(spark, state)["state"]
+        assert len(table.pending()) < 3
+        assert {r.fingerprint: (r.position, r.title) for r in T9.read_state(spark, state).collect()} == want
+    assert T9.run_incremental(spark, landing, df.schema, state, ckpt) == 0
+    assert len(table.base.commits()) == 2
+
+
+def test_a_batch_delivered_again_after_it_was_folded_changes_nothing(spark, tmp_path):
+    from concordia.streaming.incremental import StateTable
+    table = StateTable(spark, str(tmp_path), "state", "fingerprint", "position")
+    for k in range(3):
+        table.write(spark.createDataFrame([("a", 9 - k, f"t{k}")], ROW), k)
+    table.compact()
+    table.write(spark.createDataFrame([("a", 8, "t1")], ROW), 1)
+    assert [r.title for r in table.read().collect()] == ["t2"] and table.pending() == []
+    table.compact()
+    table.write(spark.createDataFrame([("a", 1, "t3"), ("b", 1, "x")], ROW), 3)
+    assert sorted(r.title for r in table.read().collect()) == ["t3", "x"]
+
+
+@pytest.mark.parametrize("split", ["4000", "9k", "1m"])
+def test_large_csv_is_read_in_splits_like_in_one_piece(spark, tmp_path, split):
+    """Quoted newlines, BOM, \\r\\n, long runs of lines in a field: rows and
+    positions do not depend on where files are split."""
+    rng, rows = random.Random(1), []
+    for f in range(3):
+        with open(tmp_path / f"part-{f}.csv", "w", newline="", encoding="utf-8-sig" if f == 1 else "utf-8") as out:
+            w = csv.writer(out, lineterminator="\r\n" if f == 2 else "\n")
+            w.writerow(["title", "artist", "n"] if f else ["artist", "title", "n"])
+            for i in range(500):
+                title = "".join(rng.choice('ab ,"\né中') for _ in range(rng.randrange(1, 40)))
+                artist = rng.choice(["x", 'multi\n\n\nline, "q"\n', "", '"', "\n" * rng.randrange(1, 30) + "z"])
+                w.writerow([title, artist, f"{f}-{i}"] if f else [artist, title, f"{f}-{i}"])
+                rows.append((title, artist, f"{f}-{i}"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = csvsplit.read_csv_records(spark, str(tmp_path)).orderBy("position").collect()
+        as_strings = csvio.read_csv_strings(spark, str(tmp_path)).count() if split != "1m" else len(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.title or "", r.artist or "", r.n) for r in got] == rows and as_strings == len(rows)
+    assert [r.position for r in got] == [f * csvsplit.POSITIONS + i for f in range(3) for i in range(500)]
 
 
 def test_lookup_tables_with_repeated_keys_multiply_no_track(spark):
