@@ -8,7 +8,8 @@ order, a pair that reaches the threshold shares a column among the first
 *head* columns are multiplied.  Overlap counts are accumulated per pair over
 the head columns, and a pair goes when even a full overlap of everything behind
 the heads could not reach the least overlap that its two sizes ask for.  The
-few pairs left are compared exactly, from their whole texts.
+few pairs left are told apart by wide sketches (below) and then compared exactly,
+from their whole texts.
 
 What keeps it whole and bounded under skew
 * documents with equal shingle sets are one class, found by a 64-bit signature
@@ -47,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.llm.columns import emit, table
@@ -62,6 +63,7 @@ LOCAL = 3               # documents of a slice from which a column is reported
 MAX_COMMON = 1 << 22    # most columns that can count as common
 LEAST_COMMON = 16       # documents that a common column has at least
 SKETCH = 1024           # bits of an odd sketch
+WIDE = 16384            # bits of the sketches that pairs are told apart by before their texts are read
 BROADCAST_IDS = 1 << 20  # ids (8 bytes each) up to which a side is broadcast
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -107,10 +109,10 @@ _BITS = [f"s{k}" for k in range(SKETCH // 64)]
 _SETS = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "sig", "col", "df", *_BITS)])
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Which of the sketch's bits an odd number of shingles flips, as 64-bit integers."""
-    odd = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(found: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """Which of the sketch's bits an odd number of shingles flips, as bytes."""
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingles(text.as_py() or b"")
             n.append(len(found))
             sig.append(signature(found))
-            bits[len(n) - 1] = sketch(found)
+            bits[len(n) - 1] = sketch(found).view(np.int64)
             if len(found) and sig[-1] not in seen:
                 seen.add(sig[-1])
                 parts.append(found)
@@ -213,6 +215,16 @@ def _same(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def _wide(text: pa.Array) -> pa.Array:
+    return pa.array([sketch(shingles(t.as_py() or b""), WIDE).tobytes() for t in text.cast(pa.binary())], pa.binary())
+
+
+def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many bits of two sketches differ."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
+    return pa.array(np.bitwise_count(x ^ y).sum(axis=1), pa.int64())
+
+
 def _signatures(text: pa.Array) -> pa.Array:
     return pa.array([signature(shingles(t.as_py() or b"")) for t in text.cast(pa.binary())], pa.int64())
 
@@ -265,15 +277,18 @@ class NgramJoin:
     def unlinked_pairs(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
         """(a, b) of different components that share a column, as far as sizes,
         positions and sketches let them be linked; both sides are (col, sig, n,
-        pos, root)."""
+        pos, root, before).  Where the column before is the same too, the pair has
+        been made there."""
         bits = self.classes.select("sig", *_BITS)
 
         def described(rows, side):
-            return rows.join(bits, "sig").select(*(F.col(c).alias(f"{side}_{c}") for c in ("col", "sig", "root", "n", "pos", *_BITS)))
+            columns = ("col", "sig", "root", "n", "pos", "before", *_BITS)
+            return rows.join(bits, "sig").select(*(F.col(c).alias(f"{side}_{c}") for c in columns))
         differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITS), F.lit(0))
         n, m = F.col("x_n"), F.col("y_n")
         return (described(outside, "x").join(described(inside, "y"), (F.col("x_col") == F.col("y_col"))
                                              & (F.col("x_root") != F.col("y_root"))
+                                             & (F.col("x_before") != F.col("y_before"))
                                              & _may_link(n, m, F.col("x_pos"), F.col("y_pos"))
                                              & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)))
                 .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct())
@@ -292,15 +307,19 @@ class NgramJoin:
         """The pairs whose whole texts are linked."""
         pairs = self.scratch.cut(pairs, f"pairs-{step}")
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("sig")
-        ids = self.scratch.cut(self.classes.join(wanted, "sig").select("sig", F.col("doc_id").alias("_id")), f"ids-{step}")
-        whole = self.docs.join(broadcast_ids(ids), F.col("doc_id") == F.col("_id")).select("sig", "text")
+        ids = self.scratch.cut(self.classes.join(wanted, "sig").select("sig", "n", F.col("doc_id").alias("_id")), f"ids-{step}")
+        whole = self.docs.join(broadcast_ids(ids), F.col("doc_id") == F.col("_id")).select("sig", "n", "text")
         if self.repeated:  # an id may stand for several texts
             whole = (whole.where(F.arrow_udf(_signatures, "long")("text") == F.col("sig"))
-                     .groupBy("sig").agg(F.min("text").alias("text")))
-        whole = self.scratch.cut(whole, f"texts-{step}")
-        both = (pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b"))
+                     .groupBy("sig", "n").agg(F.min("text").alias("text")))
+        whole = self.scratch.cut(whole.withColumn("bits", F.arrow_udf(_wide, "binary")("text")), f"texts-{step}")
+        brief, full = whole.select("sig", "n", "bits"), whole.select("sig", "text")
+        close = (pairs.join(brief.toDF("a", "na", "xa"), "a").join(brief.toDF("b", "nb", "xb"), "b")
+                 .where((100 + PERCENT) * F.arrow_udf(_differ, "long")("xa", "xb") <= (100 - PERCENT) * (F.col("na") + F.col("nb"))))
+        close = self.scratch.cut(close.select("a", "b"), f"close-{step}")
+        both = close.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b")
         links = self.scratch.cut(both.where(F.arrow_udf(_same, "boolean")("ta", "tb")).select("a", "b"), f"links-{step}")
-        self.scratch.drop(f"pairs-{step}", f"ids-{step}", f"texts-{step}")
+        self.scratch.drop(*(f"{t}-{step}" for t in ("pairs", "ids", "texts", "close")))
         return links
 
     @property
@@ -325,11 +344,14 @@ class NgramJoin:
         first = self.verified(self.bounded(pairs), "first")
         comp = components(first, self.scratch)
         large = large.join(comp.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        large = self.scratch.cut(self.one_column_a_set(large), "large")
+        in_order = Window.partitionBy("sig").orderBy("pos", "col")  # the columns of one text
+        large = self.one_column_a_set(large).withColumn("before", F.coalesce(F.lag("col").over(in_order), F.col("sig")))
+        large = self.scratch.cut(large, "large")
         self.scratch.drop("shared", "near")
         main = large.where("sig = lo").select("col", F.col("root").alias("main"))
-        outside = self.scratch.cut(large.join(main, "col").where("root <> main").select("col", "sig", "n", "pos", "root"), "outside")
-        inside = large.join(outside.select("col").distinct(), "col", "left_semi").select("col", "sig", "n", "pos", "root")
+        outside = self.scratch.cut(large.join(main, "col").where("root <> main")
+                                   .select("col", "sig", "n", "pos", "root", "before"), "outside")
+        inside = large.join(outside.select("col").distinct(), "col", "left_semi").select("col", "sig", "n", "pos", "root", "before")
         return first.union(self.verified(self.unlinked_pairs(outside, inside), "cross"))
 
     def result(self) -> DataFrame:
