@@ -8,15 +8,19 @@ elements that are never content, is the main text.
 The weights come from labelled pages: a page whose author marks its content
 with one ``article`` (or else one ``main``) element says of every word and tag
 whether it is content.  A tag costs ``TAG_COST`` times its share outside the
-content (and a little in any case); a word counts by the log odds of its
-enclosing element (tag and first class), between -1 and 1, and 1 where that
-element was never seen.  The names of all elements around a word (whole class
+content, shrunk towards nothing while it was seldom seen (and a little in any case);
+tags that any content may hold (``PLAIN``) cost a little only, so that what decides
+about a list, a link or a table is the words around it.  A word counts by the log
+odds of its enclosing element (tag and first class), between -1 and 1; where that
+element was never seen, by those of its tag, at least ``UNSEEN``.  The names of all elements around a word (whole class
 names, id, role, and the tags of ``MARKS``) have such odds too, and the lowest
 counts where it is lower; ``BOILERPLATE`` is only what is thought of a name before
 labels are seen (``PRIOR`` words outside the content).  Elements around the
 content itself say nothing against a name.  The weights are fitted on ``FIT_PAGES`` labelled pages
-with the smallest hash of their id; every page is then scored, whole, and the
-mark-up that gave the labels is not looked at again as a label.
+with the smallest hash of their id; every page is then scored, whole.  Where the
+page that is scored marks its content itself, this is strong evidence, no more: words
+outside the mark count ``OUTSIDE``, those inside ``INSIDE`` at least.  A page
+whose words all count against it is scored once more without its names.
 
 Text: character references are decoded; white space within a block becomes one
 space; blocks (block elements and line breaks end one) are joined by a newline.
@@ -47,6 +51,9 @@ from concordia.llm.columns import emit, table, texts
 FIT_PAGES = 2000
 TAG_COST = 10.0
 LEAST_COST = 0.05       # of any tag
+SELDOM = 50             # tags that a share is shrunk with
+UNSEEN = 0.5            # a word of an element that no labelled page has, where its tag is no better
+INSIDE, OUTSIDE = 0.5, -0.5  # words inside and outside what the page marks as its content
 
 PRIOR = 20              # words outside the content that a name of BOILERPLATE starts with
 
@@ -65,6 +72,9 @@ pagination pager tags skip copyright""".split())
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir div dl dt
 fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre
 section select summary table tbody td tfoot th thead title tr ul""".split())
+#: elements that content holds as often as what is around it
+PLAIN = frozenset("""a abbr article b blockquote br code dd del div dl dt em figure h1 h2 h3 h4 h5 h6 hr i img ins kbd li main
+mark ol p pre q s samp section small span strong sub sup table tbody td tfoot th thead time tr u ul""".split())
 #: start tag -> (open elements that it ends, elements that they are looked for within)
 _SCOPE = frozenset("table td th caption button object template".split())
 ENDS = {name: (frozenset({"p"}), _SCOPE) for name in """address article aside blockquote center details dialog dir div dl
@@ -175,12 +185,18 @@ def units(page: str, elements: Elements) -> Iterator[tuple[str, str, str, bool,
 _COUNTS = pa.schema([("key", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
 
 
+def marked_by(page: str) -> str | None:
+    """The element by which a page marks its content: the one ``article``, or else
+    the one ``main``."""
+    marks = [m.lower() for m in re.findall(r"<(article|main)\b", page, re.I)]
+    return next((x for x in ("article", "main") if marks.count(x) == 1), None)
+
+
 def label_counts(page: str) -> tuple[Counter, Counter] | None:
-    """Words (by enclosing element and by names around them) and tags inside and
-    outside the element that the page marks as its content; None for a page
-    without such a mark."""
-    marks = re.findall(r"<(article|main)\b", page, re.I)
-    name = next((x for x in ("article", "main") if [m.lower() for m in marks].count(x) == 1), None)
+    """Words (by enclosing element, by its tag and by names around them) and tags
+    inside and outside the element that the page marks as its content; None for a
+    page without such a mark."""
+    name = marked_by(page)
     if name is None:
         return None
     count, within = (Counter(), Counter()), False
@@ -189,6 +205,7 @@ def label_counts(page: str) -> tuple[Counter, Counter] | None:
         if kind == "text":
             n = 0 if never else len(text.split())
             count[within][f"word {key}"] += n
+            count[within][f"tagged {key.split('.')[0]}"] += n
             own[within][number] += n
         else:
             if key == name:
@@ -231,7 +248,8 @@ def fit(pages: DataFrame) -> dict[str, float]:
     weights = {}
     for key, inside, outside in rows:
         if key.startswith("tag "):
-            weights[key] = -TAG_COST * outside / max(inside + outside, 1) - LEAST_COST
+            share = 0.0 if key[4:] in PLAIN else outside / (inside + outside + SELDOM)
+            weights[key] = -TAG_COST * share - LEAST_COST
         else:
             if key.startswith("name ") and key[5:] in BOILERPLATE:
                 outside += PRIOR
@@ -250,23 +268,44 @@ def name_weights(elements: Elements, weights: dict[str, float]) -> list[float]:
     return [*out, 1.0]
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The main text of a page."""
-    elements = Elements()
-    row = list(units(page, elements))
-    low = name_weights(elements, weights)
+def word_weight(key: str, weights: dict[str, float]) -> float:
+    """What a word in an element counts, before the names around it."""
+    if (own := weights.get(f"word {key}")) is not None:
+        return own
+    return max(UNSEEN, weights.get(f"tagged {key.split('.')[0]}", 1.0))
+
+
+def region(row: list, weights: dict[str, float], low: list[float], mark: str | None) -> tuple[int, int]:
+    """First and last unit of the best contiguous region; (0, -1) for none."""
     best, first, last = 0.0, 0, -1
-    total, start = 0.0, 0
+    total, start, within = 0.0, 0, False
     for k, (kind, key, text, never, number) in enumerate(row):
         if kind == "text":
             if not never:
-                total += len(text.split()) * min(weights.get(f"word {key}", 1.0), low[number])
+                word = min(word_weight(key, weights), low[number])
+                if mark:
+                    word = max(word, INSIDE) if within and low[number] > -1 else min(word, OUTSIDE) if not within else word
+                total += len(text.split()) * word
         else:
+            if key == mark:
+                within = kind == "open"
             total += weights.get(f"tag {key}", -LEAST_COST)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
             best, first, last = total, start, k
+    return first, last
+
+
+def extract(page: str, weights: dict[str, float]) -> str:
+    """The main text of a page."""
+    elements = Elements()
+    row = list(units(page, elements))
+    low, mark = name_weights(elements, weights), marked_by(page)
+    first, last = region(row, weights, low, mark)
+    if last < 0:  # nothing speaks for any word: the names are wrong about this page
+        low = [1.0] * len(low)
+        first, last = region(row, {}, low, mark)
     blocks, block = [], []
     for kind, key, text, never, number in row[first:last + 1]:
         if kind == "text":
