@@ -10,8 +10,10 @@ an instance not yet known gets a kind from patterns of high score.  What is so
 found counts as known in the next round and supports further patterns.  Finally
 the mentions that stand in a pattern of high score become spans.
 
-Candidates for new identifiers are words with a digit or ``@``, ``MIN_CHARS``
-or longer, outside all base spans.  A candidate can only become a kind whose
+Candidates for new identifiers are runs of digit groups, joined by single spaces,
+dots, dashes, slashes or brackets, that have the loose form of a card or phone number
+(``555 123 4567``, ``(555) 123-4567``), and words with a digit or ``@``, ``MIN_CHARS``
+or longer; both outside all base spans, and words outside such runs.  A candidate can only become a kind whose
 loose form it has (``FORMS``); in a pattern of another kind it is evidence
 against the pattern.  A pattern needs ``SUPPORT`` distinct known instances.
 
@@ -58,12 +60,13 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 CANDIDATE = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+"
+GROUPED = (rf"(?<![^{_WS}])[+(]{{0,2}}[0-9]++(?:(?:\)?[\x20./-]\(?|[()])[0-9]++)++(?=[.,;:!?)]{{0,2}}(?:[{_WS}]|$))")
 #: the loose form of a kind
 FORMS = {
     "email": r"^[^@]+@[^@]+$",
     "ip": r"^(?:[0-9]+[.:_-]){3}[0-9]+[.,;]?$|^[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7}[.,;]?$",
-    "card": r"^[0-9](?:[-._/]?[0-9]){11,18}[.,;]?$",
-    "phone": r"^[+(]?[0-9](?:[-()./]{0,2}[0-9]){6,14}[.,;]?$",
+    "card": r"^[0-9](?:[-._/\x20]?[0-9]){11,18}[.,;]?$",
+    "phone": r"^[+(]?[0-9](?:[-()./\x20]{0,3}[0-9]){6,14}[.,;]?$",
 }
 
 
@@ -108,16 +111,19 @@ def base_spans(docs: DataFrame) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("_t"))
     for kind, (pattern, needs) in PATTERNS.items():
         df = with_spans(df, kind, pattern, needs)
+    df = with_spans(df, "grouped", GROUPED, r"[0-9][\x20().\/-]{1,3}[0-9]")
     df = with_spans(df, "other", CANDIDATE, "[0-9@]").drop("_t")
 
-    def of(k: int | None) -> Column:
-        spans = F.col(KINDS[k] if k is not None else "other")
-        keep = F.filter(spans, lambda x: _valid(KINDS[k], x["s"]) if k is not None else F.length(x["s"]) >= MIN_CHARS)
-        return F.transform(keep, lambda x: F.struct(
-            F.lit(k).cast("int").alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"),
-            x["left"].alias("left"), x["right"].alias("right")))
+    def of(name: str, valid) -> Column:
+        k = KINDS.index(name) if name in KINDS else None
+        return F.transform(F.filter(F.col(name), lambda x: valid(x["s"])), lambda x: F.struct(
+            F.lit(k).cast("int").alias("k"), F.lit(name == "grouped").alias("grouped"), x["start"].alias("start"),
+            x["end"].alias("end"), x["s"].alias("s"), x["left"].alias("left"), x["right"].alias("right")))
 
-    df = df.select("doc_id", F.concat(*map(of, range(len(KINDS)))).alias("seeds"), of(None).alias("others"))
+    seeds = [of(kind, lambda s, kind=kind: _valid(kind, s)) for kind in KINDS]
+    others = [of("grouped", lambda s: s.rlike(FORMS["phone"]) | s.rlike(FORMS["card"])),
+              of("other", lambda s: F.length(s) >= MIN_CHARS)]
+    df = df.select("doc_id", F.concat(*seeds).alias("seeds"), F.concat(*others).alias("others"))
     return df.select(
         F.monotonically_increasing_id().alias("uid"), "doc_id",
         F.transform("seeds", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"))).alias("base"),
@@ -130,9 +136,12 @@ def mentions(found: DataFrame) -> DataFrame:
     m = found.select("uid", F.explode("mentions").alias("x")).select("uid", "x.*")
     text = Window.partitionBy("uid").orderBy("start", "end")
     seed = F.col("k").isNotNull()
-    before = F.max(F.when(seed, F.col("end"))).over(text.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(seed, F.col("start"))).over(text.rowsBetween(1, Window.unboundedFollowing))
-    free = seed | (F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True)))
+
+    def apart(from_: Column) -> Column:
+        before = F.max(F.when(from_, F.col("end"))).over(text.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.min(F.when(from_, F.col("start"))).over(text.rowsBetween(1, Window.unboundedFollowing))
+        return F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True))
+    free = seed | (F.col("grouped") & apart(seed)) | (~F.col("grouped") & apart(seed | F.col("grouped")))
     left = F.filter(F.split(F.lower("left"), f"[{_WS}]+"), lambda w: w != "")
     right = F.filter(F.split(F.lower("right"), f"[{_WS}]+"), lambda w: w != "")
     two = F.when(F.size("l") >= 2, F.concat(F.lit("2:"), F.array_join(F.slice("l", -2, 2), " ")))

@@ -79,6 +79,16 @@ def test_patterns_find_unseen_identifiers(spark, landed, documents):
     assert got[12] == got[25] == got[26] == ""
 
 
+def test_patterns_find_grouped_numbers(spark, landed, documents):
+    """Contexts learned from international numbers find local ones, whole."""
+    texts = [f"you can call me at +1 212 555 01{i:02} any time" for i in range(12)]
+    unseen = ["555 123 4567", "(555) 123-4567", "030 12 34 56", "212-555-0199", "555.123.4567"]
+    texts += [f"you can call me at {x} any time" for x in unseen] + ["we sold 555 123 4567 of them", "call me at 12 34 any time"]
+    got = {r["doc_id"]: r["spans"] for r in op5_pii(spark, landed(documents=documents(texts))).collect()}
+    assert [got[12 + k] for k in range(len(unseen))] == [f"phone:19:{19 + len(x)}" for x in unseen]
+    assert got[17] == got[18] == ""
+
+
 def test_empty_and_repeated_rows(spark, scratch, documents):
     assert personal_data(documents([]), scratch).count() == 0
     rows = personal_data(documents([(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd")]), scratch).collect()
