@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: the ASCII white space of the contracts: [\x20\x09-\x0D]
@@ -46,6 +46,20 @@ def _fold(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
+def least_hashed(ids: DataFrame, id_: str, by: str, n: int) -> DataFrame:
+    """The ``n`` ids of least hash of every value of ``by``: (id_, by, rank).
+
+    A threshold that follows from each value's count lets few more than ``n`` through,
+    so what is ranked in one task is bounded whatever share of the rows a value has;
+    a repeated id counts once."""
+    h = F.xxhash64(id_)
+    share = F.least(F.lit(1.0), (n + 12 * n ** 0.5 + 50) / F.col("_count"))
+    counts = ids.groupBy(by).agg(F.approx_count_distinct(id_, 0.02).alias("_count"))  # a row a value
+    some = (ids.join(F.broadcast(counts), by).where(h.cast("double") <= share * 1.1 * 2.0 ** 64 - 2.0 ** 63)
+            .select(id_, by).distinct())
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(h, id_))).where(F.col("rank") <= n)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterable[str]:
     """The strings of an Arrow column one after another, null as empty."""
     for x in column:

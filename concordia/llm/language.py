@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.columns import emit, held_out, learnable, table, texts
+from concordia.llm.columns import emit, held_out, learnable, least_hashed, table, texts
 from concordia.llm.features import counts, has_letter, letters
 from concordia.session import Scratch
 
@@ -51,13 +51,11 @@ def vector(words: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sample(docs: DataFrame) -> DataFrame:
     """Labelled rows to learn from: the ids are chosen on narrow rows, and their
-    bounded list meets the texts."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where(learnable() & F.col("lang").isNotNull()).select("doc_id", "lang")
-           .withColumn("r", F.row_number().over(rank)).where(F.col("r") <= FIT_PER_LANGUAGE)
-           .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
+    bounded list meets the texts; of an id that is repeated one text."""
+    ids = least_hashed(docs.where(learnable() & F.col("lang").isNotNull()).select("doc_id", "lang"), "doc_id", "lang", FIT_PER_LANGUAGE)
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     return (docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-            .select("lang", "text"))
+            .groupBy("_id", "lang").agg(F.min("text").alias("text")).select("lang", "text"))
 
 
 _BUCKETS = pa.schema([("bucket", pa.int32()), ("df", pa.int64())])

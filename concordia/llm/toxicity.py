@@ -26,10 +26,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.columns import emit, held_out, learnable, table, texts
+from concordia.llm.columns import emit, held_out, learnable, least_hashed, table, texts
 from concordia.llm.features import Present, letters
 from concordia.llm.ngram_join import broadcast_ids
 from concordia.session import Scratch
@@ -114,11 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     weight = np.zeros(1 << BITS, np.float32)
     if not n or not m:
         return Model(ratio, weight, float(np.log((n + 0.5) / (m + 0.5))))
-    rank = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id")
-    some = (known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= FIT_PER_CLASS)
+    some = (least_hashed(known, "_id", "toxic", FIT_PER_CLASS)
             .select("_id", "toxic", F.xxhash64("_id").alias("order"), F.lit(0).alias("task")))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    found = (docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("task", "order", "toxic", "text")
+    found = (docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+             .groupBy("task", "order", "toxic", "_id").agg(F.min("text").alias("text"))  # one text of a repeated id
+             .select("task", "order", "toxic", "text")
              .groupBy("task").applyInPandas(_regression(shared), "bucket int, weight double").toArrow())
     at, w = found["bucket"].to_numpy(), found["weight"].to_numpy()
     weight[at[at >= 0]] = w[at >= 0]
