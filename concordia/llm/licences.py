@@ -4,7 +4,8 @@ Method: a text's 5-word shingles are cut into overlapping windows of the size of
 each class of templates; windows and templates that agree in a MinHash band are
 candidates, and a candidate is verified by exact containment: at least ``PERCENT``
 percent of the template's shingles stand in the window (and a window's half
-around it).
+around it), among them one that holds its version and one that holds its name
+where other licences' names resemble it: version 2 is not found as version 3.
 
 Windows: a class is a step ``q`` and ``m`` blocks of it.  With m = 5, windows of
 5 q shingles every q shingles have any run of up to 4 q + 1 shingles whole in one
@@ -31,6 +32,7 @@ Defined cases
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +68,49 @@ TEMPLATES = [
             "provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+             "General Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+             "General Public License as published by the Free Software Foundation"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+                "to this work."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
 
+# Names of licences that differ by a word in them.
+NAMES = ["GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"]
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def exact_phrases(text: str) -> list[tuple[int, int]]:
+    """First and last word of what must stand unedited: the version, if it lies within
+    a shingle, and the name of a licence that others resemble."""
+    words = _words(text)
+    digits = [i for i, w in enumerate(words) if any(c.isdigit() for c in w)]
+    out = [(digits[0], digits[-1])] if digits and digits[-1] - digits[0] < WORDS else []
+    for name in map(_words, NAMES):
+        out += [(i, i + len(name) - 1) for i in range(len(words)) if words[i:i + len(name)] == name]
+    return out
+
+
 def with_shingles(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_h``: the 64-bit hashes of the 5-word shingles in their order."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -118,14 +159,16 @@ def band_constant(band: int) -> int:
 
 
 def template_rows(templates: DataFrame) -> list[tuple]:
-    """(template, license_id, class, its shingles); the parameter table, on the driver."""
-    rows = with_shingles(templates).select("license_id", "_h").collect()
+    """(template, license_id, class, its shingles, for each phrase that must stand
+    unedited the shingles that hold it); the parameter table, on the driver."""
+    rows = with_shingles(templates).select("license_id", "text", "_h").collect()
     if any(not r["_h"] for r in rows):
         raise ValueError(f"a licence template has fewer than {WORDS} words")
     if sum(len(r["_h"]) for r in rows) > MAX_SHINGLES:
         raise ValueError(f"licence templates have more than {MAX_SHINGLES} shingles")
     kinds = classes(max((len(r["_h"]) for r in rows), default=1))
-    return [(k, r["license_id"], next(c for c in kinds if len(r["_h"]) <= c.most), list(dict.fromkeys(r["_h"])))
+    return [(k, r["license_id"], next(c for c in kinds if len(r["_h"]) <= c.most), list(dict.fromkeys(r["_h"])),
+             [[h for i, h in enumerate(r["_h"]) if i <= a and z < i + WORDS] for a, z in exact_phrases(r["text"])])
             for k, r in enumerate(rows)]
 
 
@@ -133,15 +176,15 @@ def licences(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, license_id, containment, window_start, n_templates)."""
     spark = docs.sparkSession
     rows = template_rows(templates)
-    bands = [(c.q, c.m, j, min(x ^ band_constant(j) for x in own), k, name, own)
-             for k, name, c, own in rows for j in range(c.bands)]
+    bands = [(c.q, c.m, j, min(x ^ band_constant(j) for x in own), k, name, own, exact)
+             for k, name, c, own, exact in rows for j in range(c.bands)]
     minima = sorted({v ^ band_constant(j) for _, _, j, v, *_ in bands})
     index = F.broadcast(spark.createDataFrame(
-        bands, "q int, m int, band int, value long, template int, license_id string, own array<long>"))
+        bands, "q int, m int, band int, value long, template int, license_id string, own array<long>, exact array<array<long>>"))
     at = "filter(transform(_h, (x, i) -> if({}, i, -1)), i -> i >= 0)".format(
         f"x in ({', '.join(f'{v}L' for v in minima)})" if minima else "false")
     parts = []
-    for c in sorted({c for _, _, c, _ in rows}, key=lambda c: (c.q, c.m)):
+    for c in sorted({c for _, _, c, *_ in rows}, key=lambda c: (c.q, c.m)):
         constants = ", ".join(f"{band_constant(j)}L" for j in range(c.bands))
         starts = f"array_distinct(flatten(transform(_at, p -> sequence(greatest(p div {c.q} - {c.m - 1}, 0L), p div {c.q}))))"
         parts.append(
@@ -156,7 +199,8 @@ def licences(docs: DataFrame, templates: DataFrame) -> DataFrame:
     met = (windows.select("doc_id", "q", "m", "start", "wide", F.posexplode("sig").alias("band", "value"))
            .join(index, ["q", "m", "band", "value"]))
     share = F.size(F.array_intersect("own", "wide"))
-    return (met.withColumn("share", share).where(100 * F.col("share") >= PERCENT * F.size("own"))
+    unedited = F.forall("exact", lambda phrase: F.arrays_overlap(phrase, "wide"))
+    return (met.withColumn("share", share).where((100 * F.col("share") >= PERCENT * F.size("own")) & unedited)
             .groupBy("doc_id", "license_id")
             .agg(F.max(F.col("share") / F.size("own")).alias("containment"), F.min("start").alias("window_start"),
                  F.count_distinct("template").alias("n_templates")))

@@ -47,6 +47,17 @@ def test_edited_notices_are_found_and_less_is_not(spark, documents):
     assert got == {(0, "MIT")}
 
 
+def test_versions_and_resembling_names_are_exact(spark, documents):
+    texts = ["This work is licensed under the GNU General Public License, version 2.",
+             "This work is licensed under the GNU General Public License, version 3.",
+             "This work is licensed under the GNU General Public License, version 4.",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+             "Public License as published by the Free Software Foundation, either version 3 of the License",
+             "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+             "Licensed under the Apache License, Version 1.1."]
+    assert found(licences(documents(texts), default_templates(spark))) == {(0, "GPL-2.0"), (1, "GPL-3.0"), (3, "AGPL")}
+
+
 def test_bands_are_enough():
     for c in classes(2000):
         for n in (c.least, c.most):
