@@ -252,12 +252,13 @@ class NgramJoin:
         self.common = docs.sparkSession.sparkContext.broadcast(common_columns(sets))
 
     def shared_columns(self) -> DataFrame:
-        """(col, sig, lo, rows): the head columns of more than one class; lo is
-        the column's smallest class."""
+        """(col, sig, n, pos, lo, lo_n, rows): the head columns of more than
+        one class; lo is the column's smallest class."""
         heads = self.scratch.cut(self.docs.where("doc_id is not null").select("text")
                                  .mapInArrow(_heads(self.common), "col long, sig long, n int, pos int"), "heads")
-        more = (heads.groupBy("col").agg(F.count("*").alias("rows"), F.min("sig").alias("lo"), F.max("sig").alias("hi"))
-                .where("lo < hi").drop("hi"))
+        least = F.min(F.struct("sig", "n"))
+        more = (heads.groupBy("col").agg(F.count("*").alias("rows"), least.alias("least"), F.max("sig").alias("hi"))
+                .where("least.sig < hi").select("col", "rows", F.col("least.sig").alias("lo"), F.col("least.n").alias("lo_n")))
         shared = self.scratch.cut(heads.join(more, "col").distinct(), "shared")
         self.scratch.drop("heads")
         return shared
@@ -293,15 +294,14 @@ class NgramJoin:
                                              & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)))
                 .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct())
 
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        """Drop the pairs (a, b, overlap) that their sizes rule out; overlap is
-        an upper bound of the overlap of the two heads."""
-        size = self.classes.select("sig", "n")
+    @staticmethod
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Drop the pairs (a, b, na, nb, overlap) that their sizes rule out; overlap
+        is an upper bound of the overlap of the two heads."""
         na, nb = F.col("na"), F.col("nb")
         behind = F.greatest(*(F.floor(n * PERCENT / F.lit(100.0) + 0.999) - 1 for n in (na, nb)))
-        return (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-                .where((100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb))
-                       & ((100 + PERCENT) * (F.col("overlap") + behind) >= PERCENT * (na + nb))).select("a", "b"))
+        return pairs.where((100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb))
+                           & ((100 + PERCENT) * (F.col("overlap") + behind) >= PERCENT * (na + nb))).select("a", "b")
 
     def verified(self, pairs: DataFrame, step: str) -> DataFrame:
         """The pairs whose whole texts are linked."""
@@ -332,22 +332,23 @@ class NgramJoin:
         """(a, b): classes that are linked, enough of them for all components."""
         shared = self.shared_columns()
         small, large = shared.where(F.col("rows") <= SMALL), shared.where(F.col("rows") > SMALL)
-        near = (small.select("col", F.col("sig").alias("a")).join(small.select("col", F.col("sig").alias("b")), "col")
-                .where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap")))
-        near = self.scratch.cut(near, "near")
-        to_first = large.where("sig > lo").groupBy(F.col("lo").alias("a"), F.col("sig").alias("b")).agg(F.lit(0).alias("overlap"))
+        near = (small.select("col", F.col("sig").alias("a"), F.col("n").alias("na"))
+                .join(small.select("col", F.col("sig").alias("b"), F.col("n").alias("nb")), "col")
+                .where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap")))
+        to_first = (large.where("sig > lo").groupBy(F.col("lo").alias("a"), F.col("sig").alias("b"), F.col("lo_n").alias("na"),
+                                                    F.col("n").alias("nb")).agg(F.lit(0).cast("long").alias("overlap")))
         busy = large.groupBy("sig").agg(F.count("*").alias("busy"))
-        pairs = (near.union(to_first).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+        pairs = (near.union(to_first).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
                  .join(busy.toDF("a", "busy_a"), "a", "left").join(busy.toDF("b", "busy_b"), "b", "left")
-                 .select("a", "b", (F.col("overlap") + F.least(F.coalesce("busy_a", F.lit(0)),
-                                                               F.coalesce("busy_b", F.lit(0)))).alias("overlap")))
+                 .select("a", "b", "na", "nb", (F.col("overlap") + F.least(F.coalesce("busy_a", F.lit(0)),
+                                                                           F.coalesce("busy_b", F.lit(0)))).alias("overlap")))
         first = self.verified(self.bounded(pairs), "first")
         comp = components(first, self.scratch)
         large = large.join(comp.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         in_order = Window.partitionBy("sig").orderBy("pos", "col")  # the columns of one text
         large = self.one_column_a_set(large).withColumn("before", F.coalesce(F.lag("col").over(in_order), F.col("sig")))
         large = self.scratch.cut(large, "large")
-        self.scratch.drop("shared", "near")
+        self.scratch.drop("shared")
         main = large.where("sig = lo").select("col", F.col("root").alias("main"))
         outside = self.scratch.cut(large.join(main, "col").where("root <> main")
                                    .select("col", "sig", "n", "pos", "root", "before"), "outside")
