@@ -83,22 +83,29 @@ class Published:
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self._known: dict[int, Commit] = {}
+
+    def _numbers(self) -> list[int]:
+        names = child_names(self.spark, f"{self.base}/_commits")
+        return [int(n[:10]) for n in names if re.fullmatch(r"\d{10}\.json", n)]
+
+    def _commit(self, number: int) -> Commit | None:
+        """A commit, once read kept; None if its marker is not whole."""
+        if number not in self._known:
+            try:
+                d = json.loads(_read_text(self.spark, f"{self.base}/_commits/{number:010d}.json"))
+            except ValueError:
+                return None
+            self._known[number] = Commit(number, d["key"], d["tables"], tuple(d["written"]), d["meta"])
+        return self._known[number]
 
     def commits(self) -> list[Commit]:
-        """All commits, oldest first.  A marker that is not whole is no commit."""
-        out = []
-        for name in child_names(self.spark, f"{self.base}/_commits"):
-            if re.fullmatch(r"\d{10}\.json", name):
-                try:
-                    d = json.loads(_read_text(self.spark, f"{self.base}/_commits/{name}"))
-                except ValueError:
-                    continue
-                out.append(Commit(int(name[:10]), d["key"], d["tables"], tuple(d["written"]), d["meta"]))
-        return out
+        """All commits, oldest first."""
+        return [c for c in map(self._commit, self._numbers()) if c]
 
     def latest(self) -> Commit | None:
-        commits = self.commits()
-        return commits[-1] if commits else None
+        """The newest commit; older markers are not read."""
+        return next((c for c in map(self._commit, reversed(self._numbers())) if c), None)
 
     def find(self, key: str) -> Commit | None:
         return next((c for c in self.commits() if c.key == key), None)
@@ -137,8 +144,7 @@ class Published:
         return commit
 
     def _next_number(self) -> int:
-        names = [n for n in child_names(self.spark, f"{self.base}/_commits") if re.fullmatch(r"\d{10}\.json", n)]
-        return int(names[-1][:10]) + 1 if names else 0
+        return max(self._numbers(), default=-1) + 1
 
     def _mark(self, commit: Commit) -> None:
         jpath, fs = _fs(self.spark, f"{self.base}/_commits/{commit.number:010d}.json")
@@ -153,8 +159,13 @@ class Published:
             out.close()
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete the folders that none of the last ``keep`` commits names."""
-        used = {p.rsplit("/", 2)[1] for c in self.commits()[-keep:] for p in c.tables.values()}
+        """Forget all but the last ``keep`` commits, and delete the folders that none
+        of these names; what is read and listed stays bounded."""
+        kept = self.commits()[-keep:]
+        used = {p.rsplit("/", 2)[1] for c in kept for p in c.tables.values()}
+        for number in self._numbers():
+            if kept and number < kept[0].number:
+                drop_path(self.spark, f"{self.base}/_commits/{number:010d}.json")
         for name in child_names(self.spark, f"{self.base}/data"):
             if name not in used:
                 drop_path(self.spark, f"{self.base}/data/{name}")
