@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,6 @@ SHARE = 0.5
 LONG_RUN = 43
 SALTS = 16
 FILTER_BITS = 20, 27     # least and most, as powers of two
-UNIT_CHARS = 4096        # a longer line or sentence is none of fewer than LEAST words of an item
 REMEMBERED = 400_000     # words of a task
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&`~_-“”‘’«»¿¡…"
@@ -83,6 +83,9 @@ def spaced(text: str) -> str:
     return text if text.isascii() else SPACELESS.sub(r" \g<0> ", text)
 
 
+_WORD = re.compile(r"\S+")
+
+
 def core(word: str) -> str:
     return word.strip(PUNCTUATION)
 
@@ -117,9 +120,8 @@ def short_units(text: str) -> Iterator[tuple[int, int, int]]:
     for line in text.splitlines():
         parts = [line, *_SENTENCE.split(line)] if _SENTENCE.search(line) else [line]
         for part in parts:
-            if len(part) > UNIT_CHARS:
-                continue
-            own = [w for w in (core(x).lower() for x in spaced(part).split()) if w]
+            words = (core(x[0]).lower() for x in _WORD.finditer(spaced(part)))
+            own = list(islice((w for w in words if w), LEAST))  # more than a few words are no short item
             if 0 < len(own) < LEAST:
                 yield place, len(own), xxhash.xxh3_64_intdigest(" ".join(own), seed=len(own))
             place += 1

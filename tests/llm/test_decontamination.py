@@ -75,3 +75,11 @@ def test_scripts_without_spaces(found):
     got = found([f"今天天气很好我们去公园{item}请回答这个问题", "今天天气很好我们去公园请回答这个问题", f"前文\n法国\n后文"],
                 [(1, item), (2, "法国")])
     assert set(got) == {(0, 1), (2, 2)}
+
+
+def test_a_short_item_on_a_line_of_any_length(found):
+    """Few words are a short item however many characters they have; white space counts nothing."""
+    item = f"{'x' * 6000} end mark"
+    got = found([f"{OTHER}.\n{item}\n{OTHER}", f"{OTHER}.\n{' ' * 9000}name the{' ' * 9000}capital\n", f"{'y' * 6000} end mark"],
+                [(1, item), (2, "name the capital")])
+    assert set(got) == {(0, 1), (1, 2)}
