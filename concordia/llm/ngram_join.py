@@ -216,13 +216,12 @@ def _same(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _wide(text: pa.Array) -> pa.Array:
-    return pa.array([sketch(shingles(t.as_py() or b""), WIDE).tobytes() for t in text.cast(pa.binary())], pa.binary())
+    return pa.array([sketch(shingles(t.as_py() or b""), WIDE).view(np.int64) for t in text.cast(pa.binary())], pa.list_(pa.int64()))
 
 
-def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
+def _differ(a: Column, b: Column) -> Column:
     """How many bits of two sketches differ."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
-    return pa.array(np.bitwise_count(x ^ y).sum(axis=1), pa.int64())
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
 
 
 def _signatures(text: pa.Array) -> pa.Array:
@@ -312,10 +311,11 @@ class NgramJoin:
         if self.repeated:  # an id may stand for several texts
             whole = (whole.where(F.arrow_udf(_signatures, "long")("text") == F.col("sig"))
                      .groupBy("sig", "n").agg(F.min("text").alias("text")))
-        whole = self.scratch.cut(whole.withColumn("bits", F.arrow_udf(_wide, "binary")("text")), f"texts-{step}")
+        whole = self.scratch.cut(whole.withColumn("bits", F.arrow_udf(_wide, "array<bigint>")("text")), f"texts-{step}")
         brief, full = whole.select("sig", "n", "bits"), whole.select("sig", "text")
-        close = (pairs.join(brief.toDF("a", "na", "xa"), "a").join(brief.toDF("b", "nb", "xb"), "b")
-                 .where((100 + PERCENT) * F.arrow_udf(_differ, "long")("xa", "xb") <= (100 - PERCENT) * (F.col("na") + F.col("nb"))))
+        near = (100 + PERCENT) * _differ(F.col("xa"), F.col("xb")) <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
+        close = (pairs.join(brief.toDF("a", "na", "xa"), "a")
+                 .join(brief.toDF("sig", "nb", "xb"), (F.col("b") == F.col("sig")) & near))
         close = self.scratch.cut(close.select("a", "b"), f"close-{step}")
         both = close.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b")
         links = self.scratch.cut(both.where(F.arrow_udf(_same, "boolean")("ta", "tb")).select("a", "b"), f"links-{step}")
