@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from concordia.config import MatchConfig
 from concordia.operators import candidates, match
-from concordia.operators.match import prepare_catalog, prepare_source, score_candidates
+from concordia.operators.match import match_single_pass, prepare_catalog, prepare_source, score_candidates
 
 CATALOG = "catalog_id string, uri string, isrc string, duration_ms int, popularity int, name string, artist string"
 
@@ -62,3 +62,15 @@ def test_no_pairs_give_no_rows(spark):
     source, catalog = _tables(spark)
     nothing = source.withColumn("title", F.lit("unheard"))
     assert score_candidates(prepare_source(nothing, "position"), prepare_catalog(catalog), MatchConfig(), True).count() == 0
+
+
+def test_one_file_is_normalised_by_many_tasks(spark):
+    source, catalog = (df.coalesce(1) for df in _tables(spark))
+    assert prepare_source(source, "position").rdd.getNumPartitions() >= 4
+    assert prepare_catalog(catalog).rdd.getNumPartitions() >= 4
+
+
+def test_a_single_pass_normalises_both_sides_once(spark, written):
+    source, catalog = _tables(spark)
+    assert match_single_pass(source, catalog, "title_artist").count() == 80
+    assert (written["prepared"], written["catalog-index"]) == (80, 61)
