@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from concordia.config import MatchConfig
 from concordia.operators.match import CatalogIndex, build_catalog_index, match_waterfall
-from concordia.session import cut_lineage
+from concordia.session import cut_lineage, spread
 from concordia.sources.published import Published
 
 SLICES = 8
@@ -35,7 +35,7 @@ def resolve_in_slices(rows: DataFrame, catalog: DataFrame | CatalogIndex, base:
     todo = [k for k in range(slices) if _key(run_id, k, slices) not in done]
     if not todo:
         return True
-    rows = cut_lineage(rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices))), "to-resolve")
+    rows = cut_lineage(spread(rows).withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices))), "to-resolve")
     index = catalog if isinstance(catalog, CatalogIndex) else build_catalog_index(catalog, cfg)
     for k in todo if stop_after is None else todo[:stop_after]:
         part = rows.where(F.col("_slice") == k)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.config import MatchConfig
-from concordia.operators import candidates, match
+from concordia.operators import candidates, classes, match
 from concordia.operators.match import match_single_pass, prepare_catalog, prepare_source, score_candidates
 
 CATALOG = "catalog_id string, uri string, isrc string, duration_ms int, popularity int, name string, artist string"
@@ -74,3 +74,26 @@ def test_a_single_pass_normalises_both_sides_once(spark, written):
     source, catalog = _tables(spark)
     assert match_single_pass(source, catalog, "title_artist").count() == 80
     assert (written["prepared"], written["catalog-index"]) == (80, 61)
+
+
+def test_pairs_of_one_small_file_are_bounded_by_many_tasks(spark, monkeypatch):
+    """The pairs of a few classes and many probes: next to no bytes, but work for all tasks."""
+    tasks = {}
+    real = classes.cut_lineage
+
+    def cut(df, name="stage", path=None):
+        out = real(df.withColumn("_task", F.spark_partition_id()), name, path)
+        tasks[name] = out.select("_task").distinct().count()
+        return out.drop("_task")
+    monkeypatch.setattr(classes, "cut_lineage", cut)
+    source, catalog = (df.coalesce(1) for df in _tables(spark))
+    assert match_single_pass(source, catalog, "title_artist").count() == 80
+    assert tasks["probe-classes"] >= 4
+
+
+def test_character_counts(spark):
+    texts = ["", "blue moon", "a\nb\x00", "żółw 日\U0001f600x", "$1\\0", None]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", classes.char_counts(F.col("s")).alias("n")).collect()
+    for r in got:
+        want = [None] * 16 if r.s is None else [sum(ord(c) % 16 == k for c in r.s) for k in range(16)]
+        assert r.n == want
