@@ -23,6 +23,8 @@ What keeps it whole and bounded under skew
   one links every class to its smallest class first, which is as many pairs as
   it has rows.  What is then one component needs no further pair; only classes
   that are outside their column's main component are multiplied with the rest.
+  Where that would be many pairs, they first meet ``HUBS`` classes of their column,
+  then 4 times as many, and what is found joins its component before the next round.
   So a large group of near copies costs pairs in proportion to its size, and no
   link between different components is left out;
 * columns of the same classes count as one, and the join itself keeps the pairs
@@ -64,6 +66,8 @@ MAX_COMMON = 1 << 22    # most columns that can count as common
 LEAST_COMMON = 16       # documents that a common column has at least
 SKETCH = 1024           # bits of an odd sketch
 WIDE = 16384            # bits of the sketches that pairs are told apart by before their texts are read
+HUBS = 16               # classes of a column that those outside its main component meet first, then 4 times as many
+CROWDED = 4             # how many times the pairs of such a round all pairs must be for it to come before them
 BROADCAST_IDS = 1 << 20  # ids (8 bytes each) up to which a side is broadcast
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -271,14 +275,14 @@ class NgramJoin:
         kind = ["_rows", "_h", "_g"]
         sets = self.scratch.cut(sets, "column-sets")
         of = sets.join(sets.groupBy(*kind).agg(F.min("col").alias("_col")), kind).select("col", "_col")
-        return (large.join(of, "col").groupBy(F.col("_col").alias("col"), "sig", "n", "lo", "root")
-                .agg(F.min("pos").alias("pos")).select("col", "sig", "n", "pos", "lo", "root"))
+        return (large.join(of, "col").groupBy(F.col("_col").alias("col"), "sig", "n", "lo")
+                .agg(F.min("pos").alias("pos")).select("col", "sig", "n", "pos", "lo"))
 
-    def unlinked_pairs(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
+    def unlinked_pairs(self, outside: DataFrame, inside: DataFrame, again: bool = False) -> DataFrame:
         """(a, b) of different components that share a column, as far as sizes,
         positions and sketches let them be linked; both sides are (col, sig, n,
         pos, root, before).  Where the column before is the same too, the pair has
-        been made there."""
+        been made there, unless not all rows of a column are on a side (``again``)."""
         bits = self.classes.select("sig", *_BITS)
 
         def described(rows, side):
@@ -288,7 +292,7 @@ class NgramJoin:
         n, m = F.col("x_n"), F.col("y_n")
         return (described(outside, "x").join(described(inside, "y"), (F.col("x_col") == F.col("y_col"))
                                              & (F.col("x_root") != F.col("y_root"))
-                                             & (F.col("x_before") != F.col("y_before"))
+                                             & (F.lit(again) | (F.col("x_before") != F.col("y_before")))
                                              & _may_link(n, m, F.col("x_pos"), F.col("y_pos"))
                                              & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)))
                 .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct())
@@ -342,18 +346,47 @@ class NgramJoin:
                  .join(busy.toDF("a", "busy_a"), "a", "left").join(busy.toDF("b", "busy_b"), "b", "left")
                  .select("a", "b", "na", "nb", (F.col("overlap") + F.least(F.coalesce("busy_a", F.lit(0)),
                                                                            F.coalesce("busy_b", F.lit(0)))).alias("overlap")))
-        first = self.verified(self.bounded(pairs), "first")
-        comp = components(first, self.scratch)
-        large = large.join(comp.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        in_order = Window.partitionBy("sig").orderBy("pos", "col")  # the columns of one text
-        large = self.one_column_a_set(large).withColumn("before", F.coalesce(F.lag("col").over(in_order), F.col("sig")))
-        large = self.scratch.cut(large, "large")
+        found = self.verified(self.bounded(pairs), "first")
+        large = self.scratch.cut(self.one_column_a_set(large), "large")
         self.scratch.drop("shared")
-        main = large.where("sig = lo").select("col", F.col("root").alias("main"))
-        outside = self.scratch.cut(large.join(main, "col").where("root <> main")
-                                   .select("col", "sig", "n", "pos", "root", "before"), "outside")
-        inside = large.join(outside.select("col").distinct(), "col", "left_semi").select("col", "sig", "n", "pos", "root", "before")
-        return first.union(self.verified(self.unlinked_pairs(outside, inside), "cross"))
+        outside, inside = self.sides(large, components(found, self.scratch), 0)
+        hubs, step = HUBS, 0
+        while self.crowded(outside, inside, hubs):
+            step += 1
+            more = self.verified(self.unlinked_pairs(outside, self.hubs(inside, hubs, step), again=True), f"round-{step}")
+            if not more.take(1):
+                break
+            found = self.scratch.cut(found.union(more), "found")
+            outside, inside = self.sides(large, components(found, self.scratch), step)
+            hubs *= 4
+        return found.union(self.verified(self.unlinked_pairs(outside, inside), "cross"))
+
+    def sides(self, large: DataFrame, comp: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``large`` that are outside their column's main component, and all rows of their columns."""
+        in_order = Window.partitionBy("sig").orderBy("pos", "col")  # the columns of one text
+        rows = (large.join(comp.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+                .withColumn("before", F.coalesce(F.lag("col").over(in_order), F.col("sig"))))
+        rows = self.scratch.cut(rows, f"rooted-{step}")
+        main = rows.where("sig = lo").select("col", F.col("root").alias("main"))
+        columns = ["col", "sig", "n", "pos", "root", "before"]
+        outside = self.scratch.cut(rows.join(main, "col").where("root <> main").select(*columns), f"outside-{step}")
+        inside = rows.join(outside.select("col").distinct(), "col", "left_semi").select(*columns)
+        return outside, self.scratch.cut(inside, f"inside-{step}")
+
+    @staticmethod
+    def crowded(outside: DataFrame, inside: DataFrame, hubs: int) -> bool:
+        """Whether all pairs of the columns are many more than those with ``hubs`` classes of each."""
+        counts = (outside.groupBy("col").agg(F.count("*").cast("double").alias("o"))
+                  .join(inside.groupBy("col").agg(F.count("*").cast("double").alias("i")), "col"))
+        pairs, rows = counts.agg(F.sum(F.col("o") * F.col("i")), F.sum("o")).first()
+        return (pairs or 0) > CROWDED * hubs * (rows or 0)
+
+    @staticmethod
+    def hubs(inside: DataFrame, hubs: int, step: int) -> DataFrame:
+        """``hubs`` classes of each column, others in each round: those of least hash,
+        which are the same ones in columns of the same group."""
+        least = Window.partitionBy("col").orderBy(F.xxhash64("sig", F.lit(step)), "sig")
+        return inside.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= hubs).drop("_r")
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row per row of the table."""

@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -156,3 +157,22 @@ def test_ngram_join_equals_brute_force(spark, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.op10_ngram_jaccard_join(spark, SF).collect()}
     assert got == components_of(texts)
     assert len({c for _, c in got.values()}) < len(got)
+
+
+def test_near_copies_of_one_component_are_not_all_paired(spark, scratch, documents, monkeypatch):
+    """5 of 10 edits each: a text is linked with the 25 that swap one edit, and so with all."""
+    def text(edits):
+        return " ".join(f"new{k}" if k % 10 == 5 and k // 10 in edits else f"word{k}" for k in range(100))
+    docs = documents([text(e) for e in combinations(range(10), 5)] + ["another text of its own here"])
+    paired = {}
+    real = ngram_join.Scratch.cut
+
+    def cut(self, df, name):
+        out = real(self, df, name)
+        if name.startswith("pairs-"):
+            paired[name] = out.count()
+        return out
+    monkeypatch.setattr(ngram_join.Scratch, "cut", cut)
+    got = {r.doc_id: r.component_id for r in ngram_join.NgramJoin(docs, scratch).result().collect()}
+    assert got == {**{i: 0 for i in range(252)}, 252: 252}
+    assert sum(paired.values()) <= 252 * 6, paired
