@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm.columns import emit, table, texts
-from concordia.llm.quality import SPACELESS
+from concordia.llm.word_model import SPACELESS
 from concordia.session import Scratch
 
 WIDTH = 8

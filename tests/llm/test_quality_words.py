@@ -1,12 +1,17 @@
 """Word order: the trigram tables against a plain model, and planted texts."""
 
+import contextlib
 import math
+import os
 import random
+import re
+import threading
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from concordia.llm import quality
+from concordia.llm import quality, word_model
 from concordia.session import Scratch
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,3 +98,70 @@ def test_planted_texts_are_rejected(spark, landed):
     assert not any(kept[300:305]), "word salad"
     assert not any(kept[305:308]), "another language"
     assert not any(kept[308:]), "boilerplate"
+
+
+@pytest.fixture()
+def small_groups(monkeypatch):
+    for name, value in {"GROUP": 40, "HEAVY": 60, "WORDS": 150, "FREQUENT": 1 << 20}.items():
+        monkeypatch.setattr(word_model, name, value)
+
+
+def test_word_scores_of_many_groups_equal_a_plain_model(spark, small_groups):
+    """Frequent middle words have groups of their own, texts are in parts, copies count as often as they are there."""
+    rng = random.Random(4)
+    texts = [sentences(rng, rng.randrange(1, 9), ["cat", "Dog", "log,", "12"], ["see", "eat"]) for _ in range(60)]
+    texts = sorted({*texts, sentences(rng, 60, ["cat", "owl"], ["see", "go"])})
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    other = docs.where("doc_id < 20").selectExpr("doc_id", "upper(text) text", "cast(null as string) lang", "source", "n_chars")
+    with Scratch(spark, "t") as s:
+        got = dict(map(tuple, word_model.word_scores(docs.unionByName(other), s).collect()))
+    for t, x in plain_log_perplexity(texts).items():
+        assert got[quality.text_key(t.encode(), "en")] == pytest.approx(x, rel=1e-9)
+    assert len(got) == len(texts) + 20
+
+
+def test_heavy_words_are_dealt(small_groups):
+    plan = word_model.Plan(1000, {7: 130, 90: 61})
+    assert plan.groups == 25 and plan.parts.tolist() == [4, 2] and plan.starts.tolist() == [25, 29]
+    assert [plan.heavy_word(g) for g in (0, 24, 25, 28, 29, 30)] == [None, None, 7, 7, 90, 90]
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(0)
+    for x in (np.array([], np.uint32), np.sort(rng.integers(0, 1 << 32, 1000).astype(np.uint32)), np.array([3, 3, 1 << 31], np.uint32)):
+        assert (word_model.unpack(word_model.pack(x, True), True) == x).all()
+        assert (word_model.unpack(word_model.pack(x[::-1])) == x[::-1]).all()
+
+
+def test_disk_of_word_scores(spark, landed):
+    """Shuffled and written bytes that lie at a time, a trigram."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(1000)), "en", "s", 1) for i in range(300)]
+    folder = landed(documents=spark.createDataFrame(rows, DOCUMENTS))
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def lying(dirs):
+        total = 0
+        for top in dirs:
+            for d, _, names in os.walk(top):
+                for name in names:
+                    with contextlib.suppress(OSError):
+                        total += os.path.getsize(f"{d}/{name}")
+        return total
+
+    with Scratch(spark, "t") as s:
+        dirs.append(re.sub("^file:/*", "/", s.path))
+        before, most, over = lying(dirs), [0], threading.Event()
+
+        def watch():
+            while not over.wait(0.02):
+                most[0] = max(most[0], lying(dirs))
+
+        watcher = threading.Thread(target=watch)
+        watcher.start()
+        quality.word_scores(spark.read.parquet(f"{folder}/documents.parquet"), s).collect()
+        over.set()
+        watcher.join()
+    assert 0 < most[0] - before < 14 * 301 * 1000
