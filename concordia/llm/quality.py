@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm.columns import emit, table
 from concordia.llm.word_model import NO_LANGUAGE, normal_word, text_key, word_hashes, word_scores  # noqa: F401
-from concordia.llm.word_model import WordHashes as _WordHashes  # noqa: F401
+from concordia.llm.word_model import Words as _WordHashes  # noqa: F401
 from concordia.session import Scratch
 
 ORDER = 4

@@ -33,8 +33,8 @@ from concordia.llm.columns import emit
 from concordia.session import Scratch, shuffles_dropped
 
 NO_LANGUAGE = "und"
-KNOWN_WORDS = 1 << 20   # hashes of words that a task remembers
-WORDS = 1 << 20         # words that a task packs at a time
+WORDS = 1 << 20         # words of a row of tokens
+PIECE = 1 << 17         # bytes that are hashed at a time
 GROUP = 1 << 19         # trigrams of a group, about
 HEAVY = GROUP           # trigrams of one middle word that are split
 FREQUENT = 1 << 12      # a word is looked at as heavy if it is one of so many of a row of tokens
@@ -45,38 +45,93 @@ SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
                         "\uf900-\ufaff\U00020000-\U0003ffff]")
 _HIGH = re.compile(b"[\xe0-\xff]")  # bytes that begin the characters of these scripts, among others
 _EDGES = ".,;:!?'\"()[]{}«»„“”‘’…。、，！？"
-_ASCII_EDGES = b".,;:!?'\"()[]{}"
+_DIGITS = re.compile(r"\d+")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_GAP = re.compile(rb"[ \t-\r]")
+_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)  # of the bytes of a word
+_FACTOR = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _UP = np.uint64(32)
+_MIX = np.uint32(0x9E3779B1)
 
 
-def normal_word(word: str) -> str:
-    """Lower case, without marks at its edges, any number as 0."""
-    word = word.lower()
-    return re.sub(r"\d+", "0", word.strip(_EDGES) or word)
+def normal_words(words: str) -> str:
+    """Of words with line feeds between them: lower case, without marks at their edges, any number as 0."""
+    return _DIGITS.sub("0", "\n".join([w.strip(_EDGES) or w for w in words.lower().split("\n")]))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        plain = word.strip(_ASCII_EDGES)
-        if plain.isalpha():  # ASCII letters: what normal_word makes of them
-            plain = plain.lower()
-        else:
-            plain = normal_word(word.decode("utf-8", "replace")).encode()
-        self[word] = value = int.from_bytes(blake2b(plain, digest_size=4).digest(), "little", signed=True)
-        return value
+def normal_word(word: str) -> str:
+    return normal_words(word)
+
+
+class Words:
+    """The hashes of the words of texts: 64-bit polynomials of their bytes, computed for all
+    words at once.  By that of its own bytes each different word of a call is found, by that
+    of its normal form it is named."""
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            self.power, self.inverse = (np.cumprod(np.full(n, x, np.uint64)) for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+    def _marks(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, polynomial) of the words of a piece of text."""
+        n = len(piece)
+        self._grow(n)
+        space = np.ones(n + 2, bool)
+        space[1:-1] = _SPACE[piece]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[piece] * self.power[:n], out=sums[1:])
+        return starts, ends, (sums[ends] - sums[starts]) * self.inverse[starts]
+
+    def _all_marks(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts, k = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)], 0
+        while k < len(joined):  # pieces end with a word
+            gap = _GAP.search(joined, min(k + PIECE, len(joined)))
+            to = gap.start() if gap else len(joined)
+            starts, ends, mark = self._marks(np.frombuffer(joined, np.uint8, to - k, k))
+            parts.append((starts + k, ends + k, mark))
+            k = to + 1
+        starts, ends, mark = map(np.concatenate, zip(*parts))
+        return starts, ends, mark
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, their number for each text); 0, twice before and once after a text, is its edge."""
+        joined = b"\n".join(texts)
+        starts, ends, mark = self._all_marks(joined)
+        if not len(mark):
+            return np.zeros(3 * len(texts), np.int32), np.full(len(texts), 3)
+        limits = np.cumsum([len(t) + 1 for t in texts])
+        n = np.diff(np.searchsorted(starts, limits), prepend=0)
+        order = np.argsort(mark)
+        mark = mark[order]
+        new = np.ones(len(mark), bool)
+        new[1:] = mark[1:] != mark[:-1]
+        one = order[new]
+        different = b"\n".join([joined[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())])
+        hashes = self._all_marks(normal_words(different.decode("utf-8", "replace")).encode())[2]
+        hashes ^= hashes >> _UP
+        hashes = (hashes * _VALUES[0] >> _UP).astype(np.uint32).view(np.int32)
+        out = np.zeros(len(mark) + 3 * len(texts), np.int32)
+        place = np.arange(len(mark)) + np.repeat(3 * np.arange(len(texts)) + 2, n)
+        out[place[order]] = hashes[np.cumsum(new) - 1]
+        return out, n + 3
+
+
+def spaced(text: bytes) -> bytes:
+    """Text of scripts without spaces with a space around each character."""
+    if not text.isascii() and _HIGH.search(text):
+        return SPACELESS.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
+    return text
 
 
-def word_hashes(text: bytes, known: WordHashes) -> np.ndarray:
-    """The hash of every word; 0, twice before and once after, is the edge of the text."""
-    if not text.isascii() and _HIGH.search(text):
-        text = SPACELESS.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
-    words = text.split()
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    out = np.zeros(len(words) + 3, np.int32)
-    out[2:-1] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-    return out
+def word_hashes(text: bytes, words: Words) -> np.ndarray:
+    """The hash of every word of a text, and of its edges."""
+    return words([spaced(text)])[0]
 
 
 def text_key(text: bytes, lang: str) -> int:
@@ -117,18 +172,6 @@ def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high.astype(np.uint64) << _UP) | low.astype(np.uint64)
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one row of each kind, how many there are)."""
-    h = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    order = np.argsort(h)
-    h = h[order]
-    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return order[new], np.diff(new, append=len(h))
-
-
 # ---- the words of the texts
 
 _TOKENS = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()),
@@ -139,13 +182,11 @@ _TOKENS_DDL = ("lang string, n long, keys binary, sizes binary, codes binary, vo
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of up to some ``WORDS`` words of texts of one language."""
-    known, waiting, size = WordHashes(), {}, {}
+    words, waiting, size = Words(), {}, {}
 
-    def settled(lang: str) -> pa.RecordBatch:
-        keys, words = zip(*waiting.pop(lang))
-        size.pop(lang)
-        sizes = np.array([len(w) for w in words], np.uint32)
-        vocabulary, code = _kinds(np.concatenate(words).view(np.uint32))
+    def row(lang: str, keys: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(w) for w in parts], np.uint32)
+        vocabulary, code = _kinds(np.concatenate(parts).view(np.uint32))
         times = np.bincount(code)
         by_times = np.argsort(-times)
         rank = np.empty(len(by_times), np.uint32)
@@ -155,23 +196,36 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return emit(_TOKENS, [lang], [len(code) - 2 * len(sizes)], [np.array(keys, np.int64).tobytes()], [pack(sizes)],
                     [pack(rank[code])], [vocabulary.tobytes()], [vocabulary[:frequent].view(np.int32)], [times[:frequent]])
 
+    def settled(lang: str) -> Iterator[pa.RecordBatch]:
+        keys, texts = zip(*waiting.pop(lang))
+        size.pop(lang)
+        all_words, sizes = words(texts)
+        own, parts, n = [], [], 0
+        for key, i, j in zip(keys, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+            if j - i == 3:  # no words
+                continue
+            for k in range(i, j - 2, WORDS):  # a part knows the words around it
+                own.append(key)
+                parts.append(all_words[k:min(k + WORDS + 2, j)])
+                n += len(parts[-1])
+                if n >= WORDS:
+                    yield row(lang, own, parts)
+                    own, parts, n = [], [], 0
+        if own:
+            yield row(lang, own, parts)
+
     for b in batches:
         for text, lang in zip(b.column(0).cast(pa.binary()), b.column(1)):
             text, lang = text.as_py() or b"", lang.as_py() or NO_LANGUAGE
-            words = word_hashes(text, known)
-            if len(words) == 3:  # no words
-                continue
-            key = text_key(text, lang)
-            for k in range(0, len(words) - 2, WORDS):  # a part knows the words around it
-                waiting.setdefault(lang, []).append((key, words[k:k + WORDS + 2]))
-                size[lang] = size.get(lang, 0) + min(len(words) - k, WORDS + 2)
-                if size[lang] >= WORDS:
-                    yield settled(lang)
-            if sum(size.values()) >= 4 * WORDS:
+            waiting.setdefault(lang, []).append((text_key(text, lang), spaced(text)))
+            size[lang] = size.get(lang, 0) + len(waiting[lang][-1][1])
+            if size[lang] >= 6 * WORDS:
+                yield from settled(lang)
+            if sum(size.values()) >= 24 * WORDS:
                 for name in list(waiting):
-                    yield settled(name)
+                    yield from settled(name)
     for name in list(waiting):
-        yield settled(name)
+        yield from settled(name)
 
 
 # ---- trigrams, dealt to groups
@@ -204,13 +258,13 @@ _CELLS_DDL = "lang string, g int, blob long, a binary, b binary, c binary, text
 
 
 def _cells(plans: dict[str, Plan], part: int, slices: int, per_text: bool):
-    """The different trigrams of a row of tokens (``per_text``: of each of its texts) for
-    every group of a slice.  ``text`` ends with the bit of the text's half."""
+    """The trigrams of a row of tokens (``per_text``: of each of its texts) and how often they
+    are there, for every group of a slice.  ``text`` ends with the bit of the text's half."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 plan, vocabulary = plans[row["lang"]], np.frombuffer(row["vocabulary"], np.uint32)
-                code, sizes = unpack(row["codes"]), unpack(row["sizes"]).astype(np.int64)
+                code, sizes = unpack(row["codes"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
                 heavy = plan.heavy_place(vocabulary)
                 group = (vocabulary % np.uint32(plan.groups)).astype(np.int64)
                 wanted = ((group % slices == part) | (heavy >= 0))[code]
@@ -228,16 +282,19 @@ def _cells(plans: dict[str, Plan], part: int, slices: int, per_text: bool):
                 keep = np.flatnonzero(group % slices == part)
                 if not len(keep):
                     continue
-                first, times = _distinct(a[keep], b[keep], c[keep], text[keep])
-                first = keep[first]
-                order = np.argsort(_pairs(b[first], a[first]))
-                order = order[np.argsort(group[first[order]], kind="stable")]
-                first, times = first[order], times[order]
-                a, b, c, text, group = a[first], b[first], c[first], text[first], group[first]
+                a, b, c, text, group = (x[keep] for x in (a, b, c, text, group))
+                order = np.argsort(_pairs(b, (a * _MIX ^ c) * _MIX ^ text))  # equal trigrams come together
+                order = order[np.argsort(group[order] // slices, kind="stable")]
+                a, b, c, text, group = (x[order] for x in (a, b, c, text, group))
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (text[1:] != text[:-1])
+                new = np.flatnonzero(new)
+                times = np.diff(new, append=len(a))
+                a, b, c, text, group = (x[new] for x in (a, b, c, text, group))
                 cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
                 spans = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:])]
                 yield emit(_CELLS, [row["lang"]] * len(spans), group[cuts[:-1]], [row["blob"]] * len(spans),
-                           [pack(a[s]) for s in spans], [pack(b[s], True) for s in spans], [pack(c[s]) for s in spans],
+                           [a[s].tobytes() for s in spans], [pack(b[s], True) for s in spans], [c[s].tobytes() for s in spans],
                            [pack(text[s]) for s in spans], [pack(times[s]) for s in spans])
     return run
 
@@ -246,9 +303,9 @@ class Grams:
     """The grams of a group: ``n3``, ``n2`` and ``n1`` count for the model of either half, which is made of the other."""
 
     def __init__(self, cells: pa.Table):
-        a, b, c, self.text, self.times = (
-            np.concatenate([unpack(x.as_py(), k == "b") for x in cells.column(k)]) for k in ("a", "b", "c", "text", "times"))
-        self.rows = [int.from_bytes(x.as_py()[:4], "little") for x in cells.column("a")]
+        a, c = (np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in cells.column(k)]) for k in ("a", "c"))
+        b, self.text, self.times = (np.concatenate([unpack(x.as_py(), k == "b") for x in cells.column(k)]) for k in ("b", "text", "times"))
+        self.rows = [len(x.as_py()) // 4 for x in cells.column("a")]
         pair, of = _kinds(_pairs(b, a))
         gram, self.gram = _kinds(_pairs(of, c))
         half = self.text & 1
@@ -396,8 +453,15 @@ def _score(plans: dict[str, Plan], stats: dict[tuple, list[int]]):
         own = grams.times * np.where(grams.text & 1, log_p[1][grams.gram], log_p[0][grams.gram])
         rows, start = [], 0
         for blob, n in zip(cells.column("blob").to_pylist(), grams.rows):
-            text, of = _kinds(grams.text[start:start + n] >> np.uint32(1))
-            rows.append((blob, pack(text, True), np.bincount(of, own[start:start + n]).tobytes()))
+            text, log = grams.text[start:start + n] >> np.uint32(1), own[start:start + n]
+            if text.max() < 8 * n:
+                total = np.bincount(text, log)
+                text = np.flatnonzero(np.bincount(text))
+                total = total[text]
+            else:
+                text, of = _kinds(text)
+                total = np.bincount(of, log)
+            rows.append((blob, pack(text, True), total.tobytes()))
             start += n
         return _table(_SUMS, rows)
     return run
