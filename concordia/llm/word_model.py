@@ -48,7 +48,7 @@ _EDGES = ".,;:!?'\"()[]{}«»„“”‘’…。、，！？"
 _DIGITS = re.compile(r"\d+")
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _GAP = re.compile(rb"[ \t-\r]")
-_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)  # of the bytes of a word
+_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)  # of the bytes of a word
 _FACTOR = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _UP = np.uint64(32)
@@ -65,9 +65,8 @@ def normal_word(word: str) -> str:
 
 
 class Words:
-    """The hashes of the words of texts: 64-bit polynomials of their bytes, computed for all
-    words at once.  By that of its own bytes each different word of a call is found, by that
-    of its normal form it is named."""
+    """The hashes of the normal forms of the words of texts.  Each different word of a call is
+    hashed once; it is found by a 64-bit polynomial of its bytes, computed for all words at once."""
 
     def __init__(self):
         self.power = self.inverse = np.ones(1, np.uint64)
@@ -113,9 +112,8 @@ class Words:
         new[1:] = mark[1:] != mark[:-1]
         one = order[new]
         different = b"\n".join([joined[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())])
-        hashes = self._all_marks(normal_words(different.decode("utf-8", "replace")).encode())[2]
-        hashes ^= hashes >> _UP
-        hashes = (hashes * _VALUES[0] >> _UP).astype(np.uint32).view(np.int32)
+        normal = normal_words(different.decode("utf-8", "replace")).encode().split(b"\n")
+        hashes = np.frombuffer(b"".join([blake2b(w, digest_size=4).digest() for w in normal]), "<i4")
         out = np.zeros(len(mark) + 3 * len(texts), np.int32)
         place = np.arange(len(mark)) + np.repeat(3 * np.arange(len(texts)) + 2, n)
         out[place[order]] = hashes[np.cumsum(new) - 1]
