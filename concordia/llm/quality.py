@@ -84,6 +84,44 @@ def grams(words: bytes, order: int = ORDER) -> np.ndarray:
     return key
 
 
+class Sections:
+    """Keys of the symbols of texts, many texts at a time; a long text in sections of ``SLICE`` symbols."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.parts: list[bytes] = []
+        self.texts: list[int] = []
+        self.size = 0
+
+    def add(self, i: int, words: bytes) -> Iterator[None]:
+        """Waits with the text ``i``, and stops wherever enough symbols wait."""
+        before = self.order - 1
+        padded = b" " * before + words + b" "
+        for k in range(0, len(words) + 1, SLICE):  # a section knows the symbols before it
+            self.parts.append(padded[k:k + SLICE + before])
+            self.texts.append(i)
+            self.size += len(self.parts[-1]) - before
+            if self.size >= SLICE:
+                yield
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key that ends at each symbol, text of each section, start of each section).  The first
+        ``order - 1`` symbols of a section belong to its first key; keys across two sections are 0."""
+        before = self.order - 1
+        symbols = CLASSES[np.frombuffer(b"".join(self.parts), np.uint8)].astype(np.int32)
+        n = len(symbols) - before
+        key = symbols[:n].copy()
+        for k in range(1, self.order):
+            key <<= BITS
+            key |= symbols[k:k + n]
+        starts = np.cumsum([0, *map(len, self.parts)])
+        across = (starts[1:-1, None] - np.arange(1, before + 1)).ravel()
+        texts = np.array(self.texts)
+        self.parts, self.texts, self.size = [], [], 0
+        key[across] = 0
+        return key, texts, starts[:-1]
+
+
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out, at = np.unique(keys, return_inverse=True)
     return out, np.bincount(at, counts, len(out)).astype(np.int64)
@@ -95,27 +133,29 @@ _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64
 def _count_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        waiting: dict[str, list[np.ndarray]] = {}
-        size = 0
+        waiting: dict[str, Sections] = {}
 
         def settle():
-            for lang, parts in waiting.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            for lang, sections in waiting.items():
+                if not sections.parts:
+                    continue
+                keys, _, starts = sections.keys()
+                keys, n = np.unique(keys, return_counts=True)
+                n[0] -= (len(starts) - 1) * (order - 1)  # the keys across sections, which are 0 as that of a blank
+                keys, n = keys[n > 0], n[n > 0]
                 if lang in seen:
                     keys, n = np.concatenate([seen[lang][0], keys]), np.concatenate([seen[lang][1], n])
                     keys, n = _merge(keys, n)
                 seen[lang] = keys, n
-            waiting.clear()
 
         for b in batches:
-            for text, lang in zip(b.column(0).cast(pa.binary()), b.column(1)):
-                words = b" ".join((text.as_py() or b"").split())
+            for text, lang in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
+                words = b" ".join((text or b"").split())
                 if words:
-                    waiting.setdefault(lang.as_py() or NO_LANGUAGE, []).append(grams(words, order))
-                    size += len(words)
-                if size >= SLICE:
+                    for _ in waiting.setdefault(lang or NO_LANGUAGE, Sections(order)).add(0, words):
+                        settle()
+                if sum(w.size for w in waiting.values()) >= SLICE:
                     settle()
-                    size = 0
         settle()
         for lang, (keys, n) in seen.items():
             yield emit(_COUNTS, pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), keys, n)
@@ -136,6 +176,7 @@ class KneserNey:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.order = order
+        self.row = self.rows = None  # made where they are used
         levels = {order: (keys, counts)}
         for k in range(order - 1, 0, -1):  # lower orders count the different symbols before them
             levels[k] = np.unique(levels[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
@@ -153,6 +194,20 @@ class KneserNey:
             self.keys[k], self.logp[k] = keys, np.log(p).astype(np.float32)
             self.context[k], self.weight[k] = (keys >> BITS)[first], np.log(spare).astype(np.float32)
 
+    def scores(self, keys: np.ndarray) -> np.ndarray:
+        """``score`` of many keys, looked up in rows by their contexts."""
+        if self.rows is None:
+            context, of = self.context[self.order], self.keys[self.order] >> BITS
+            self.row = np.zeros(1 << BITS * (self.order - 1), np.int32)  # row 0: of no context
+            self.row[context] = np.arange(1, len(context) + 1)
+            self.rows = np.full((len(context) + 1) << BITS, np.nan, np.float32)
+            self.rows[(self.row[of] << BITS) | (self.keys[self.order] & ((1 << BITS) - 1))] = self.logp[self.order]
+        out = self.rows[(self.row[keys >> BITS] << BITS) | (keys & ((1 << BITS) - 1))].astype(np.float64)
+        missing = np.flatnonzero(np.isnan(out))
+        if len(missing):
+            out[missing] = self.score(keys[missing].astype(np.int64))
+        return out
+
     def score(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
         """log p of the last symbol of each key given the symbols before it."""
         k = self.order if order is None else order
@@ -184,20 +239,22 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
 
 def base_measures(text: bytes, words: list[bytes], joined: bytes) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
-    seen = np.frombuffer(joined, np.uint8)
     n = len(words)
-    chars = int(np.count_nonzero((seen & 0xC0) != 0x80)) - max(n - 1, 0)
-    symbols = int(np.count_nonzero(CLASSES[seen] == _SYMBOL_CLASS))
-    lines = [x for x in text.split(b"\n") if x.strip()]
+    chars = len(joined) - max(n - 1, 0)
+    if not joined.isascii():
+        chars -= int(np.count_nonzero(np.frombuffer(joined, np.int8) < -64))  # bytes that begin no character
+    symbols = len(joined) - len(joined.translate(None, SYMBOLS))
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     repeated = 0
     if n > 3:
         h = np.fromiter(map(hash, words), np.int64, n)
         with np.errstate(over="ignore"):
             w = (h[:-2] * np.int64(0x2545F4914F6CDD1D) ^ h[1:-1]) * np.int64(0x1B873593CC9E2D51) ^ h[2:]
         s = np.sort(w)
-        twice = s[1:][s[1:] == s[:-1]]
-        if len(twice):
-            at = np.flatnonzero(np.isin(w, twice))
+        if (s[1:] == s[:-1]).any():
+            order = np.argsort(w)
+            same = np.flatnonzero(w[order[1:]] == w[order[:-1]])
+            at = np.concatenate([order[same], order[same + 1]])
             cover = np.zeros(n, bool)
             cover[at] = cover[at + 1] = cover[at + 2] = True
             repeated = int(cover.sum())
@@ -215,37 +272,31 @@ def _measure(models):
         rows: list[tuple] = []
         keys_of_texts: list[int] = []
         total, length = np.zeros(len(text)), np.zeros(len(text), np.int64)
-        waiting: dict[str, list[tuple[int, np.ndarray]]] = {}
-        size = 0
+        waiting: dict[str, Sections] = {}
 
         def settle():
-            for name, parts in waiting.items():
+            for name, sections in waiting.items():
+                if not sections.parts:
+                    continue
                 model = models.value[name]
-                keys = np.concatenate([g.astype(np.int64) | (i << BITS * model.order) for i, g in parts])
-                keys, n = np.unique(keys, return_counts=True)
-                gram, at = keys & ((1 << BITS * model.order) - 1), keys >> BITS * model.order
-                total[:] += np.bincount(at, n * model.score(gram), len(total))
-            waiting.clear()
+                keys, of, starts = sections.keys()
+                scores = model.scores(keys)
+                scores[(starts[1:, None] - np.arange(1, model.order)).ravel()] = 0.0  # keys across sections
+                total[:] += np.bincount(of, np.add.reduceat(scores, starts), len(total))
 
-        for i, (t, name) in enumerate(zip(text.cast(pa.binary()), lang)):
-            t = t.as_py() or b""
+        for i, (t, name) in enumerate(zip(text.cast(pa.binary()).to_pylist(), lang.to_pylist())):
+            t = t or b""
             words = t.split()
             joined = b" ".join(words)
-            name = name.as_py() or NO_LANGUAGE
+            name = name or NO_LANGUAGE
             rows.append(base_measures(t, words, joined))
             keys_of_texts.append(text_key(t, name))
             if words:
                 length[i] = len(joined) + 1
-                for k in range(0, length[i], SLICE):  # a slice knows the symbols before it
-                    part = joined[max(0, k - models.value[name].order + 1):k + SLICE]
-                    keys = grams(part, models.value[name].order)
-                    keys = keys[min(k, models.value[name].order - 1):]
-                    keys = keys if k + SLICE > len(joined) else keys[:-1]
-                    waiting.setdefault(name, []).append((i, keys))
-                    size += len(keys)
-                    if size >= SLICE:
-                        settle()
-                        size = 0
+                for _ in waiting.setdefault(name, Sections(models.value[name].order)).add(i, joined):
+                    settle()
+            if sum(w.size for w in waiting.values()) >= SLICE:
+                settle()
         settle()
         with np.errstate(invalid="ignore", divide="ignore"):
             perplexity = pa.array(-total / length, pa.float64(), mask=length == 0)

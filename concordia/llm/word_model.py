@@ -144,14 +144,19 @@ def pack(x: np.ndarray, sorted_: bool = False) -> bytes:
     x = np.ascontiguousarray(x).astype(np.uint32)
     if sorted_:
         x = np.diff(x, prepend=np.uint32(0))
-    planes = x.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(x).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+    planes = np.empty((4, len(x)), np.uint8)
+    for k in range(4):
+        np.right_shift(x, np.uint32(8 * k), out=planes[k], casting="unsafe")
+    return len(x).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, sorted_: bool = False) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
     planes = pa.Codec("zstd").decompress(data[4:], decompressed_size=4 * n)
-    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.uint32).reshape(n)
+    x = np.zeros(n, np.uint32)
+    for k, plane in enumerate(np.frombuffer(planes, np.uint8).reshape(4, n)):
+        if plane.any():
+            x |= plane.astype(np.uint32) << np.uint32(8 * k)
     return np.cumsum(x, dtype=np.uint32) if sorted_ else x
 
 

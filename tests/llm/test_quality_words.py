@@ -7,8 +7,11 @@ import random
 import re
 import threading
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from concordia.llm import quality, word_model
@@ -165,3 +168,30 @@ def test_disk_of_word_scores(spark, landed):
         over.set()
         watcher.join()
     assert 0 < most[0] - before < 14 * 301 * 1000
+
+
+def test_spelling_is_looked_up(monkeypatch):
+    """The keys of texts are scored by a look-up each; only unknown ones are searched for, and a long text in sections."""
+    monkeypatch.setattr(quality, "SLICE", 7)
+    rng = random.Random(8)
+    texts = [sentences(rng, rng.randrange(1, 9), ["Straße", "dog,", "猫"], ["see", "#1"]) for _ in range(20)] + ["", "a", None, "  x\ty  "]
+    langs = ["en", "de", None] * 8
+    rows = [pa.array(texts, pa.string()), pa.array(langs, pa.string())]
+    batch = pa.record_batch(rows, ["text", "lang"])
+    counted = pa.Table.from_batches(quality._count_grams(quality.ORDER)(iter([batch])))
+    models, joined = {}, [b" ".join((t or "").encode().split()) for t in texts]
+    for name in ("en", "de", quality.NO_LANGUAGE):
+        own = [quality.grams(j) for j, x in zip(joined, langs) if j and (x or quality.NO_LANGUAGE) == name]
+        keys, n = np.unique(np.concatenate(own), return_counts=True)
+        mine = counted.filter(pc.equal(counted["lang"], name))
+        assert dict(zip(mine["gram"].to_pylist(), mine["n"].to_pylist())) == dict(zip(keys.tolist(), n.tolist()))
+        models[name] = quality.KneserNey(keys.astype(np.int64), n)
+    expected = [-models[x or quality.NO_LANGUAGE].score(quality.grams(j).astype(np.int64)).mean() if j else None
+                for j, x in zip(joined, langs)]
+    asked, score = [], quality.KneserNey.score
+    monkeypatch.setattr(quality.KneserNey, "score", lambda *a: asked.append(len(a[1])) or score(*a))
+    got = quality._measure(SimpleNamespace(value=models))(*rows).field("spelling").to_pylist()
+    assert got == [None if x is None else pytest.approx(x, rel=1e-12) for x in expected]
+    assert sum(asked) == 0  # all of them are known
+    unknown = quality.grams("zqzq xwxw".encode())
+    assert (models["en"].scores(unknown) == score(models["en"], unknown.astype(np.int64))).all() and sum(asked) > 0
